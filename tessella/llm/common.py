@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but these six bytes: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_id(df: DataFrame, columns: str, key: str = "doc_id") -> T.StructType:
+    """The schema of df's key, of whatever type, and of further columns."""
+    return T.StructType([df.schema[key], *T.StructType.fromDDL(columns).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset, as in
     tests on one machine, a temporary folder is made and set."""
@@ -69,25 +75,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 21
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the number of words before each text.
+def piece_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of raw[start:end] for ascending pieces that are not empty; lower: as if A-Z were small.
 
-    Works through the bytes in blocks that end between words, so memory stays in proportion to the input."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[raw]
-    before = np.empty(len(raw), bool)
-    before[0] = False
-    before[1:] = solid[:-1]
-    inner = at[1:-1][at[1:-1] < len(raw)]
-    before[inner] = False  # a text's first byte begins a word
-    starts = np.flatnonzero(solid & ~before)
-    after = np.empty(len(raw), bool)
-    after[-1] = False
-    after[:-1] = solid[1:]
-    last = at[1:-1] - 1
-    after[last[last >= 0]] = False
-    ends = np.flatnonzero(solid & ~after) + 1
+    Works through the bytes in blocks that end between pieces, so memory stays in proportion to the input."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -105,7 +96,27 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np
         sums = np.add.reduceat(values * powers[within], first)
         out[i:j] = mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
-    return out, np.searchsorted(starts, at)
+    return out
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the number of words before each text."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    solid = ~_SPACE[raw]
+    before = np.empty(len(raw), bool)
+    before[0] = False
+    before[1:] = solid[:-1]
+    inner = at[1:-1][at[1:-1] < len(raw)]
+    before[inner] = False  # a text's first byte begins a word
+    starts = np.flatnonzero(solid & ~before)
+    after = np.empty(len(raw), bool)
+    after[-1] = False
+    after[:-1] = solid[1:]
+    last = at[1:-1] - 1
+    after[last[last >= 0]] = False
+    ends = np.flatnonzero(solid & ~after) + 1
+    return piece_hashes(raw, starts, ends, lower), np.searchsorted(starts, at)
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:

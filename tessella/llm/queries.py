@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import bpe, fingerprints, media, minhash, mixing, secrets, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_media": media.op2_media,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_url_filter": urls.op5_url_filter,
+    "op6_warc": warc.op6_warc,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.SQL}
