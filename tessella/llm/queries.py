@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, media, minhash, mixing, secrets, urls, warc
+from . import bpe, fingerprints, media, minhash, mixing, pii, secrets, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_media": media.op2_media,
+    "op3_pii": pii.op3_pii,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_filter": urls.op5_url_filter,
     "op6_warc": warc.op6_warc,
