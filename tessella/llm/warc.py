@@ -93,7 +93,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         out, size, records = None, 0, 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out = out or fs.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)
+                out = out or fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20)
                 page_id, url, html, refers_to = row
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = packer.compress(record(page_id, url, html.encode(), refers_to)) + packer.flush()
