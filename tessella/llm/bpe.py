@@ -29,8 +29,8 @@ from . import common
 
 #: Pre-tokens of byte-level vocabularies (a fixed value of the vocabulary's format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pre-tokens and judged pairs that a worker keeps; when full, they are forgotten and found again.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
+#: Encoded chunks and pre-tokens and judged pairs that a worker keeps; when full, they are forgotten and found again.
+KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 500_000, 500_000, 1_000_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -41,7 +41,8 @@ def _byte_of() -> dict[str, int]:
 
 
 class Bpe(dict):
-    """A byte-level vocabulary. As a mapping: pre-token to its ids, as little-endian unsigned 32-bit integers."""
+    """A byte-level vocabulary. As a mapping: chunk (pre-tokens between
+    white space) to its ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -71,6 +72,10 @@ class Bpe(dict):
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.split = regex.compile(PRE_TOKEN).findall
+        self.runs = regex.compile(r"\s*\S+|\s+").findall
+        self.spaces = [c for c in map(chr, range(0x3001)) if c != " " and regex.fullmatch(r"\s", c)]
+        self.words: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def apart(self, x: int, y: int, before: int = 1 << 32) -> bool:
@@ -86,9 +91,11 @@ class Bpe(dict):
             else:  # of two equal merges the left one comes first
                 before, y = y + 1, self.halves[y][0]
 
-    def __missing__(self, word: str) -> bytes:
-        text = word.encode().decode("latin-1")
-        last, length, pairs = [-1] * (len(text) + 1), self.length, self.pairs
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        text = word if word.isascii() else word.encode().decode("latin-1")
+        n = len(text)
+        last, length, pairs = [-1] * (n + 1), self.length, self.pairs
         for end, token in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
@@ -101,24 +108,45 @@ class Bpe(dict):
                     if not fine:
                         continue
                 last[end] = token
-        out, at = [], len(text)
-        while at:
-            out.append(last[at])
-            at -= length[last[at]]
-        ids = self[word] = np.array(out[::-1], "<u4").tobytes()
+        out, packed = [], self.packed
+        while n:
+            out.append(packed[last[n]])
+            n -= length[last[n]]
+        out.reverse()
+        return b"".join(out)
+
+    def __missing__(self, chunk: str) -> bytes:
+        words = self.split(chunk)
+        known = self.words
+        out = []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.word(word)
+            out.append(ids)
+        ids = self[chunk] = b"".join(out)
         return ids
 
+    def _chunks(self, text: str) -> list[str]:
+        """The text cut where white space follows other characters: no pre-token lies across such a place."""
+        if "  " not in text and not any(c in text and c + " " in text for c in self.spaces):
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]]  # no space stands after white space: each begins a chunk
+        return self.runs(text)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = self.cut.split(text) if text and self.cut else [text or ""]
         out = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                out.append(self.packed[self.special[part]])
             else:
-                out.extend(map(self.__getitem__, self.split(part)))
-        if len(self) > KEPT_WORDS:
+                out.extend(map(self.__getitem__, self._chunks(part)))
+        if len(self) > KEPT_CHUNKS:
             self.clear()
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         return b"".join(out)
