@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, media, minhash, mixing, pii, secrets, urls, warc
+from . import bpe, fingerprints, media, minhash, mixing, pii, quality, secrets, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_filter": urls.op5_url_filter,
     "op6_warc": warc.op6_warc,
+    "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
