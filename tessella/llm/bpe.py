@@ -185,6 +185,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, common.with_id(encoded, "text string"))
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), same (whether decoding the ids gave the text back)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                texts = part.column("text").to_pylist()
+                ids = [bpe.encode(x) for x in texts]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                same = [bpe.decode(i) == (x or "") for i, x in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(same)], ["doc_id", "n_tokens", "ids", "same"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "n_tokens long, ids array<int>, same boolean"))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes without moving the ids out of the task."""
 

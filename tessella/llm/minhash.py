@@ -11,9 +11,8 @@
 Lists longer than `hot` (shared passages, large groups of copies) are never expanded into pairs. A class most
 of whose retained values lie in short lists can ignore its long ones: any partner meets it in a short list
 (chance of a miss below 1e-10 a pair; certain when the sketch is the whole set). The others are met again by
-their full sets, and a class that is made of frequent shingles almost alone is compared with the least class
-of each of its lists; after those links are merged, whatever still lies in different components of one list
-is compared pair by pair. So no list is capped or sampled.
+their full sets. Classes made of frequent shingles almost alone, such as members of large groups of copies, are
+grouped by their least retained values and resolved by their differences (clouds.py). No list is capped or sampled.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Rows without doc_id link
 with nothing, have a null component and are kept. Rows that repeat a doc_id are each judged by their own text.
@@ -28,14 +27,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import clouds, common
 from .components import connected
 
 #: Words in a shingle, retained values, members of a list that are paired with one another, and how many
 #: retained values outside longer lists a class needs so that those longer lists can be ignored.
 WIDTH, K, HOT, ENOUGH = 5, 40, 40, 28
+#: Retained values that group classes of frequent shingles; a similar pair shares none with a chance below 1e-8.
+FEW = 12
 
 
 def _sketch(width: int, k: int):
@@ -123,24 +125,6 @@ def _listed(postings: DataFrame, name: str) -> DataFrame:
     return common.written(postings.join(lists, "v").select("v", "id", "n", "c"), name)
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """(a, b): every member of a list with its least member."""
-    least = lists.groupBy("v").agg(F.min("id").alias("a"))
-    return lists.join(least, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
-def _rest(lists: DataFrame, comps: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs within a list that lie in different components: the list's largest component is never paired with itself."""
-    placed = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("v", "id", "n", "comp")
-    sizes = placed.groupBy("v", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(largest.select("v", "main"), "v")
-    x = open_.where("comp <> main").select("v", F.col("id").alias("x"), "n", F.col("comp").alias("cx"))
-    y = open_.select("v", F.col("id").alias("y"), F.col("n").alias("m"), F.col("comp").alias("cy"))
-    pairs = x.join(y, "v").where((F.col("cx") != F.col("cy")) & _near(t))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), width: int = WIDTH, k: int = K, hot: int = HOT, enough: int = ENOUGH) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. threshold: least similarity, as a fraction."""
     t = threshold
@@ -164,9 +148,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
         met = again.where(F.col("c") > hot).groupBy("id", "n").agg(F.count("*").alias("h"))
         common_only = common.written(met.where(F.col("n") - F.col("h") <= spare).select("id"), "common-only")
         if common_only.head(1):
-            core = nodes.join(common_only, "id", "left_semi").select("id", "n", F.explode("sketch").alias("v"))
+            core = nodes.join(common_only, "id", "left_semi").select("id", "n", F.explode(F.slice("sketch", 1, FEW)).alias("v"))
             core = _listed(core, "core")
-            pairs = pairs.union(_stars(core))
 
     found = common.written(_estimated(pairs.distinct(), nodes, t, k), "pairs")
     ids = found.select(F.col("a").alias("id")).union(found.select("b"))
@@ -178,12 +161,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = common.written(_verified(best, sets, t), "links")
-    comps = connected(links)
+    found = found.select("a", "b")
     if core is not None:
-        rest = _estimated(_rest(core, comps, t), nodes, t, k).select("a", "b")
-        found = found.select("a", "b").union(rest).distinct()
+        links, more = clouds.resolve(clouds.groups(core, sets), links, t, hot)
+        found = found.union(more).distinct()
+    comps = connected(links)
     at = lambda end, name: comps.select(F.col("id").alias(end), F.col("component").alias(name))
-    across = found.select("a", "b").join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left")
+    across = found.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left")
     across = across.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = common.written(_verified(across, sets, t), "links")
     if more.head(1):
@@ -197,5 +181,20 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs that stay: of each group of near duplicates the one with the least doc_id, all columns. Of
+    rows that repeat a doc_id one stays (the least text); rows without doc_id all stay."""
+    found = near_duplicates(docs, threshold)
+    kept = found.where("kept").select("doc_id").distinct()
+    gone = common.written(found.where("NOT kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "gone")
+    repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    left = docs.join(F.broadcast(gone) if common.small(gone, 1_000_000) else gone, "doc_id", "left_anti")
+    if repeats.head(1):
+        again = left.join(repeats, "doc_id", "left_semi")
+        first = again.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
+        left = left.join(repeats, "doc_id", "left_anti").unionByName(first)
+    return left.select(*docs.columns)
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), threshold=(85, 100))

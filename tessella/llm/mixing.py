@@ -155,5 +155,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies, all columns."""
+    key = ["doc_id", "source", "size"]
+    copies = mix(docs, **options).select(*key, "copies")
+    copies = copies.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("copies")))
+    copies = common.written(copies.select(*(F.col(c).alias(f"_{c}") for c in (*key, "nth", "copies"))), "copies")
+    sized_docs = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
+    if copies.where("_nth > 1").head(1):
+        sized_docs = sized_docs.withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "source", "_n").orderBy("text")))
+    else:
+        sized_docs = sized_docs.withColumn("_row", F.lit(1))
+    copies = F.broadcast(copies) if common.small(copies, 500_000) else copies
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_row") == F.col("_nth"))
+    taken = sized_docs.join(copies, same).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
