@@ -55,10 +55,14 @@ def _postings(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     often = flat.groupBy("g", "e").agg(F.count("*").alias("c")).where("c > 1")
     # elements of one member alone come first and match nobody
     flat = flat.join(often, ["g", "e"], "left").withColumn("i", F.row_number().over(W.partitionBy("g", "id").orderBy(F.col("c").asc_nulls_first(), "e"))).where("c IS NOT NULL")
-    flat = flat.join(classes, "g").withColumn("other", F.explode("ks")).drop("ks")
-    least = F.col("low") + (F.pow(F.lit(2.0), F.col("other") / 2) - 1) * unit
-    shared = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2 * unit) - 1e-6))
-    flat = flat.where(F.col("i") <= F.col("z") - shared + 1)
+
+    def within(other):
+        """Whether the element is in the prefix for partners of that class."""
+        least = F.col("low") + (F.pow(F.lit(2.0), other / 2) - 1) * unit
+        shared = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2 * unit) - 1e-6))
+        return F.col("i") <= F.col("z") - shared + 1
+
+    flat = flat.join(classes, "g").withColumn("other", F.explode(F.filter("ks", within)))
     return flat.select("g", "e", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"), "id", "comp", "k", "i", "z", "s")
 
 

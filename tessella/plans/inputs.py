@@ -19,6 +19,11 @@ INPUTS = {
         CASE WHEN p_size % 3 = 0 THEN p_name || '|' || p_type ELSE p_name END AS elements, CAST(p_size AS DOUBLE) AS score,
         CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS is_risk,
         CASE WHEN p_size % 10 = 0 THEN 'ignored' WHEN p_size % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS status FROM part""",
+    # chapters: a document each, with passages that rules look for
+    "chapter": f"""SELECT doc_id AS id, {_CASE.format(k="doc_id")} AS title, 40 AS duration_days, 300 AS target_words, CAST(doc_id % 8 AS INT) AS kind,
+        text || CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN chr(10) || chr(10) || '工期为90天，XXX公司负责' WHEN 1 THEN chr(10) || '综上所述，施工采用全方位闭环管理，我们将赋能。'
+        WHEN 2 THEN '[GANTT_DATA:{{"tasks":[1' WHEN 3 THEN '本公司联系人：张三' WHEN 4 THEN '  x　y）' WHEN 5 THEN chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 |'
+        WHEN 6 THEN chr(10) || '# 服务范围' || chr(10) || 'end，' ELSE '' END AS content FROM documents""",
     # lines of documents
     "chunk": "SELECT doc_id AS id, source AS folder, text, n_chars FROM documents",
     # standards: a part each, some under a code that needs normalising
@@ -44,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in as a DataFrame."""
-    statement = INPUTS[name]
+    statement = INPUTS[name].replace("{", "{{").replace("}", "}}")
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"FROM {t}" in statement}
     for t in used:
         statement = statement.replace(f"FROM {t}", f"FROM {{{t}}}")

@@ -140,8 +140,10 @@ def uncovered(spark, sf_dir):
 _PLAIN = "regexp_replace({x}, '[\\s,;:()\\[\\]\\-_/]', '', 'g')"
 
 
-@query("d13_document_coverage", f"""SELECT item_id AS id, count(*) FILTER (contains(d, q)) AS covered, count(*) FILTER (NOT contains(d, q)) AS missing
-FROM (SELECT {_PLAIN.format(x="text")} AS d FROM documents) x, (SELECT item_id, {_PLAIN.format(x="substring(text, 1, 60)")} AS q FROM benchmark) y GROUP BY item_id""")
+@query("d13_document_coverage", f"""WITH q AS (SELECT item_id, {_PLAIN.format(x="substring(text, 1, 60)")} AS t, list_distinct(list_filter(list_transform(list_filter(
+  string_split_regex(regexp_replace(substring(text, 1, 60), '^\\s+|\\s+$', '', 'g'), '[()\\[\\],;:\\s]+'), lambda w: length(w) BETWEEN 2 AND 10), lambda w: {_PLAIN.format(x="w")}), lambda w: length(w) >= 2)) AS cs FROM benchmark),
+m AS (SELECT item_id, contains(d, t) AS exact, len(list_filter(cs, lambda w: contains(d, w) AND w <> t)) + CAST(contains(d, t) AS INT) AS n FROM (SELECT {_PLAIN.format(x="text")} AS d FROM documents) x, q)
+SELECT item_id AS id, count(*) FILTER (exact OR n >= 2) AS covered, count(*) FILTER (NOT exact AND n = 0) AS missing FROM m GROUP BY item_id""")
 def document_coverage(spark, sf_dir):
     """Beginnings of the benchmark passages as titles, looked for in all documents."""
     asked = table(spark, sf_dir, "benchmark").select(c("item_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.lit("").alias("keyword"), F.lit("pending").alias("status"))
