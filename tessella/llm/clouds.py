@@ -75,9 +75,14 @@ def _candidates(lists: DataFrame, t: tuple[int, int]) -> DataFrame:
     return a.join(b, key).where(fit & (2 * (t[0] + t[1]) * reach >= F.col("sa") + F.col("sb"))).select("a", "b").distinct()
 
 
+#: Members of a list that are compared with one another, as a multiple of the bound for lists of retained values: the
+#: places of the shared element leave few of these pairs.
+WIDER = 4
+
+
 def resolve(rows: DataFrame, links: DataFrame, t: tuple[int, int], hot: int) -> tuple[DataFrame, DataFrame]:
     """rows: as of groups(). Returns certain links (a, b), those given among them, and candidate pairs (a, b)."""
-    candidates = None
+    candidates, hot = None, WIDER * hot
     for _ in range(40):
         rows = _centred(rows, t)
         hub = rows.groupBy("g").agg(F.min_by("id", F.struct("s", "id")).alias("a"), F.min("s").alias("low"))
