@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """The events of a folder of Parquet files as they arrive."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The events of a folder of Parquet files, or of one file, as they arrive."""
+    reader = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def stage_counts(events: DataFrame) -> DataFrame:
