@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from . import ordered_queries, relational_queries, rule_queries, scalar_queries
+from . import ordered_queries, relational_queries, rule_queries, scalar_queries, statement_queries
 
-PLANS = (scalar_queries, relational_queries, rule_queries, ordered_queries)
+PLANS = (scalar_queries, relational_queries, rule_queries, ordered_queries, statement_queries)
