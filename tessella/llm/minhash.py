@@ -43,20 +43,18 @@ FEW = 12
 def _sketch(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = common.shingle_sets(batch.column("text"), width)
-            kept = [s[:k] for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()),
-                        pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)),
-                    ),
-                ],
-                ["doc_id", "n", "fp", "sketch"],
-            )
+            for part in common.slices(batch, "text"):
+                sets = common.shingle_sets(part.column("text"), width)
+                kept = [s[:k] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept))),
+                    ],
+                    ["doc_id", "n", "fp", "sketch"],
+                )
 
     return run
 
@@ -69,8 +67,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
 def _full(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            for part in common.slices(batch, "text"):
                 sets = common.shingle_sets(part.column("text"), width)
                 values = pa.array(np.concatenate(sets))
                 ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
