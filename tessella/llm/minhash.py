@@ -38,6 +38,8 @@ from .components import connected
 WIDTH, K, HOT, ENOUGH = 5, 40, 40, 28
 #: Retained values that group classes of frequent shingles; a similar pair shares none with a chance below 1e-8.
 FEW = 12
+#: Values of full sets that a task counts together before they are shuffled.
+COMBINED = 2_000_000
 
 
 def _sketch(width: int, k: int):
@@ -122,6 +124,46 @@ def _listed(postings: DataFrame, name: str) -> DataFrame:
     return common.written(postings.join(lists, "v").select("v", "id", "n", "c"), name)
 
 
+def _combined(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("n").to_numpy())
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COMBINED)))
+                part = batch.slice(lo, hi - lo)
+                n, v = part.column("n").to_numpy(), part.column("set").flatten().to_numpy()
+                owner = np.repeat(np.arange(len(part)), n)
+                value, back, times = np.unique(v, return_inverse=True, return_counts=True)
+                many = times > hot
+                cold = ~many[back]
+                ids, none = part.column("id"), pa.nulls
+                here = np.bincount(owner[~cold], minlength=len(part))
+                some = np.flatnonzero(here)
+                rows = (
+                    (pa.array(v[cold]), ids.take(pa.array(owner[cold])), pa.array(n[owner[cold]]), pa.array(np.ones(int(cold.sum()), np.int64))),
+                    (pa.array(value[many]), none(int(many.sum()), pa.int64()), none(int(many.sum()), pa.int64()), pa.array(times[many].astype(np.int64))),
+                    (none(len(some), pa.int64()), ids.take(pa.array(some)), pa.array(n[some]), pa.array(here[some].astype(np.int64))),
+                )
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows, strict=True)], ["v", "id", "n", "c"])
+                lo = hi
+
+    return run
+
+
+def _full_lists(sets: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The lists of all values of the sets: (v, id, n, c) of those with 2 to `hot` members, and (id, n, h) with the
+    number of a set's values in longer lists. Values that more than `hot` sets of a batch share are certain to be in
+    longer lists: they are counted where they are read, a row for each value and one for each set."""
+    sized = sets.select("id", F.size("set").cast("long").alias("n"), "set")
+    rows = common.written(sized.mapInArrow(_combined(hot), "v long, id long, n long, c long"), "full-postings")
+    lists = rows.where("v IS NOT NULL").groupBy("v").agg(F.sum("c").alias("size")).where("size > 1")
+    single = rows.where("v IS NOT NULL AND id IS NOT NULL").select("v", "id", "n")
+    again = common.written(single.join(lists, "v").select("v", "id", "n", F.col("size").alias("c")), "full-lists")
+    long = again.where(F.col("c") > hot).select("id", "n", F.lit(1).cast("long").alias("c")).union(rows.where("v IS NULL").select("id", "n", "c"))
+    return again.where(F.col("c") <= hot), long.groupBy("id", "n").agg(F.sum("c").alias("h"))
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), width: int = WIDTH, k: int = K, hot: int = HOT, enough: int = ENOUGH) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. threshold: least similarity, as a fraction."""
     t = threshold
@@ -140,9 +182,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
     core = None
     if full.head(1):
         sets = full_sets(docs, full, width)
-        again = _listed(sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("v")), "full-lists")
-        pairs = pairs.union(_pairs(again.where(F.col("c") <= hot), t))
-        met = again.where(F.col("c") > hot).groupBy("id", "n").agg(F.count("*").alias("h"))
+        again, met = _full_lists(sets, hot)
+        pairs = pairs.union(_pairs(again, t))
         common_only = common.written(met.where(F.col("n") - F.col("h") <= spare).select("id"), "common-only")
         if common_only.head(1):
             core = nodes.join(common_only, "id", "left_semi").select("id", "n", F.explode(F.slice("sketch", 1, FEW)).alias("v"))
