@@ -29,8 +29,8 @@ from . import common
 
 #: Pre-tokens of byte-level vocabularies (a fixed value of the vocabulary's format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded chunks and pre-tokens and judged pairs that a worker keeps; when full, they are forgotten and found again.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 500_000, 500_000, 1_000_000
+#: Encoded chunks and pre-tokens and judged pairs that a task keeps; when full, they are forgotten and found again.
+KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000, 1_000_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -151,6 +151,12 @@ class Bpe(dict):
             self.pairs.clear()
         return b"".join(out)
 
+    def forget(self) -> None:
+        """At the end of a task: what the worker keeps for its next one is the vocabulary and the pairs."""
+        self.clear()
+        self.words.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -169,6 +175,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = [np.frombuffer(bpe.encode(x), "<u4").astype(np.int32) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "ids array<int>"))
 
@@ -191,14 +198,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            for part in common.slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 ids = [bpe.encode(x) for x in texts]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 same = [bpe.decode(i) == (x or "") for i, x in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(same)], ["doc_id", "n_tokens", "ids", "same"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "n_tokens long, ids array<int>, same boolean"))
 
@@ -216,6 +223,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Buckets of word shapes, documents that train the scorer, word shapes that a worker keeps.
-BUCKETS, SAMPLE, KEPT = 512, 12_000, 200_000
+BUCKETS, SAMPLE, KEPT = 512, 12_000, 100_000
 #: Shares are taken of so many words at least: a very short text tells little.
 FEW = 12
 #: A document is kept from this chance of fine text on.
@@ -188,17 +188,18 @@ def score(docs: DataFrame, weights: np.ndarray | None, chance: dict[str, float])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            out = []
-            for x in batch.column("text"):
-                text = x.as_py() or ""
-                if not text.split():
-                    out.append(0.0)
-                elif weights is None:
-                    out.append(1 - chance["".join("f.j"[i + 1] for i in votes(text))])
-                else:
-                    z = float(features(text, shapes) @ weights[:-1] + weights[-1])
-                    out.append(float(1 / (1 + np.exp(-min(40.0, max(-40.0, z))))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names)
+            for part in common.slices(batch, "text"):
+                out = []
+                for x in part.column("text"):
+                    text = x.as_py() or ""
+                    if not text.split():
+                        out.append(0.0)
+                    elif weights is None:
+                        out.append(1 - chance["".join("f.j"[i + 1] for i in votes(text))])
+                    else:
+                        z = float(features(text, shapes) @ weights[:-1] + weights[-1])
+                        out.append(float(1 / (1 + np.exp(-min(40.0, max(-40.0, z))))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names)
 
     return docs.mapInArrow(run, common.T.StructType([*docs.schema.fields, common.T.StructField("score", common.T.DoubleType())]))
 
