@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "ids array<int>"))
+    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -189,7 +189,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, common.with_id(encoded, "text string"))
+    return encoded.select("doc_id", "ids").transform(common.in_small_batches).mapInArrow(run, common.with_id(encoded, "text string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -207,7 +207,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(same)], ["doc_id", "n_tokens", "ids", "same"])
         bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "n_tokens long, ids array<int>, same boolean"))
+    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "n_tokens long, ids array<int>, same boolean"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -225,7 +225,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def vocabulary() -> str:

@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of at most so many rows in its session: what is in flight between Spark and Python then is
+    a few MB of text a task. Results do not depend on it; a smaller bound that the session has already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, end to end, and where each begins (one more entry for the end). Null: empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

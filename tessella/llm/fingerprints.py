@@ -232,7 +232,7 @@ def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Every document against its edited text and the next document."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).select("doc_id", "text", "beyond").mapInArrow(_stream, schema)
+    return in_order(docs).select("doc_id", "text", "beyond").transform(common.in_small_batches).mapInArrow(_stream, schema)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

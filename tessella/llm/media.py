@@ -92,7 +92,7 @@ def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 part = batch.slice(lo, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse(x.as_py()) for x in part.column(1)], _ARROW)], [key, "sequence"])
 
-    return pages.select(key, "html").mapInArrow(run, common.with_id(pages, f"sequence {SEQUENCE}", key))
+    return pages.select(key, "html").transform(common.in_small_batches).mapInArrow(run, common.with_id(pages, f"sequence {SEQUENCE}", key))
 
 
 def stored(payload: bytes) -> bytes:
@@ -132,7 +132,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = [stored(padded(x.as_py())[0]) for x in batch.column(0).slice(lo, 500)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    return common.written(docs.select("text").mapInArrow(run, "digest string, media binary"), "media")
+    return common.written(docs.select("text").transform(common.in_small_batches).mapInArrow(run, "digest string, media binary"), "media")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def features(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["media_sha256", "media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    found = media.select("media").mapInArrow(run, "media_sha256 string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    found = media.select("media").transform(common.in_small_batches).mapInArrow(run, "media_sha256 string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
     return found.dropDuplicates(["media_sha256"])
 
 
@@ -182,7 +182,7 @@ def interleaved(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, out, strict=True))], ["doc_id", *out.names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "n_parts int, pos int, caption string, ref string, bytes long"))
+    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "n_parts int, pos int, caption string, ref string, bytes long"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _sketch(width: int, k: int):
 
 def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """doc_id, n (set size), fp (128-bit fingerprint of the set), sketch (its k least hashes, ascending)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(width, k), "doc_id long, n long, fp binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(common.in_small_batches).mapInArrow(_sketch(width, k), "doc_id long, n long, fp binary, sketch array<long>")
 
 
 def _full(width: int):
@@ -81,7 +81,7 @@ def _full(width: int):
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, set) of the documents in ids, as a table."""
     chosen = common.semi(docs.select(F.col("doc_id").cast("long"), "text"), ids.select(F.col("id").alias("doc_id")), "doc_id")
-    sets = chosen.mapInArrow(_full(width), "id long, set array<long>")
+    sets = chosen.transform(common.in_small_batches).mapInArrow(_full(width), "id long, set array<long>")
     return common.written(sets, "sets")
 
 

@@ -140,7 +140,7 @@ def voted(docs: DataFrame) -> DataFrame:
                 found.append(None if v is None else "".join("f.j"[i + 1] for i in v))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "votes"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, common.with_id(docs, "votes string"))
+    found = docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "votes string"))
     return common.written(found.withColumn("h", F.xxhash64("doc_id")), "votes")
 
 
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray | None, dict[
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.string())], ["x", "votes"])
 
     few = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    rows = few.mapInArrow(run, "x binary, votes string").limit(2 * sample).toPandas()
+    rows = few.transform(common.in_small_batches).mapInArrow(run, "x binary, votes string").limit(2 * sample).toPandas()
     x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float32).reshape(len(rows), BUCKETS)
     order = np.lexsort((rows["votes"].to_numpy(str), *x.T[:4], x[:, -1]))  # the same order however rows arrive
     fine = 1 - np.array([chance[k] for k in rows["votes"]])
@@ -201,7 +201,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, chance: dict[str, float])
                         out.append(float(1 / (1 + np.exp(-min(40.0, max(-40.0, z))))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names)
 
-    return docs.mapInArrow(run, common.T.StructType([*docs.schema.fields, common.T.StructField("score", common.T.DoubleType())]))
+    return docs.transform(common.in_small_batches).mapInArrow(run, common.T.StructType([*docs.schema.fields, common.T.StructField("score", common.T.DoubleType())]))
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

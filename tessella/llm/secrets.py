@@ -82,7 +82,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parts(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (of the text, where it has weak parts), base and weak (arrays of kind, start, end)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, common.with_id(docs, f"text_key binary, base {PARTS}, weak {PARTS}"))
+    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(_scan, common.with_id(docs, f"text_key binary, base {PARTS}, weak {PARTS}"))
 
 
 def linked(found: DataFrame, gap: int = GAP) -> DataFrame:
