@@ -49,7 +49,7 @@ def _postings(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(g, e, lo, hi, id, comp, k, i, z, s): element e is the i-th of z of a member of class k, for the classes lo, hi."""
     unit = t[0] + t[1]
     best = rows.groupBy("g").agg(F.min("s").alias("low"))
-    rows = rows.join(best, "g").withColumn("k", F.floor(2 * F.log2((F.col("s") - F.col("low")) / unit + 1)).cast("int"))
+    rows = rows.join(best, "g").withColumn("k", F.floor(F.log2((F.col("s") - F.col("low")) / unit + 1)).cast("int"))
     classes = rows.groupBy("g").agg(F.collect_set("k").alias("ks"))
     flat = rows.select("g", "id", "comp", "k", "s", "low", F.size("d").alias("z"), F.explode("d").alias("e"))
     often = flat.groupBy("g", "e").agg(F.count("*").alias("c")).where("c > 1")
@@ -58,7 +58,7 @@ def _postings(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
 
     def within(other):
         """Whether the element is in the prefix for partners of that class."""
-        least = F.col("low") + (F.pow(F.lit(2.0), other / 2) - 1) * unit
+        least = F.col("low") + (F.pow(F.lit(2.0), other) - 1) * unit
         shared = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2 * unit) - 1e-6))
         return F.col("i") <= F.col("z") - shared + 1
 
