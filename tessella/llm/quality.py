@@ -3,7 +3,8 @@
 Overlapping heuristics vote on every document: junk, fine or nothing. Expectation-maximisation over the counts of
 all vote patterns (at most 3 to the number of heuristics, counted over all documents) estimates how often each
 heuristic is right about junk and about fine text, and with that the chance of junk for every pattern. These
-posterior labels train a linear scorer over hashed word shapes, with which all documents are scored.
+posterior labels train a linear scorer over hashed word shapes, with which all documents are scored. A long word, such
+as a text without white space, is read whole: as consecutive pieces of PIECE characters, each counted as a word.
 
 Patterns are counted over all documents. The scorer is trained on a sample of at most `sample` documents, those of
 least hash of doc_id: that bound is a parameter and the only thing that is sampled.
@@ -67,25 +68,41 @@ def votes(text: str) -> list[int] | None:
     return [1 if m >= junk else -1 if m <= fine else 0 for m, (_, junk, fine) in zip(measures(words, text), HEURISTICS, strict=True)]
 
 
+#: A piece of a word has so many characters. Pieces end only there, so no character of a word goes unread.
+PIECE = 40
+
+
+def shape(piece: str) -> int:
+    """The bucket of all runs of capitals, small letters, digits and other characters of a piece, hashed."""
+    runs, before = [], ""
+    for c in piece:
+        kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        if kind != before:
+            runs.append(kind)
+            before = kind
+    return zlib.crc32("".join(runs).encode("utf-8", "replace")) % (BUCKETS - 2)
+
+
 class Shapes(dict):
-    """Word to bucket: its runs of capitals, small letters, digits and other characters, hashed."""
+    """Word of at most PIECE characters to its bucket; longer ones are not kept."""
 
     def __missing__(self, word: str) -> int:
-        runs, before = [], ""
-        for c in word[:40]:
-            kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-            if kind != before:
-                runs.append(kind)
-                before = kind
         if len(self) > KEPT:
             self.clear()
-        found = self[word] = zlib.crc32("".join(runs[:6]).encode("utf-8", "replace")) % (BUCKETS - 2)
+        found = self[word] = shape(word)
         return found
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words, those of more than PIECE characters cut into consecutive pieces that all count as words."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
 def features(text: str, shapes: Shapes) -> np.ndarray:
-    """Shares of the buckets among the words; the last two: repeats of the word before, distinct words."""
-    words = text.split()
+    """Shares of the buckets among the pieces of words; the last two: repeats of the piece before, distinct pieces."""
+    words = pieces(text.split())
     out = np.bincount(list(map(shapes.__getitem__, words)), minlength=BUCKETS).astype(np.float32)
     out[-2] = sum(map(str.__eq__, words, words[1:]))
     out[-1] = len(set(words)) if len(words) >= 40 else len(words)

@@ -205,6 +205,22 @@ def test_quality_edges(edges):
     assert quality.classify(edges.limit(0)).count() == 0
 
 
+def test_quality_reads_words_whole(spark):
+    """What follows the first 40 characters, or the first six runs, of a word counts."""
+    of = lambda text: quality.features(text, quality.Shapes())
+    plain, junk = "a" * 4000, "a" * 40 + "#%A9" * 990
+    assert not np.array_equal(of(plain), of(junk))
+    assert of(junk)[: quality.BUCKETS - 2].sum() == pytest.approx(1)  # not one word of twelve
+    assert not np.array_equal(of("aA1#aA1#"), of("aA1#aA9%"))
+    shapes = quality.Shapes()
+    quality.features(junk * 50, shapes)
+    assert max(map(len, shapes)) <= quality.PIECE
+    weights = np.zeros(quality.BUCKETS + 1)
+    weights[quality.shape("#%A9" * 10)] = -8
+    docs = spark.createDataFrame([(1, plain), (2, junk)], "doc_id long, text string")
+    assert {r["doc_id"]: r["score"] >= quality.KEEP for r in quality.score(docs, weights, {}).collect()} == {1: True, 2: False}
+
+
 # --- BPE -------------------------------------------------------------------------------------------------------------
 def test_bpe_like_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
