@@ -64,6 +64,9 @@ def document_coverage(requirements: DataFrame, document: DataFrame) -> DataFrame
     """(id, doc_id, status, n_matched) of each document (doc_id, text) against a stated set of requirements, which is
     broadcast: covered with the exact title or two candidates, partial with one. (D13, Q27)"""
     req = requirements.where(F.coalesce("status", F.lit("")) != "ignored").select("id", tx.normalize_for_match(F.col("title")).alias("t"), F.transform(tx.coverage_candidates(F.col("title"), F.col("keyword")), tx.normalize_for_match).alias("cs"))
-    doc = document.select("doc_id", tx.normalize_for_match(F.col("text")).alias("d"))
-    both = doc.join(F.broadcast(req)).select("id", "doc_id", F.contains("d", "t").alias("exact"), F.size(F.filter("cs", lambda c: F.contains("d", c))).alias("n_matched"))
+    # each distinct candidate is looked for once in a document, not once for every requirement that has it
+    words = req.agg(F.array_distinct(F.flatten(F.collect_set("cs"))).alias("words"))
+    doc = document.select("doc_id", tx.normalize_for_match(F.col("text")).alias("d")).join(F.broadcast(words))
+    doc = doc.select("doc_id", "d", F.filter("words", lambda w: F.contains("d", w)).alias("hits"))
+    both = doc.join(F.broadcast(req)).select("id", "doc_id", F.contains("d", "t").alias("exact"), F.size(F.array_intersect("hits", "cs")).alias("n_matched"))
     return both.select("id", "doc_id", F.when(F.col("exact") | (F.col("n_matched") >= 2), "covered").when(F.col("n_matched") == 1, "partial").otherwise("missing").alias("status"), "n_matched")

@@ -151,6 +151,17 @@ def document_coverage(spark, sf_dir):
     return found.groupBy("id").agg(F.count_if(c("status") == "covered").alias("covered"), F.count_if(c("status") == "missing").alias("missing"))
 
 
+@query("d13_passage_coverage", f"""WITH q AS (SELECT item_id, {_PLAIN.format(x="text")} AS t, list_distinct(list_filter(list_transform(list_filter(
+  string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[()\\[\\],;:\\s]+'), lambda w: length(w) BETWEEN 2 AND 10), lambda w: {_PLAIN.format(x="w")}), lambda w: length(w) >= 2)) AS cs FROM benchmark),
+m AS (SELECT item_id, contains(d, t) AS exact, len(list_filter(cs, lambda w: contains(d, w) AND w <> t)) + CAST(contains(d, t) AS INT) AS n FROM (SELECT {_PLAIN.format(x="text")} AS d FROM documents) x, q)
+SELECT item_id AS id, count(*) FILTER (exact OR n >= 2) AS covered, count(*) FILTER (NOT exact AND n = 0) AS missing, CAST(sum(n) AS BIGINT) AS n_matched FROM m GROUP BY item_id""")
+def passage_coverage(spark, sf_dir):
+    """Whole benchmark passages, and all their words, looked for in all documents."""
+    asked = table(spark, sf_dir, "benchmark").select(c("item_id").alias("id"), c("text").alias("title"), F.lit("").alias("keyword"), F.lit("pending").alias("status"))
+    found = coverage.document_coverage(asked, table(spark, sf_dir, "documents"))
+    return found.groupBy("id").agg(F.count_if(c("status") == "covered").alias("covered"), F.count_if(c("status") == "missing").alias("missing"), F.sum("n_matched").alias("n_matched"))
+
+
 @query("d01_standards_of_domain", f"""{cte("standard")} SELECT s.raw_code, s.title, s.status FROM standard s JOIN (SELECT DISTINCT raw_code AS code FROM standard WHERE domain = 'Brand#1') l ON s.raw_code = l.code""")
 def standards_of_domain(spark, sf_dir):
     s = given(spark, sf_dir, "standard")
