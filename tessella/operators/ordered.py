@@ -1,5 +1,5 @@
-"""Order-dependent operators that no relational form expresses: one group at a time, in pandas. Groups are a project's
-outline or a document's parts, bounded by what a person writes."""
+"""Order-dependent operators that no relational form expresses. `fuzzy_distinct` and `unique_ids` take one group at a time
+in pandas, so a group has to fit a task; `packed` takes groups of any length in batches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,19 +52,25 @@ def unique_ids(nodes: DataFrame, group: str) -> DataFrame:
 
 
 def packed(items: DataFrame, group: str, most: int = 18_000) -> DataFrame:
-    """items (group, pos, text) with `chunk`: filled in order up to `most` characters, a longer item alone."""
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        out, chunk, held = part.sort_values("pos").reset_index(drop=True), 0, 0
-        chunks = []
-        for n in out["text"].fillna("").str.len():
-            if held and held + n > most:
-                chunk, held = chunk + 1, 0
-            chunks.append(chunk)
-            held += n
-        return out.assign(chunk=pd.Series(chunks, dtype="int32"))
-
-    return items.groupBy(group).applyInPandas(fill, T.StructType([*items.schema.fields, T.StructField("chunk", T.IntegerType())]))
+    """(group, pos, chunk) of items (group, pos, text): filled in order up to `most` characters, a longer item alone. Only
+    lengths are moved, and groups pass by in order: a task holds a batch of rows, however long a group is. (F15)"""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, held, begun = None, 0, 0, False
+        for batch in batches:
+            chunks = []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or key != at:
+                    at, chunk, held, begun = key, 0, 0, True
+                if held and held + n > most:
+                    chunk, held = chunk + 1, 0
+                chunks.append(chunk)
+                held += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.int32())], [group, "pos", "chunk"])
+
+    lengths = items.select(group, "pos", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    schema = T.StructType([items.schema[group], items.schema["pos"], T.StructField("chunk", T.IntegerType())])
+    return lengths.repartition(group).sortWithinPartitions(group, "pos").mapInArrow(fill, schema)
 
 
 def line_diff(pairs: DataFrame) -> DataFrame:

@@ -299,8 +299,8 @@ def previous_summary(spark, sf_dir):
 @query("f02_prior_turns", "SELECT conv_id, turn, CAST(least(5, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS INT) AS n FROM conversations")
 def prior_turns(spark, sf_dir):
     before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    last = F.slice(F.collect_list(F.when(c("role") == "user", c("turn"))).over(before), 1, 5)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(last).alias("n"))
+    n = F.count_if(c("role") == "user").over(before)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.least(F.lit(5), F.coalesce(n, F.lit(0))).cast("int").alias("n"))
 
 
 @query("f12_newest_versions", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 20")
