@@ -26,13 +26,23 @@ def with_id(df: DataFrame, columns: str, key: str = "doc_id") -> T.StructType:
     return T.StructType([df.schema[key], *T.StructType.fromDDL(columns).fields])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset, as in
-    tests on one machine, a temporary folder is made and set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset and the master is
+    local, as in tests, a temporary folder is made and set; a cluster without that setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -147,9 +157,10 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     With fewer words the whole sequence is one shingle; a text without words, or null, has none."""
     raw, at = text_bytes(column)
     words, first = word_hashes(raw, at)
-    rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    count = max(0, len(words) - width + 1)
+    rolled = np.zeros(count, np.uint64)
     for k in range(width):
-        rolled = mix(rolled * np.uint64(3) + words[k : len(words) - width + 1 + k] + np.uint64(k))
+        rolled = mix(rolled * np.uint64(3) + words[k : k + count] + np.uint64(k))
     rolled = rolled.view(np.int64)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -166,12 +177,46 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows: the check before any broadcast."""
-    return df.count() <= rows
+#: Bytes of a table that may be sent to all executors, and rows of one key that may meet in one task.
+SENT, DEALT = 32 << 20, 10_000
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
-    """Rows of df whose `on` is among keys; keys are sent to all executors if there are at most `most`, else shuffled."""
-    keys = keys.select(on).distinct()
-    return df.join(F.broadcast(keys) if small(keys, most) else keys, on, "left_semi")
+def small(df: DataFrame, most: int = SENT) -> bool:
+    """Whether df holds at most so many bytes: the check before any broadcast. Strings and arrays are measured, other
+    values count as 16 bytes, and a row as 16 more."""
+    sizes = F.lit(16)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            one = F.octet_length(F.col(f"`{f.name}`")) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            one = F.size(F.col(f"`{f.name}`")) * 16 + 16
+        else:
+            one = F.lit(16)
+        sizes = sizes + F.coalesce(one, F.lit(16))
+    return (df.agg(F.sum(sizes.cast("long"))).first()[0] or 0) <= most
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to all executors if it is small."""
+    return F.broadcast(df) if small(df) else df
+
+
+def join_groups(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None, spread: str = "id") -> DataFrame:
+    """rows joined with side on keys of which a few may hold most rows. A small side is sent to all executors. Beyond
+    that the rows of a key with more than DEALT of them are dealt out by the column `spread`, and what side has for that
+    key goes to each part. sizes: (keys, c), the rows of each key, if they are known already; the keys that are dealt
+    out are at most one in DEALT rows, so their table is small by its making."""
+    if small(side):
+        return rows.join(F.broadcast(side), keys, how)
+    if sizes is None:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("c"))
+    hot = sent(sizes.where(F.col("c") > DEALT).select(*keys, F.ceil(F.col("c") / DEALT).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    each = side.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(each, [*keys, "_part"], how).drop("_part")
+
+
+def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose `on` is among keys; keys are sent to all executors if they are small, else shuffled."""
+    return df.join(sent(keys.select(on).distinct()), on, "left_semi")
