@@ -30,13 +30,57 @@ ROW = 64
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string,bytes:bigint>>"
 _ARROW = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("bytes", pa.int64())]))
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\w[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_SKIPPED = re.compile(r"<(script|style)\b", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*+)")
+#: Up to the end of a tag; quotes protect `>`.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Character references whose numbers are no code points, however long.
+_NO_CHARACTER = re.compile(r"&#(?:0*[1-9][0-9]{7,}+|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,}+);?")
 #: Elements whose text runs on in the same part.
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em i kbd mark q s samp small span strong sub sup time u var wbr".split())
+_SMALL = {i: i + 32 for i in range(65, 91)}
 _MEDIA = {"img": "src", "video": "src", "audio": "src", "source": "src", "embed": "src"}
 
 
+def unescaped(text: str) -> str:
+    return html.unescape(_NO_CHARACTER.sub("\ufffd", text) if "&#" in text else text)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, whether it closes, name, attributes) of comments, declarations, scripts (no name) and tags.
+
+    Time is in proportion to the page: from the first tag on whose quote, or which itself, is never closed, quotes no
+    longer protect `>`."""
+    at, strict, lower = 0, True, None
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif page.startswith("<!", at) and page[at + 2 : at + 3].isalnum():
+            end = page.find(">", at) + 1
+            if not end:
+                return
+            yield at, end, False, "", ""
+        elif skipped := _SKIPPED.match(page, at):
+            lower = lower or page.translate(_SMALL)
+            end = lower.find(f"</{skipped[1].translate(_SMALL)}", at)
+            end = lower.find(">", end) + 1 if end >= 0 else 0
+            end = end or len(page)
+            yield at, end, False, "", ""
+        elif name := _NAME.match(page, at):
+            rest = _REST.match(page, name.end()) if strict else None
+            strict = rest is not None
+            end = rest.end() if rest else page.find(">", name.end()) + 1
+            if not end:
+                return
+            yield at, end, bool(name[1]), name[2].lower(), page[name.end() : end - 1]
+        else:
+            end = at + 1
+        at = end
+
+
 def parse(page: str | None) -> list[dict]:
     """The sequence of a page: runs of text between block elements, and media with the caption of their figure."""
     out: list[dict] = []
@@ -45,36 +89,34 @@ def parse(page: str | None) -> list[dict]:
     caption: list[str] | None = None
 
     def flush() -> None:
-        text = html.unescape("".join(buffer)).strip(" \t\r\n\f")
+        text = unescaped("".join(buffer)).strip(" \t\r\n\f")
         buffer.clear()
         if text:
             out.append({"pos": len(out), "kind": "text", "text": text, "ref": None, "caption": None, "bytes": None})
 
     page, at = page or "", 0
-    for tag in _TAG.finditer(page):
-        run = page[at : tag.start()]
-        at = tag.end()
-        (buffer if caption is None else caption).append(run)
-        name = (tag[3] or "").lower()
+    for begin, end, closes, name, attributes in tags(page):
+        (buffer if caption is None else caption).append(page[at:begin])
+        at = end
         if not name or name in _INLINE:
             continue
         if caption is None:
             flush()
         if name == "figure":
-            figure = [] if not tag[2] else None
+            figure = [] if not closes else None
         elif name == "figcaption":
-            if not tag[2]:
+            if not closes:
                 caption = []
             elif caption is not None:
-                said = html.unescape("".join(caption)).strip(" \t\r\n\f")
+                said = unescaped("".join(caption)).strip(" \t\r\n\f")
                 for part in figure or []:
                     part["caption"] = said
                 caption = None
-        elif name in _MEDIA and not tag[2]:
-            known = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(tag[4])}
+        elif name in _MEDIA and not closes:
+            known = {k.lower(): unescaped(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             if known.get(_MEDIA[name]):
                 n = known.get("data-bytes", "")
-                part = {"pos": len(out), "kind": "media", "text": None, "ref": known[_MEDIA[name]], "caption": known.get("alt"), "bytes": int(n) if n.isdecimal() else None}
+                part = {"pos": len(out), "kind": "media", "text": None, "ref": known[_MEDIA[name]], "caption": known.get("alt"), "bytes": int(n) if n.isdecimal() and len(n) <= 18 else None}
                 out.append(part)
                 if figure is not None:
                     figure.append(part)
@@ -88,8 +130,7 @@ def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            for part in common.slices(batch, "html"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse(x.as_py()) for x in part.column(1)], _ARROW)], [key, "sequence"])
 
     return pages.select(key, "html").transform(common.in_small_batches).mapInArrow(run, common.with_id(pages, f"sequence {SEQUENCE}", key))
@@ -124,15 +165,22 @@ def feature(payload: bytes) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """digest, media of every text, as a table in the shared folder."""
+    """digest, media of every text, equal texts once, as a table in the shared folder. Only the texts that occur again
+    are shuffled, one of each kind from each task."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("key", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
+    again = texts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    again = common.sent(common.written(again, "repeated"))
+    first = texts.join(again, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    once = texts.join(again, "key", "left_anti").select("text").union(first.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                media = [stored(padded(x.as_py())[0]) for x in batch.column(0).slice(lo, 500)]
+            for part in common.slices(batch, "text"):
+                media = [stored(padded(x.as_py())[0]) for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    return common.written(docs.select("text").transform(common.in_small_batches).mapInArrow(run, "digest string, media binary"), "media")
+    return common.written(once.transform(common.in_small_batches).mapInArrow(run, "digest string, media binary"), "media")
 
 
 def features(media: DataFrame) -> DataFrame:
