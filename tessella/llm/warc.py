@@ -10,8 +10,9 @@ candidate only if it inflates to a WARC header, and owns the records whose membe
 beyond the end for the last one. False magic within compressed data is refused by that test.
 
 A null page counts as empty html. Rows that repeat a page_id are records of their own; of equal payloads with equal
-page_id one is the response. A null page_id is written as `null` and is the smallest. An empty table gives an empty
-archive list and result. Only page_id, url and html are read.
+page_id one is the response. A null page_id is written as `null` and is the smallest: of equal payloads whose ids are
+all null one is the response, and what the others refer to is null. An empty table gives an empty archive list and
+result. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"\x1f\x8b\x08"
-#: Payloads from so many bytes on are stored once; bytes in a reader's range; compression.
-LEAST, RANGE, LEVEL = 0, 4 << 20, 4
+#: Payloads from so many bytes on are stored once; bytes in a reader's range and at most in a reader's task; compression.
+LEAST, RANGE, TASK, LEVEL = 0, 4 << 20, 128 << 20, 4
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -40,11 +41,11 @@ def sha1_32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A record, uncompressed. refers_to: the page whose response this one revisits."""
-    kind = "response" if refers_to is None else "revisit"
+def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool = False, refers_to: int | None = None) -> bytes:
+    """A record, uncompressed. refers_to: the page whose response a revisit names."""
+    kind = "revisit" if revisit else "response"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    if refers_to is None:
+    if not revisit:
         body += payload
     uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "")
     head = [
@@ -59,28 +60,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {'null' if refers_to is None else refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html and refers_to (null for responses)."""
+    """page_id, url, html, revisit (whether another page has this payload's response) and refers_to (its page_id)."""
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    groups = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("copies"))
-    many = groups.where("copies > 1").select(F.col("digest").alias("of"), "top")
-    many = F.broadcast(common.written(many, "repeated")) if common.small(many, 200_000) else many
-    found = pages.join(many, (F.col("digest") == F.col("of")) & (F.octet_length("html") >= least), "left")
-    # rows that share the largest page_id: all but one revisit it
-    tied = found.where("page_id = top").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    same = F.lit(1)
-    if tied.head(1):
-        same = F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url"))
-    found = found.withColumn("nth", same)
-    first = (F.col("page_id") == F.col("top")) & (F.col("nth") == 1)
-    refers = F.when(F.col("top").isNotNull() & ~F.coalesce(first, F.lit(False)), F.col("top"))
-    return found.select("page_id", "url", "html", refers.alias("refers_to"))
+    # the payloads are read once for their digests; all that is counted is counted over these
+    each = common.written(pages.where(F.octet_length("html") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("same")), "digests")
+    order = F.struct(F.col("page_id").isNotNull(), "page_id")
+    groups = each.groupBy("digest").agg(F.max_by(F.struct("page_id", "same"), order).alias("top"), F.sum("same").alias("copies")).where("copies > 1")
+    many = common.written(groups.select(F.col("digest").alias("of"), F.col("top.page_id").alias("top"), F.col("top.same").alias("same")), "repeated")
+    tied = many.where("same > 1").head(1)
+    found = pages.join(common.sent(many), (F.col("digest") == F.col("of")) & (F.octet_length("html") >= least), "left")
+    first = F.col("page_id").eqNullSafe(F.col("top"))
+    if tied:  # rows that share the largest page_id: all but one revisit it
+        first = first & (F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")) == 1)
+        found = found.withColumn("first", first)
+        first = F.col("first")
+    revisit = F.col("of").isNotNull() & ~first
+    return found.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -94,9 +96,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20)
-                page_id, url, html, refers_to = row
+                page_id, url, html, *role = row
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                member = packer.compress(record(page_id, url, html.encode(), refers_to)) + packer.flush()
+                member = packer.compress(record(page_id, url, html.encode(), *role)) + packer.flush()
                 out.write(member)
                 size += len(member)
                 records += 1
@@ -171,13 +173,17 @@ def read(manifest: DataFrame, span: int = RANGE) -> DataFrame:
                         if fields["WARC-Type"] == "response" and (len(payload) != n or sha1_32(payload) != digest):
                             raise ValueError(f"damaged record of page {page} in {path}")
                         other = fields.get("X-Refers-To-Page-Id")
-                        rows.append((None if page == "null" else int(page), n, digest, fields["WARC-Type"], int(other) if other else None))
+                        rows.append((None if page == "null" else int(page), n, digest, fields["WARC-Type"], int(other) if other and other != "null" else None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(span).cast("long"))).alias("begin"))
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(run, READ)
+    # a number of parts of its own, which Spark keeps: a few bytes of ranges would else become one task
+    size, count = manifest.agg(F.sum("bytes"), F.sum(F.ceil(F.col("bytes") / span))).first()
+    slots = manifest.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(count or 0, max(4 * slots, (size or 0) // TASK)))
+    return ranges.repartition(parts).mapInArrow(run, READ)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
