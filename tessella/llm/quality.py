@@ -7,11 +7,12 @@ posterior labels train a linear scorer over hashed word shapes, with which all d
 as a text without white space, is read whole: as consecutive pieces of PIECE characters, each counted as a word.
 
 Patterns are counted over all documents. The scorer is trained on a sample of at most `sample` documents, those of
-least hash of doc_id: that bound is a parameter and the only thing that is sampled.
+least hash of doc_id and text, each but once: that bound is a parameter and the only thing that is sampled.
 
 A null or empty text, or one without words, has no votes and no features; it is rejected (score 0). Rows that
 repeat a doc_id are each judged by their own text. An empty table gives an empty result; a table that trains
-nothing (all of one label) is scored by the labels alone. Only doc_id and text are read.
+nothing (all of one label) is scored by the labels alone. Only doc_id and text are read. A column of docs that is named
+like the new one stays, and the new one gets an underscore (common.fresh).
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def measures(words: list[str], text: str) -> tuple[float, ...]:
     bars = text.count("|")
     bare = sum(1 for w in words if not w[0].isalnum() and not any(map(str.isalnum, w)))
     repeats = sum(map(str.__eq__, words, words[1:]))
-    seen = 1 - len(set(words)) / n if len(words) >= 40 else 0.0
+    seen = (len(words) - len(set(words))) / n
     return tails / n, symbols / max(1, len(text)), capitals / n, text.count("!") / n, bars / n, bare / n, repeats / n, seen
 
 
@@ -105,7 +106,7 @@ def features(text: str, shapes: Shapes) -> np.ndarray:
     words = pieces(text.split())
     out = np.bincount(list(map(shapes.__getitem__, words)), minlength=BUCKETS).astype(np.float32)
     out[-2] = sum(map(str.__eq__, words, words[1:]))
-    out[-1] = len(set(words)) if len(words) >= 40 else len(words)
+    out[-1] = len(set(words))
     return out / max(FEW, len(words))
 
 
@@ -147,7 +148,8 @@ def train(x: np.ndarray, fine: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of doc_id), votes (a string, one character each; null without words): a table."""
+    """h (hash of doc_id and text), votes (a string, one character each; null without words) and how many rows have
+    both: a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,42 +157,40 @@ def voted(docs: DataFrame) -> DataFrame:
             for x in batch.column(1):
                 v = votes(x.as_py() or "")
                 found.append(None if v is None else "".join("f.j"[i + 1] for i in v))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["h", "votes"])
 
-    found = docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "votes string"))
-    return common.written(found.withColumn("h", F.xxhash64("doc_id")), "votes")
+    found = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").transform(common.in_small_batches).mapInArrow(run, "h long, votes string")
+    return common.written(found.groupBy("h", "votes").count(), "votes")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray | None, dict[str, float], np.ndarray | None]:
     """Weights of the scorer (None if there is nothing to tell apart), chance of junk by pattern, the heuristics' accuracies."""
     table = voted(docs)
-    counts = {r["votes"]: r["count"] for r in table.where("votes IS NOT NULL").groupBy("votes").count().collect()}
+    counts = {r["votes"]: r["count"] for r in table.where("votes IS NOT NULL").groupBy("votes").agg(F.sum("count").alias("count")).collect()}
     if not counts:
         return None, {}, None
     known, right = estimate({tuple("f.j".index(c) - 1 for c in k): n for k, n in sorted(counts.items())})
     chance = {k: known[tuple("f.j".index(c) - 1 for c in k)] for k in counts}
-    # the bound of the sample, as a hash: no more rows than that reach the driver
-    total = sum(counts.values())
-    chosen = table.where("votes IS NOT NULL")
-    if total > sample:
-        chosen = chosen.orderBy("h", "doc_id", "votes").limit(sample)
-    ids = chosen.select("doc_id").distinct()
+    # the sample as a bound of the hash: no more rows than that reach the driver
+    distinct = table.where("votes IS NOT NULL").select("h")
+    bound = distinct.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            x, y = [], []
-            for text in batch.column(0):
+            h, x, y = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 v = votes(text.as_py() or "")
                 if v is not None:
+                    h.append(key)
                     x.append(features(text.as_py(), shapes).tobytes())
                     y.append("".join("f.j"[i + 1] for i in v))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.string())], ["x", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.string())], ["h", "x", "votes"])
 
-    few = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    rows = few.transform(common.in_small_batches).mapInArrow(run, "x binary, votes string").limit(2 * sample).toPandas()
+    few = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.col("h") <= bound)
+    rows = few.transform(common.in_small_batches).mapInArrow(run, "h long, x binary, votes string").dropDuplicates(["h", "votes"]).toPandas()
     x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float32).reshape(len(rows), BUCKETS)
-    order = np.lexsort((rows["votes"].to_numpy(str), *x.T[:4], x[:, -1]))  # the same order however rows arrive
+    order = np.lexsort((rows["votes"].to_numpy(str), rows["h"].to_numpy()))  # the same order however rows arrive
     fine = 1 - np.array([chance[k] for k in rows["votes"]])
     if not len(x) or (fine > 0.5).all() or (fine <= 0.5).all():
         return None, chance, right
@@ -198,9 +198,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray | None, dict[
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, chance: dict[str, float]) -> DataFrame:
-    """docs with `score`, the chance of fine text (0 without words). A column of that name is overwritten."""
-    docs = docs.drop("score")
-    names = [*docs.columns, "score"]
+    """docs with `score`, the chance of fine text (0 without words), under a name that is fresh to docs."""
+    name = common.fresh(docs, "score")
+    names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -218,7 +218,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, chance: dict[str, float])
                         out.append(float(1 / (1 + np.exp(-min(40.0, max(-40.0, z))))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names)
 
-    return docs.transform(common.in_small_batches).mapInArrow(run, common.T.StructType([*docs.schema.fields, common.T.StructField("score", common.T.DoubleType())]))
+    return docs.transform(common.in_small_batches).mapInArrow(run, common.T.StructType([*docs.schema.fields, common.T.StructField(name, common.T.DoubleType())]))
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
