@@ -10,7 +10,8 @@ choices for the one nearest the target.
 
 A null text has size 0. A null source is a source of its own, after all others. Documents of size 0 are taken
 0 times. Rows that repeat a doc_id are separate documents; rows alike in doc_id, source and size are decided
-together with their number. An empty table gives an empty result. Only doc_id, text and source are read.
+together with their number. An empty table gives an empty result. Only doc_id, text and source are read; `mixed` keeps
+all columns, whose names may be any.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     by = common.written(targets(sizes, weights, share, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = by.select(F.col("source").alias("of"), "n_docs", "source_size", "target", ratio.alias("ratio"))
-    goal = F.broadcast(goal) if common.small(goal, 100_000) else goal
+    goal = common.sent(goal)
     rows = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
     rows = rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
             break
         left = moved.where("p > 0 AND p < 1")
         counts = left.groupBy("source").agg(F.count("*").alias("now"))
-        counts = F.broadcast(counts) if common.small(counts, 100_000) else counts
+        counts = common.sent(common.written(counts, "undecided"))
         state = left.join(counts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "nth", "h", "p", F.col("now").alias("n"))
         level += 1
     out = done.join(goal, F.col("source").eqNullSafe(F.col("of")))
@@ -156,20 +157,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies, all columns."""
+    """docs as the mix takes them: each row as often as it has copies, all columns, whatever their names."""
     key = ["doc_id", "source", "size"]
     copies = mix(docs, **options).select(*key, "copies")
     copies = copies.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("copies")))
-    copies = common.written(copies.select(*(F.col(c).alias(f"_{c}") for c in (*key, "nth", "copies"))), "copies")
-    sized_docs = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
-    if copies.where("_nth > 1").head(1):
-        sized_docs = sized_docs.withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "source", "_n").orderBy("text")))
+    copies = common.written(copies, "copies")
+    # the row as one column, so that none of its names meets those used here
+    n = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n.alias("n"))
+    if copies.where("nth > 1").head(1):
+        rows = rows.withColumn("place", F.row_number().over(W.partitionBy("id", "of", "n").orderBy("row.text")))
     else:
-        sized_docs = sized_docs.withColumn("_row", F.lit(1))
-    copies = F.broadcast(copies) if common.small(copies, 500_000) else copies
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_row") == F.col("_nth"))
-    taken = sized_docs.join(copies, same).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+        rows = rows.withColumn("place", F.lit(1))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")) & (F.col("place") == F.col("nth"))
+    taken = rows.join(common.sent(copies), same).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
