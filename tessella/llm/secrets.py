@@ -2,7 +2,8 @@
 
 One pass over each whole text finds the parts: assignments, access identifiers and hexadecimal runs (the base
 kinds, always reported) and two weak kinds: `blob`, a run of 30 or more base-64 characters with capitals, small
-letters and digits, and `endpoint`, the host of a URL or a dotted host name with a port. A weak part is reported
+letters and digits and an entropy of at least BITS a character, and `endpoint`, the host of a URL or a dotted host name
+with a port. Every pattern takes time in proportion to the text. A weak part is reported
 only if a complementary part lies in its scope: a blob near an access identifier or an endpoint, an endpoint near
 an access identifier, assignment, hexadecimal run or blob. The scope is `gap` characters between the two within
 one document. The interval join deals parts out by document and scope-wide cell, so no pairs of far parts arise.
@@ -14,7 +15,9 @@ are each scanned on their own; an empty table gives an empty result. Only doc_id
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,12 +37,13 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Weak kinds.
 WEAK = {
     "blob": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{30,}={0,2}"),
-    "endpoint": re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b"),
+    # a run that ends in a port; only its last host name, if dotted, is the endpoint
+    "endpoint": re.compile(r"https?://[A-Za-z0-9.-]++(?::[0-9]+)?|(?<![A-Za-z0-9.-])([A-Za-z0-9.-]++):[0-9]{2,5}\b"),
 }
 #: Kinds that complete a weak one.
 COMPLETES = {"blob": ("access", "endpoint"), "endpoint": ("access", "assign", "hex", "blob")}
-#: Characters between two parts of one credential at most.
-GAP = 200
+#: Characters between two parts of one credential at most; bits a character that a blob has at least.
+GAP, BITS = 200, 3.5
 
 _DIGIT = re.compile(r"[0-9+/_-]")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{30,}")
@@ -47,6 +51,12 @@ _KIND = {k: i for i, k in enumerate([*BASE, *WEAK])}
 PARTS = "array<struct<kind:string,start:int,end:int>>"
 
 
+def entropy(run: str) -> float:
+    """Bits a character."""
+    counts = Counter(run).values()
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in counts)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base matches by start, then kind."""
     out = []
@@ -62,9 +72,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def weak_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if _LONG.search(text):
-        out += [("blob", *m.span()) for m in WEAK["blob"].finditer(text)]
+        out += [("blob", *m.span()) for m in WEAK["blob"].finditer(text) if entropy(m[0]) >= BITS]
     if "://" in text or ":" in text:
-        out += [("endpoint", *m.span()) for m in WEAK["endpoint"].finditer(text)]
+        for m in WEAK["endpoint"].finditer(text):
+            run = m[1]
+            if run is None:
+                out.append(("endpoint", *m.span()))
+                continue
+            host = run[run.rfind("..") + 1 :].lstrip(".-")
+            if "." in host and host[-1] not in ".-":
+                out.append(("endpoint", m.end(1) - len(host), m.end()))
     return out
 
 
