@@ -90,12 +90,7 @@ def style_tier(x: Column) -> Column:
     return F.when(t.isin(STYLE_TIERS), t).otherwise("balanced")
 
 
-def row_status(bound: Column, missing: Column, ignored: Column) -> Column:
-    """Status of a requirement; bound: array of structs with has_content, matched."""
-    return (
-        F.when(ignored, "ignored")
-        .when(F.size(bound) == 0, "unbound")
-        .when(F.exists(bound, lambda b: b["has_content"] & (F.size(b["matched"]) > 0)) & (F.size(missing) == 0), "covered")
-        .when(F.exists(bound, lambda b: b["has_content"]), "partial")
-        .otherwise("bound_pending")
-    )
+def row_status(bound: Column, written: Column, answered: Column, complete: Column, ignored: Column) -> Column:
+    """Status of a requirement: whether leaves are bound, one has content, one with content matches, no element is
+    missing. (Y01)"""
+    return F.when(ignored, "ignored").when(~bound, "unbound").when(answered & complete, "covered").when(written, "partial").otherwise("bound_pending")

@@ -95,6 +95,11 @@ def is_compliance_phrase(x: Column) -> Column:
 def phrase_covered(text: Column, phrase: Column) -> Column:
     """Whether a phrase is in the text: as it is, normalised, with another verb of compliance, or by verb and noun. An
     empty phrase is. (I04, I05)"""
+    return let(phrase_parts(text, phrase), lambda x: x["plain"] | (x["noun"] & x["verb"]))
+
+
+def phrase_parts(text: Column, phrase: Column) -> Column:
+    """What makes a phrase covered: (plain, noun, verb). Over several texts, plain in one or noun and verb in any will do."""
     plain = F.struct(F.coalesce(text, F.lit("")).alias("text"), strip(F.coalesce(phrase, F.lit(""))).alias("raw"))
     both = let(plain, lambda x: F.struct(x["text"].alias("text"), x["raw"].alias("raw"), normalize_for_match(x["text"]).alias("t"), normalize_for_match(x["raw"]).alias("p")))
     return let(both, lambda x: _covered(x["text"], x["raw"], x["t"], x["p"]))
@@ -111,9 +116,13 @@ def _covered(text: Column, raw: Column, t: Column, p: Column) -> Column:
     nouns = F.filter(F.array(*map(F.lit, sorted(DOCUMENT_NOUNS, key=len, reverse=True))), lambda n: F.contains(p, n))
     core = reduce(lambda c, v: F.replace(c, F.lit(v), F.lit("")), [*sorted(COMPLIANCE_VERBS, key=len, reverse=True), "要求", "规定"], p)
     noun = F.coalesce(F.get(nouns, 0), F.when(F.length(core) >= 4, core), F.lit(""))
-    by_noun = (noun != "") & F.contains(t, noun) & (contains_any(t, COMPLIANCE_VERBS) | contains_any(text, SUBSTANTIAL_KEYWORDS))
-    plain = F.contains(text, raw) | ((p != "") & F.contains(t, p))
-    return F.when(raw == "", True).when(plain, True).when(~is_compliance_phrase(raw), False).otherwise(F.exists(verbs, swapped) | by_noun)
+    plain = (raw == "") | F.contains(text, raw) | ((p != "") & F.contains(t, p))
+    says = is_compliance_phrase(raw)
+    return F.struct(
+        F.when(plain, True).when(~says, False).otherwise(F.exists(verbs, swapped)).alias("plain"),
+        F.when(~says, False).otherwise((noun != "") & F.contains(t, noun)).alias("noun"),
+        F.when(~says, False).otherwise(contains_any(t, COMPLIANCE_VERBS) | contains_any(text, SUBSTANTIAL_KEYWORDS)).alias("verb"),
+    )
 
 
 def keyword_core_variants(keyword: Column) -> Column:
@@ -314,8 +323,9 @@ def chapter_max_tokens(words: Column) -> Column:
 
 
 def word_count_display(n: Column) -> Column:
-    """(I58)"""
-    return F.when(n >= 10000, F.concat(F.format_string("%.2f", n / 10000.0), F.lit("万字"))).otherwise(F.concat(n.cast("string"), F.lit("字")))
+    """From 10,000 on in units of that, to two places of the binary value: a tie in decimals is none there."""
+    shown = F.call_function("format_number", n / F.lit(10000.0), F.lit("0.00"))
+    return F.when(n >= 10000, F.concat(shown, F.lit("万字"))).otherwise(F.concat(n.cast("string"), F.lit("字")))
 
 
 def capped(x: Column, limit: int, suffix: str) -> Column:

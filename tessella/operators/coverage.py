@@ -5,8 +5,14 @@ a JSON array)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import chapters
 from ..functions import text as tx
@@ -19,21 +25,29 @@ def bindings(leaves: DataFrame) -> DataFrame:
 
 def response_matrix(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
     """One row per requirement: status, n_bound, n_matched (leaves with a match), missing (elements), in every status of
-    the matrix. Candidates are matched per leaf, elements over the joined texts of all bound leaves. (D05, Y01, Y02)"""
-    req = requirements.withColumn("candidates", tx.coverage_candidates(F.col("title"), F.col("keyword")))
+    the matrix. (D05, Y01, Y02)
+
+    An element is covered by all bound leaves together: one holds the phrase, or one its noun and one a verb of
+    compliance. A phrase that begins in one leaf and ends in the next does not count. All is tested where a leaf meets a
+    requirement; only flags leave that row, and they are counted together before they are shuffled."""
+    req = requirements.withColumn("candidates", tx.coverage_candidates(F.col("title"), F.col("keyword"))).withColumn("asked", tx.split_mandatory_elements(F.col("elements")))
     pairs = bindings(leaves).join(leaves.select(F.col("id").alias("leaf_id"), "content"), "leaf_id")
-    pairs = pairs.join(req.select(F.col("id").alias("requirement_id"), "candidates"), "requirement_id")
+    pairs = pairs.join(req.select(F.col("id").alias("requirement_id"), "candidates", "asked"), "requirement_id")
     content = F.coalesce("content", F.lit(""))
-    entry = F.struct(F.col("leaf_id"), F.col("pos"), (tx.strip(content) != "").alias("has_content"), tx.matched_candidates(content, F.col("candidates")).alias("matched"), content.alias("content"))
-    bound = pairs.groupBy("requirement_id").agg(F.array_sort(F.collect_list(entry)).alias("bound"))
-    out = req.join(bound.withColumnRenamed("requirement_id", "id"), "id", "left")
-    none = F.array().cast(bound.schema["bound"].dataType)
-    bound = F.coalesce("bound", none)
-    joined = F.array_join(F.transform(bound, lambda b: b["content"]), "\n")
-    missing = F.filter(tx.split_mandatory_elements(F.col("elements")), lambda e: ~tx.phrase_covered(joined, e))
-    out = out.withColumn("b", bound).withColumn("missing", missing)
-    status = chapters.row_status(F.col("b"), F.col("missing"), F.coalesce(F.col("status") == "ignored", F.lit(False)))
-    return out.select("id", "is_risk", status.alias("status"), F.size("b").alias("n_bound"), F.size(F.filter("b", lambda b: F.size(b["matched"]) > 0)).alias("n_matched"), "missing")
+    bound = pairs.select("requirement_id", (tx.strip(content) != "").alias("has_content"), (F.size(tx.matched_candidates(content, F.col("candidates"))) > 0).alias("matched"))
+    bound = bound.groupBy("requirement_id").agg(
+        F.count("*").alias("n_bound"), F.count_if("matched").alias("n_matched"), F.bool_or("has_content").alias("written"), F.bool_or(F.col("has_content") & F.col("matched")).alias("answered")
+    )
+    part = pairs.select("requirement_id", "content", F.explode(F.array_distinct("asked")).alias("e")).withColumn("p", tx.phrase_parts(content, F.col("e")))
+    part = part.groupBy("requirement_id", "e").agg(F.bool_or("p.plain").alias("plain"), F.bool_or("p.noun").alias("noun"), F.bool_or("p.verb").alias("verb"))
+    met = part.where("plain OR (noun AND verb)").groupBy("requirement_id").agg(F.collect_set("e").alias("met"))
+    out = req.join(bound.join(met, "requirement_id", "left").withColumnRenamed("requirement_id", "id"), "id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("missing", F.filter("asked", lambda e: ~F.array_contains(F.coalesce("met", none), e)))
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    n = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("int").alias(name)
+    status = chapters.row_status(n("n_bound") > 0, yes("written"), yes("answered"), F.size("missing") == 0, F.coalesce(F.col("status") == "ignored", F.lit(False)))
+    return out.select("id", "is_risk", status.alias("status"), n("n_bound"), n("n_matched"), "missing")
 
 
 def matrix_summary(matrix: DataFrame) -> DataFrame:
@@ -60,13 +74,76 @@ def uncovered(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
     )
 
 
-def document_coverage(requirements: DataFrame, document: DataFrame) -> DataFrame:
-    """(id, doc_id, status, n_matched) of each document (doc_id, text) against a stated set of requirements, which is
-    broadcast: covered with the exact title or two candidates, partial with one. (D13, Q27)"""
-    req = requirements.where(F.coalesce("status", F.lit("")) != "ignored").select("id", tx.normalize_for_match(F.col("title")).alias("t"), F.transform(tx.coverage_candidates(F.col("title"), F.col("keyword")), tx.normalize_for_match).alias("cs"))
-    # each distinct candidate is looked for once in a document, not once for every requirement that has it
-    words = req.agg(F.array_distinct(F.flatten(F.collect_set("cs"))).alias("words"))
-    doc = document.select("doc_id", tx.normalize_for_match(F.col("text")).alias("d")).join(F.broadcast(words))
-    doc = doc.select("doc_id", "d", F.filter("words", lambda w: F.contains("d", w)).alias("hits"))
-    both = doc.join(F.broadcast(req)).select("id", "doc_id", F.contains("d", "t").alias("exact"), F.size(F.array_intersect("hits", "cs")).alias("n_matched"))
-    return both.select("id", "doc_id", F.when(F.col("exact") | (F.col("n_matched") >= 2), "covered").when(F.col("n_matched") == 1, "partial").otherwise("missing").alias("status"), "n_matched")
+#: Requirements that are looked for in one pass over the documents.
+BLOCK = 20_000
+
+
+def document_coverage(requirements: DataFrame, documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, doc_id, status, n_matched) of the pairs of a requirement and a document (doc_id, text) that holds at least one
+    candidate or the title: covered with the exact title or two candidates, else partial. A pair without a row is missing,
+    so no row is made for it; `coverage_counts` counts those. (D13, Q27)
+
+    The requirements are a stated set. They are taken in blocks of about `block`, each sent to the tasks as one automaton
+    of its distinct words; a text is normalised where it is read and run through it once, whatever the number of words."""
+    req = requirements.where(F.coalesce("status", F.lit("")) != "ignored")
+    req = req.select("id", tx.normalize_for_match(F.col("title")).alias("t"), F.transform(tx.coverage_candidates(F.col("title"), F.col("keyword")), tx.normalize_for_match).alias("cs"))
+    found = words_in_texts(req, documents.select("doc_id", tx.normalize_for_match(F.col("text")).alias("d")), block)
+    status = F.when(F.col("exact") | (F.col("n_matched") >= 2), "covered").otherwise("partial")
+    return found.select("id", "doc_id", status.alias("status"), "n_matched")
+
+
+def words_in_texts(asked: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, doc_id, exact, n_matched) for texts (doc_id, d) that hold words of asked (id, cs and, if given, t): whether t is
+    in d, and how many of cs are. asked is a stated set, taken in blocks of about `block`."""
+    asked = asked if "t" in asked.columns else asked.withColumn("t", F.lit(None).cast("string"))
+    asked = asked.select("id", "t", "cs")
+    blocks = max(1, -(-asked.count() // block))
+    schema = T.StructType([asked.schema["id"], texts.schema["doc_id"], *T.StructType.fromDDL("exact boolean, n_matched int").fields])
+    found = [texts.select("doc_id", "d").mapInArrow(_matcher(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()), schema) for k in range(blocks)]
+    return reduce(DataFrame.union, found)
+
+
+def coverage_counts(requirements: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, covered, partial, missing, n_matched) of every requirement that is not ignored, over all documents."""
+    n = F.count_if
+    by = document_coverage(requirements, documents).groupBy("id").agg(n(F.col("status") == "covered").alias("covered"), n(F.col("status") == "partial").alias("partial"), F.sum("n_matched").alias("n_matched"))
+    asked = requirements.where(F.coalesce("status", F.lit("")) != "ignored").select("id")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
+    total = documents.count()
+    return asked.join(by, "id", "left").select("id", zero("covered").alias("covered"), zero("partial").alias("partial"), (F.lit(total) - zero("covered") - zero("partial")).alias("missing"), zero("n_matched").alias("n_matched"))
+
+
+def _matcher(req: pa.Table):
+    """Finds the words of the requirements (id, t, cs) in normalised texts (doc_id, d)."""
+    ids, titles, words = req.column("id").combine_chunks(), req.column("t").to_pylist(), req.column("cs").to_pylist()
+    owners: dict[str, tuple[list[int], list[int]]] = {}
+    for i, (title, cs) in enumerate(zip(titles, words, strict=True)):
+        if title is not None:
+            owners.setdefault(title, ([], []))[0].append(i)
+        for w in cs:
+            owners.setdefault(w, ([], []))[1].append(i)
+    always = np.zeros(len(ids), bool)
+    always[owners.pop("", ([], []))[0]] = True  # an empty title is in every text
+    names = list(owners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, w in enumerate(names):
+            automaton.add_word(w, k)
+        automaton.make_automaton()
+        exact_of, word_of = ([np.array(owners[w][side], np.int64) for w in names] for side in (0, 1))
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                hits = {k for _, k in automaton.iter(text.as_py())} if names else ()
+                exact, n = always.copy(), np.zeros(len(ids), np.int32)
+                for k in hits:
+                    exact[exact_of[k]] = True
+                    n[word_of[k]] += 1
+                at = np.flatnonzero(exact | (n > 0))
+                if len(at):
+                    same = pa.array([doc_id.as_py()] * len(at), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), same, pa.array(exact[at]), pa.array(n[at])], ["id", "doc_id", "exact", "n_matched"])
+
+    return run

@@ -147,8 +147,7 @@ SELECT item_id AS id, count(*) FILTER (exact OR n >= 2) AS covered, count(*) FIL
 def document_coverage(spark, sf_dir):
     """Beginnings of the benchmark passages as titles, looked for in all documents."""
     asked = table(spark, sf_dir, "benchmark").select(c("item_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.lit("").alias("keyword"), F.lit("pending").alias("status"))
-    found = coverage.document_coverage(asked, table(spark, sf_dir, "documents"))
-    return found.groupBy("id").agg(F.count_if(c("status") == "covered").alias("covered"), F.count_if(c("status") == "missing").alias("missing"))
+    return coverage.coverage_counts(asked, table(spark, sf_dir, "documents")).select("id", "covered", "missing")
 
 
 @query("d13_passage_coverage", f"""WITH q AS (SELECT item_id, {_PLAIN.format(x="text")} AS t, list_distinct(list_filter(list_transform(list_filter(
@@ -158,8 +157,7 @@ SELECT item_id AS id, count(*) FILTER (exact OR n >= 2) AS covered, count(*) FIL
 def passage_coverage(spark, sf_dir):
     """Whole benchmark passages, and all their words, looked for in all documents."""
     asked = table(spark, sf_dir, "benchmark").select(c("item_id").alias("id"), c("text").alias("title"), F.lit("").alias("keyword"), F.lit("pending").alias("status"))
-    found = coverage.document_coverage(asked, table(spark, sf_dir, "documents"))
-    return found.groupBy("id").agg(F.count_if(c("status") == "covered").alias("covered"), F.count_if(c("status") == "missing").alias("missing"), F.sum("n_matched").alias("n_matched"))
+    return coverage.coverage_counts(asked, table(spark, sf_dir, "documents")).select("id", "covered", "missing", "n_matched")
 
 
 @query("d01_standards_of_domain", f"""{cte("standard")} SELECT s.raw_code, s.title, s.status FROM standard s JOIN (SELECT DISTINCT raw_code AS code FROM standard WHERE domain = 'Brand#1') l ON s.raw_code = l.code""")

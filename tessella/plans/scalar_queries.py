@@ -87,7 +87,7 @@ project(
 )
 project(
     "i58_word_count_display", "note", lambda: {"shown": tx.word_count_display(F.floor("amount").cast("int"))},
-    "CASE WHEN floor(amount) >= 10000 THEN CAST(CAST(round(CAST(CAST(floor(amount) AS INT) AS DECIMAL(18, 4)) / 10000, 2) AS DECIMAL(18, 2)) AS STRING) || '万字' ELSE CAST(CAST(floor(amount) AS INT) AS STRING) || '字' END AS shown",
+    "CASE WHEN floor(amount) >= 10000 THEN format('{:.2f}', CAST(floor(amount) AS DOUBLE) / CAST(10000 AS DOUBLE)) || '万字' ELSE CAST(CAST(floor(amount) AS INT) AS STRING) || '字' END AS shown",
 )
 project(
     "i59_capped", "chunk", lambda: {"cut": F.md5(tx.capped(c("text"), 1000, "……（已截断）"))},
@@ -127,7 +127,7 @@ project("c19_should_segment", "section", lambda: {"segment": ch.should_segment(c
 project("y35_style_tier", "section", lambda: {"tier": ch.style_tier(F.when(c("key_points") == 1, " Rigorous ").when(c("key_points") == 2, c("name")))}, "CASE WHEN key_points = 1 THEN 'rigorous' ELSE 'balanced' END AS tier")
 project(
     "h06_character_grams", "chunk", lambda: {"n": F.size(tx.character_grams(c("text"), 8, "[^A-Za-z]"))},
-    "CAST(list_unique(list_transform(generate_series(1, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) - 7), lambda i: substring(regexp_replace(text, '[^A-Za-z]', '', 'g'), i, 8))) AS INT) AS n",
+    "CAST((SELECT count(DISTINCT substring(pure, CAST(i AS INT), 8)) FROM (SELECT pure, unnest(generate_series(1, length(pure) - 7)) AS i FROM (SELECT regexp_replace(text, '[^A-Za-z]', '', 'g') AS pure) p) g) AS INT) AS n",
 )
 
 
