@@ -20,10 +20,13 @@ INPUTS = {
         CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS is_risk,
         CASE WHEN p_size % 10 = 0 THEN 'ignored' WHEN p_size % 2 = 0 THEN 'confirmed' ELSE 'pending' END AS status FROM part""",
     # chapters: a document each, with passages that rules look for
-    "chapter": f"""SELECT doc_id AS id, {_CASE.format(k="doc_id")} AS title, 40 AS duration_days, 300 AS target_words, CAST(doc_id % 8 AS INT) AS kind,
-        text || CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN chr(10) || chr(10) || '工期为90天，XXX公司负责' WHEN 1 THEN chr(10) || '综上所述，施工采用全方位闭环管理，我们将赋能。'
-        WHEN 2 THEN '[GANTT_DATA:{{"tasks":[1' WHEN 3 THEN '本公司联系人：张三' WHEN 4 THEN '  x　y）' WHEN 5 THEN chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 |'
-        WHEN 6 THEN chr(10) || '# 服务范围' || chr(10) || 'end，' ELSE '' END AS content FROM documents""",
+    "chapter": f"""SELECT *, CASE kind WHEN 7 THEN '# 概述' || chr(10) WHEN 8 THEN title || '：' || chr(10) || chr(10) ELSE '' END || text || CASE kind WHEN 0 THEN chr(10) || chr(10) || '工期为90天，XXX公司负责'
+        WHEN 1 THEN chr(10) || '综上所述，施工采用全方位闭环管理，我们将赋能。' WHEN 2 THEN '[GANTT_DATA:{{"tasks":[1' WHEN 3 THEN '本公司联系人：张三' WHEN 4 THEN '  x　y）'
+        WHEN 5 THEN chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 |' WHEN 6 THEN chr(10) || '# 服务范围' || chr(10) || 'end，'
+        WHEN 9 THEN chr(10) || chr(10) || '本工程采用甲，一' || chr(10) || chr(10) || '本工程采用甲，二' || chr(10) || chr(10) || '本工程采用甲，三'
+        WHEN 10 THEN chr(10) || chr(10) || '针对现场条件，一' || chr(10) || chr(10) || '甲乙丙丁' || chr(10) || chr(10) || '针对现场条件，二' || chr(10) || chr(10) || '戊' || chr(10) || chr(10) || '针对现场条件，三'
+        WHEN 11 THEN chr(10) || '本节论述施工方案与质量及进度的关系；' || chr(10) || '质量' ELSE '' END AS content FROM
+        (SELECT doc_id AS id, {_CASE.format(k="doc_id")} AS title, 40 AS duration_days, 300 AS target_words, CAST(doc_id % 12 AS INT) AS kind, text FROM documents) x""",
     # lines of documents
     "chunk": "SELECT doc_id AS id, source AS folder, text, n_chars FROM documents",
     # standards: a part each, some under a code that needs normalising
