@@ -38,3 +38,14 @@ def depth_first(walked: DataFrame) -> DataFrame:
     before = F.sum("size").over(W.orderBy("root_key").rowsBetween(W.unboundedPreceding, -1))
     trees = trees.select("root_id", F.coalesce(before, F.lit(0)).alias("before"))
     return own.join(trees, "root_id").withColumn("rank", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
+
+
+def leaves(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of depth_first() that have no children, with their place among leaves. A leaf's place is counted within
+    its tree; what earlier trees hold is one row a tree. (F08)"""
+    parents = nodes.select(F.col("parent_id").alias("pid")).where("pid IS NOT NULL").distinct()
+    bare = ranked.join(parents, ranked["id"] == parents["pid"], "left_anti")
+    own = bare.withColumn("own", F.row_number().over(W.partitionBy("root_id").orderBy("rank")))
+    trees = own.groupBy("root_id").agg(F.max("own").alias("size"), F.min("rank").alias("first"))
+    before = F.coalesce(F.sum("size").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return own.join(trees.select("root_id", before.alias("before")), "root_id").withColumn("place", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")

@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from . import ordered_queries, relational_queries, rule_queries, scalar_queries, statement_queries
+from . import document_queries, ordered_queries, relational_queries, rule_queries, scalar_queries, statement_queries, text_queries
 
-PLANS = (scalar_queries, relational_queries, rule_queries, ordered_queries, statement_queries)
+PLANS = (scalar_queries, text_queries, relational_queries, rule_queries, document_queries, ordered_queries, statement_queries)
