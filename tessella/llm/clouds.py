@@ -12,6 +12,10 @@ s(X) = |d| (t0 + t1) - (t1 - t0) |X| for a threshold of t0 / t1:
 First the reference is moved to the majority: elements that more than half of the differences hold are flipped, so
 every list holds half of its group at most. Short lists give candidate pairs, long ones are groups again.
 Groups and lists whose members are all connected already are left alone.
+
+One group may hold most rows. What is known of a group is counted where its rows lie, before it is shuffled, and joined
+back by `join_groups`, which sends it to all executors or deals large groups out by member; no stage takes rows by group
+alone.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 from .components import connected
 
 
@@ -31,8 +35,9 @@ def _difference(a, b):
 def groups(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(g, id, n, d) from lists (v, id): a list's members against its least member."""
     least = lists.groupBy("v").agg(F.min("id").alias("g"))
-    pairs = lists.select("v", "id").join(least, "v").select("g", "id").distinct()
-    found = pairs.join(sets.select("id", F.col("set").alias("x")), "id").join(sets.select(F.col("id").alias("g"), F.col("set").alias("y")), "g")
+    pairs = join_groups(lists.select("v", "id"), least, ["v"]).select("g", "id").distinct()
+    heads = sets.select(F.col("id").alias("g"), F.col("set").alias("y")).join(least.select("g").distinct(), "g", "left_semi")
+    found = join_groups(pairs.join(sets.select("id", F.col("set").alias("x")), "id"), heads, ["g"])
     return written(found.select("g", "id", F.size("x").cast("long").alias("n"), _difference("x", "y").alias("d")), "groups")
 
 
@@ -40,8 +45,8 @@ def _centred(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The rows against the majority, with s."""
     sizes = rows.groupBy("g").agg(F.count("*").alias("m"))
     often = rows.select("g", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count("*").alias("c"))
-    flips = often.join(sizes, "g").where("2 * c > m").groupBy("g").agg(F.collect_list("e").alias("f"))
-    moved = rows.join(flips, "g", "left").withColumn("d", F.when(F.col("f").isNull(), F.col("d")).otherwise(_difference("d", "f"))).drop("f")
+    flips = join_groups(often, sizes, ["g"], spread="e").where("2 * c > m").groupBy("g").agg(F.collect_list("e").alias("f"))
+    moved = join_groups(rows, written(flips, "flips"), ["g"], "left").withColumn("d", F.when(F.col("f").isNull(), F.col("d")).otherwise(_difference("d", "f"))).drop("f")
     return written(moved.withColumn("s", F.size("d") * (t[0] + t[1]) - F.col("n") * (t[1] - t[0])), "centred")
 
 
@@ -49,7 +54,7 @@ def _postings(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(g, e, lo, hi, id, comp, k, i, z, s): element e is the i-th of z of a member of class k, for the classes lo, hi."""
     unit = t[0] + t[1]
     best = rows.groupBy("g").agg(F.min("s").alias("low"))
-    rows = rows.join(best, "g").withColumn("k", F.floor(F.log2((F.col("s") - F.col("low")) / unit + 1)).cast("int"))
+    rows = join_groups(rows, best, ["g"]).withColumn("k", F.floor(F.log2((F.col("s") - F.col("low")) / unit + 1)).cast("int"))
     classes = rows.groupBy("g").agg(F.collect_set("k").alias("ks"))
     flat = rows.select("g", "id", "comp", "k", "s", "low", F.size("d").alias("z"), F.explode("d").alias("e"))
     often = flat.groupBy("g", "e").agg(F.count("*").alias("c")).where("c > 1")
@@ -62,7 +67,7 @@ def _postings(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
         shared = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2 * unit) - 1e-6))
         return F.col("i") <= F.col("z") - shared + 1
 
-    flat = flat.join(classes, "g").withColumn("other", F.explode(F.filter("ks", within)))
+    flat = join_groups(flat, classes, ["g"]).withColumn("other", F.explode(F.filter("ks", within)))
     return flat.select("g", "e", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"), "id", "comp", "k", "i", "z", "s")
 
 
@@ -86,24 +91,26 @@ def resolve(rows: DataFrame, links: DataFrame, t: tuple[int, int], hot: int) ->
     for _ in range(40):
         rows = _centred(rows, t)
         hub = rows.groupBy("g").agg(F.min_by("id", F.struct("s", "id")).alias("a"), F.min("s").alias("low"))
-        star = rows.join(hub, "g").where((F.col("id") != F.col("a")) & (F.col("s") + F.col("low") <= 0)).select("a", F.col("id").alias("b"))
+        star = join_groups(rows, hub, ["g"]).where((F.col("id") != F.col("a")) & (F.col("s") + F.col("low") <= 0)).select("a", F.col("id").alias("b"))
         links = written(links.union(star).distinct(), "links")
         comps = connected(links)
         placed = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         open_ = placed.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-        rows = written(placed.join(open_, "g", "left_semi"), "open")
+        open_ = written(open_, "open-groups")
+        rows = written(join_groups(placed, open_, ["g"], "left_semi"), "open")
         if not rows.head(1):
             break
         postings = written(_postings(rows, t), "cloud-postings")
         key = ["g", "e", "lo", "hi"]
         lists = postings.groupBy(*key).agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
         lists = written(lists.select(*key, "c"), "cloud-lists")
-        found = written(_candidates(postings.join(lists.where(F.col("c") <= hot), key, "left_semi"), t), "cloud-pairs")
+        short = join_groups(postings, lists.where(F.col("c") <= hot), key, "left_semi", lists)
+        found = written(_candidates(short, t), "cloud-pairs")
         candidates = found if candidates is None else candidates.union(found)
         long = lists.where(F.col("c") > hot)
         if not long.head(1):
             break
-        members = postings.join(long, key, "left_semi").select(F.xxhash64(*key).alias("next"), "g", "id").distinct()
+        members = join_groups(postings, long, key, "left_semi", lists).select(F.xxhash64(*key).alias("next"), "g", "id").distinct()
         rows = members.join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("next").alias("g"), "id", "n", "d")
         rows = written(rows, "groups")
     else:

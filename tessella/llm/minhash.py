@@ -121,7 +121,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFram
 def _listed(postings: DataFrame, name: str) -> DataFrame:
     """(v, id, n, c) of the postings whose list has c >= 2 members, as a table. Counting combines before it shuffles."""
     lists = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    return common.written(postings.join(lists, "v").select("v", "id", "n", "c"), name)
+    lists = common.written(lists, f"{name}-sizes")
+    return common.written(common.join_groups(postings, lists, ["v"], sizes=lists).select("v", "id", "n", "c"), name)
 
 
 def _combined(hot: int):
@@ -159,7 +160,8 @@ def _full_lists(sets: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     rows = common.written(sized.mapInArrow(_combined(hot), "v long, id long, n long, c long"), "full-postings")
     lists = rows.where("v IS NOT NULL").groupBy("v").agg(F.sum("c").alias("size")).where("size > 1")
     single = rows.where("v IS NOT NULL AND id IS NOT NULL").select("v", "id", "n")
-    again = common.written(single.join(lists, "v").select("v", "id", "n", F.col("size").alias("c")), "full-lists")
+    lists = common.written(lists.withColumnRenamed("size", "c"), "full-sizes")
+    again = common.written(common.join_groups(single, lists, ["v"], sizes=lists).select("v", "id", "n", "c"), "full-lists")
     long = again.where(F.col("c") > hot).select("id", "n", F.lit(1).cast("long").alias("c")).union(rows.where("v IS NULL").select("id", "n", "c"))
     return again.where(F.col("c") <= hot), long.groupBy("id", "n").agg(F.sum("c").alias("h"))
 
@@ -168,7 +170,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
     """One row per row of docs: doc_id, n_shingles, component_id, kept. threshold: least similarity, as a fraction."""
     t = threshold
     every = common.written(sketches(docs, width, k), "sketches")
-    classes = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("c"))
     classes = common.written(classes, "classes")
     nodes = classes.select("id", "n", "sketch")
 
@@ -213,7 +215,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
 
     names = classes.select("fp", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     names = names.select("fp", F.coalesce("component", "rep").alias("class"))
-    out = every.select("doc_id", "n", "fp").join(names, "fp", "left")
+    names = common.written(names, "names")
+    out = common.join_groups(every.select("doc_id", "n", "fp"), names, ["fp"], "left", classes.select("fp", "c"), "doc_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -226,10 +229,10 @@ def deduplicated(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> Dat
     kept = found.where("kept").select("doc_id").distinct()
     gone = common.written(found.where("NOT kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "gone")
     repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    left = docs.join(F.broadcast(gone) if common.small(gone, 1_000_000) else gone, "doc_id", "left_anti")
+    left = docs.join(common.sent(gone), "doc_id", "left_anti")
     if repeats.head(1):
-        again = left.join(repeats, "doc_id", "left_semi")
-        first = again.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
+        again, nth = left.join(repeats, "doc_id", "left_semi"), common.fresh(docs, "nth")
+        first = again.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).drop(nth)
         left = left.join(repeats, "doc_id", "left_anti").unionByName(first)
     return left.select(*docs.columns)
 
