@@ -68,6 +68,33 @@ def test_hot_groups(spark, t):
     check(spark, docs, t, k=16, hot=4, enough=11)
 
 
+@pytest.mark.parametrize("words", range(7))
+def test_slices_of_few_words(words):
+    """A slice may hold fewer words than a shingle has."""
+    import pyarrow as pa
+
+    text = " ".join("cdefghi"[:words])
+    assert [len(s) for s in common.shingle_sets(pa.array([text]), 5)] == [len(shingles(text))]
+    one, two, _ = common.shingle_sets(pa.array([text, text.upper(), None]), 5)
+    assert one.tolist() == two.tolist()
+
+
+def test_hot_groups_dealt_out(spark, monkeypatch):
+    """The same results when nothing may be sent to all executors and keys of more than ten rows are dealt out."""
+    monkeypatch.setattr(common, "small", lambda df, most=0: False)
+    monkeypatch.setattr(common, "DEALT", 10)
+    test_hot_groups(spark, (80, 100))
+
+
+def test_long_text_and_clashing_names(spark):
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(400_000))
+    rows = [(1, long, 7), (2, long + " more", 8), (2, "x y z", 9), (3, "q" * 3_000_000, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth long").selectExpr("*", "_nth AS nth", "_nth AS n", "_nth AS kept")
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["_nth"], r["nth"]) for r in kept.collect()) == [(1, 7, 7), (3, 10, 10)]
+
+
 def test_edges(spark):
     """Null, empty and blank texts, null ids, repeated rows, extra columns."""
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "a b", None), (5, "A B", "x"), (5, "A B", "x"), (None, "a b", "x"), (6, "one two three four five six", "x")]
