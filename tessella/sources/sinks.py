@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 MARKS = {"block": "✗", "warn": "!", "info": "·"}
@@ -24,9 +24,11 @@ def export(datasets: dict[str, DataFrame], folder: str) -> None:
 
 
 def append_files(chunks: DataFrame, stored: DataFrame, path: str) -> int:
-    """Appends the bodies that the stored ones do not hold (by MD5) as text; returns how many."""
-    fresh = chunks.withColumn("h", F.md5("text")).join(stored.select(F.md5("text").alias("h")).distinct(), "h", "left_anti").dropDuplicates(["h"])
-    n = fresh.count()
-    if n:
-        fresh.select(F.regexp_replace("text", "\n", " ").alias("value")).write.mode("append").text(path)
-    return n
+    """Appends the bodies that the stored ones do not hold as lines of text, line feeds within them as spaces; returns how
+    many. Bodies are compared as they are stored, so a second run adds nothing. (A23)"""
+    body = F.regexp_replace("text", r"\s*\n\s*", " ")
+    known = stored.select(F.md5(body).alias("h")).distinct()
+    fresh = chunks.select(body.alias("value"), F.md5(body).alias("h")).join(known, "h", "left_anti").dropDuplicates(["h"])
+    seen = Observation()
+    fresh.select("value").observe(seen, F.count("*").alias("n")).write.mode("append").text(path)
+    return seen.get["n"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -56,7 +57,12 @@ def uploaded_table(spark: SparkSession, path: str) -> DataFrame:
 def import_standards(rows: DataFrame, code: str = "编号", title: str = "标题", category: str = "类别", status: str = "状态", domains: str = "适用领域") -> DataFrame:
     """(row, code, raw_code, title, category, status, domains, error) of an uploaded table; rows without a code carry an
     error. row counts from 2, as in the file; it follows the order of reading. (A14)"""
-    numbered = rows.withColumn("row", F.monotonically_increasing_id() + 2)
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    numbered = placed.withColumn("_part", part).join(starts, "_part").withColumn("row", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 2)
     name = lambda c, default: F.coalesce(F.nullif(tx.strip(F.col(c)), F.lit("")), F.lit(default))
     parts = F.filter(F.transform(F.split(F.replace(domains, F.lit(";"), F.lit("；")), "；"), tx.strip), lambda d: d != "")
     blank = tx.strip(F.col(code)) == ""
