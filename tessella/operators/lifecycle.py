@@ -129,3 +129,31 @@ def restored(chapters: DataFrame, snapshots: DataFrame, wanted: DataFrame) -> tu
     both = chapters.join(old.withColumn("found", F.lit(True)), "id", "left")
     after = both.select("id", F.when(F.col("found"), F.col("old")).otherwise(F.col("content")).alias("content"))
     return after, both.where("found").select(F.col("id").alias("chapter_id"), "content")
+
+
+def without_items(items: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items without those in gone (id), and (id, found): whether each of them was there."""
+    ids = gone.select("id").distinct()
+    known = items.select("id").distinct().withColumn("known", F.lit(True))
+    return items.join(ids, "id", "left_anti"), ids.join(known, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("found"))
+
+
+def folders_of(bridge: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, folders): the folders that are enabled for each project (project_id), sorted; none: an empty list."""
+    by = bridge.groupBy("project_id").agg(F.array_sort(F.collect_set("folder")).alias("folders"))
+    return projects.select("project_id").distinct().join(by, "project_id", "left").select("project_id", F.coalesce("folders", F.array().cast("array<string>")).alias("folders"))
+
+
+def confirmed_fields(confirmed: Column, touched: Column, protectable: list[str]) -> Column:
+    """Fields that a person has confirmed: those so far and those touched that can be protected, sorted."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(confirmed, none), F.array_intersect(F.coalesce(touched, none), F.array(*map(F.lit, protectable)))))
+
+
+def folder_states(states: DataFrame, patch: DataFrame) -> DataFrame:
+    """states (folder, status, error, item_count) with those of patch in their place; a count that patch leaves null stays, and
+    an error goes with a new status. (Y10)"""
+    new = patch.select("folder", F.col("status").alias("s"), F.col("error").alias("e"), F.col("item_count").alias("n"), F.lit(True).alias("given"))
+    both = states.join(new, "folder", "full")
+    pick = lambda a, b: F.when(F.col("given"), F.col(a)).otherwise(F.col(b))
+    return both.select("folder", pick("s", "status").alias("status"), pick("e", "error").alias("error"), F.coalesce("n", "item_count").alias("item_count"))

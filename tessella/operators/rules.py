@@ -122,12 +122,22 @@ def template_residue(c: Chapter) -> Column:
 
 @rule("blind_bid", "blind_bid", "block")
 def blind_bid(c: Chapter) -> Column:
-    marks = F.transform(found_in(c.content, COMPANY_MARKERS), lambda w: F.concat(F.lit("暗标违规：出现「"), w, F.lit("」")))
-    first = lambda p: F.substring(F.regexp_extract(c.content, p, 0), 1, 40)
+    return _identities(c.content)
+
+
+def _identities(text: Column) -> Column:
+    marks = F.transform(found_in(text, COMPANY_MARKERS), lambda w: F.concat(F.lit("暗标违规：出现「"), w, F.lit("」")))
+    first = lambda p: F.substring(F.regexp_extract(text, p, 0), 1, 40)
     seen = [F.when(first(p) != "", F.concat(F.lit("暗标违规：疑似身份信息「"), first(p), F.lit("」"))) for p in IDENTITY_PATTERNS]
     return F.slice(F.array_distinct(F.concat(marks, _strings(*seen))), 1, 8)
 
 
+def blind_bid_residues(text: Column, enabled: Column) -> Column:
+    """Messages for an identity that shows, the first eight, where a bid is blind; else none."""
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(enabled, F.lit(False)), _identities(F.coalesce(text, F.lit("")))).otherwise(none)
+
+
 @rule("ai_spacing", "writing_quality", scopes=("chapter", "segment"))
 def ai_spacing(c: Chapter) -> Column:
     wide = c.content.contains("  ") & F.exists(c.lines, lambda x: x.contains("  ") & ~tx.strip(x).rlike(TABLE_ROW))
