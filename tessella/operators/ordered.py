@@ -88,6 +88,14 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "old", "new").mapInPandas(run, T.StructType([pairs.schema["id"], *T.StructType.fromDDL("diff string, added int, removed int").fields]))
 
 
+def line_changes(pairs: DataFrame) -> DataFrame:
+    """(id, added, removed) of pairs (id, old, new) with a change: lines that the new version holds more often, and less often,
+    than the old one, wherever they stand. Lines count together before they are shuffled. (E22)"""
+    each = lambda name, by: pairs.select("id", F.explode(F.split(F.coalesce(name, F.lit("")), r"\r\n|\r|\n")).alias("line")).select("id", F.xxhash64("line").alias("h"), F.lit(by).alias("by"))
+    moved = each("new", 1).union(each("old", -1)).groupBy("id", "h").agg(F.sum("by").alias("n")).where("n <> 0")
+    return moved.groupBy("id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+
+
 def balanced(text: str, at: int) -> int:
     """The place after the bracket that closes the one at `at`, strings and escapes apart; -1 if none does."""
     close = {"{": "}", "[": "]"}

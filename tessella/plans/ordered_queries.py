@@ -37,10 +37,21 @@ def fuzzy_titles(spark, sf_dir):
     return ordered.fuzzy_distinct(rows, "p_brand")
 
 
+def _versions(spark, sf_dir):
+    """Every line that ends in e is another one in the new version."""
+    return table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), c("text").alias("old"), F.regexp_replace("text", r"e(\n|$)", "e!$1").alias("new"))
+
+
 @query("e22_version_diff")
 def version_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return ordered.line_diff(docs.select(c("doc_id").alias("id"), c("text").alias("old"), F.regexp_replace("text", "the\n", "the end\n").alias("new")))
+    return ordered.line_diff(_versions(spark, sf_dir))
+
+
+@query("e22_line_changes", r"""WITH v AS (SELECT doc_id AS id, text AS old, regexp_replace(text, 'e(\n|$)', 'e!\1', 'g') AS new FROM documents),
+m AS (SELECT id, line, sum(s) AS n FROM (SELECT id, unnest(string_split(new, chr(10))) AS line, 1 AS s FROM v UNION ALL SELECT id, unnest(string_split(old, chr(10))), -1 FROM v) x GROUP BY ALL HAVING sum(s) <> 0)
+SELECT id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM m GROUP BY id""")
+def line_changes(spark, sf_dir):
+    return ordered.line_changes(_versions(spark, sf_dir))
 
 
 @query("k06_charts", """SELECT doc_id AS id, CAST(length(text) AS INT) AS start, 'FLOW_DATA' AS kind, doc_id % 2 = 0 AS valid FROM documents""")
@@ -76,8 +87,8 @@ def event_stream(spark, sf_dir):
     return spark.table(name)
 
 
-@query("x01_all_chapter_rules_on_notes")
+@query("x01_all_chapter_rules_on_notes", "SELECT 'word_count' AS check_id, count(*) AS n FROM orders")
 def rules_on_notes(spark, sf_dir):
     from ..operators import rules
 
-    return rules.findings(given(spark, sf_dir, "note").select("id", c("note").alias("content"), c("title"))).groupBy("check_id").agg(F.count("*").alias("n"))
+    return rules.findings(given(spark, sf_dir, "note").select("id", c("note").alias("content"), c("title"), F.lit(300).alias("target_words"))).groupBy("check_id").agg(F.count("*").alias("n"))

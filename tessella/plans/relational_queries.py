@@ -178,7 +178,7 @@ def siblings(spark, sf_dir):
     """Counted by parent, not by pairing siblings."""
     cust = table(spark, sf_dir, "customer")
     sizes = cust.groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return cust.join(F.broadcast(sizes), cust["c_nationkey"].eqNullSafe(sizes["c_nationkey"])).where("n > 1").select(c("c_custkey").alias("id"), (c("n") - 1).alias("siblings"))
+    return cust.join(sizes, cust["c_nationkey"].eqNullSafe(sizes["c_nationkey"])).where("n > 1").select(c("c_custkey").alias("id"), (c("n") - 1).alias("siblings"))
 
 
 @query("d26_resolve_domain", """SELECT o_orderkey AS id, coalesce(c_mktsegment, 'default') AS domain FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0""")
