@@ -202,3 +202,95 @@ def gantt_tasks(raw: Column) -> Column:
         return F.transform(ts, one)
 
     return tx.let(tasks, spans)
+
+
+def default_boundary(title: Column) -> Column:
+    """The boundary of a chapter of aims or of an overview that has none of its own; else null."""
+    t = F.coalesce(title, F.lit(""))
+    kind = ch.chapter_type(title)
+    goal = F.concat(F.lit("仅撰写「"), t, F.lit("」的目标承诺（质量、工期、造价等概括性表述），不写保证措施、施工方案或工艺细节；不输出章节标题行。"))
+    overview = F.concat(F.lit("仅撰写「"), t, F.lit("」的客观描述（规模、地点、设备、环境、工程特点等），可描述重难点现象但不写对策；不写施工方案、组织、措施或进度计划；不输出章节标题行。"))
+    return F.when(kind == "goal", goal).when(kind == "overview", overview)
+
+
+def sane_boundary(title: Column, boundary: Column) -> Column:
+    """(boundary, issues): a boundary with issues gives way to the default of its title, if there is one."""
+    return tx.let(boundary_issues(title, boundary), lambda xs: F.struct(F.when(F.size(xs) > 0, F.coalesce(default_boundary(title), _text(boundary))).otherwise(_text(boundary)).alias("boundary"), xs.alias("issues")))
+
+
+def assembled_chapter(markdown: Column, charts: Column) -> Column:
+    """Text with its `[[CHART:n]]` marks replaced by the charts (a map of number to text); marks without a chart go, charts
+    without a mark follow in order of number. (K13)"""
+    text = _text(markdown)
+    marks = F.transform(F.regexp_extract_all(text, F.lit(r"\[\[CHART:(\d+)\]\]"), F.lit(1)), lambda x: x.cast("int"))
+    gaps = F.split(text, r"\[\[CHART:\d+\]\]", -1)
+    known = F.array_sort(F.map_keys(charts))
+
+    def joined(ms: Column) -> Column:
+        filled = F.array_join(F.zip_with(gaps, ms, lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), F.try_element_at(charts, m)), F.lit("")))), "")
+        rest = F.array_join(F.transform(F.filter(known, lambda k: ~F.array_contains(ms, k)), lambda k: charts[k]), "\n")
+        body = F.when(F.size(ms) > 0, F.regexp_replace(filled, r"(?U)\s+$", "")).otherwise(filled)
+        return F.when(rest == "", filled).when(body == "", rest).otherwise(F.concat(body, F.lit("\n\n"), rest))
+
+    return tx.strip(tx.let(marks, joined))
+
+
+def merged_windows(segments: Column) -> Column:
+    """(passed, issues) of windows (label, passed, issues): issues after the label of their window, each once; passed if all
+    windows are and there is no issue. (E26)"""
+    label = lambda s: F.coalesce(F.nullif(_text(s["label"]), F.lit("")), F.lit("片段"))
+    said = lambda s: F.transform(F.filter(s["issues"], lambda x: _text(x) != ""), lambda x: F.concat(F.lit("【"), label(s), F.lit("】"), _text(x)))
+    issues = F.array_distinct(F.flatten(F.transform(segments, said)))
+    fine = F.forall(segments, lambda s: F.coalesce(s["passed"], F.lit(True)))
+    return tx.let(issues, lambda xs: F.struct((fine & (F.size(xs) == 0)).alias("passed"), xs.alias("issues")))
+
+
+def parse_confidence(error: Column, n_items: Column, pages: Column, tables: Column, paragraphs: Column, scanned: Column, n: Column, with_page: Column, with_score: Column, with_source: Column, filled: Column, required: Column) -> Column:
+    """(confidence, level, n_warnings) of a parse, from counts of what it found."""
+    readable = ~F.coalesce(error, F.lit(False)) & (n_items > 0)
+    yes = lambda cond, points: F.when(cond, points).otherwise(0.0)
+    doc = 0.12 + yes(pages > 0, 0.04) + yes(tables > 0, 0.05) + yes(paragraphs >= 5, 0.04)
+    doc = F.when(readable, F.when(scanned, F.greatest(F.lit(0.0), doc - 0.05)).otherwise(doc)).otherwise(0.0)
+    total = F.greatest(n, F.lit(1))
+    asked = F.when(n > 0, 0.18 + yes(with_page / total >= 0.5, 0.1) + yes(with_score / total >= 0.7, 0.12) + yes(with_source / total >= 0.8, 0.1)).otherwise(0.0)
+    value = F.round(F.least(F.lit(1.0), doc + asked + filled / required * 0.2), 2)
+    flags = [~readable, readable & (tables == 0), readable & (paragraphs < 5), readable & scanned, n == 0, (n > 0) & (with_page / total < 0.5), (n > 0) & (with_score / total < 0.7), (n > 0) & (with_source / total < 0.8), filled < F.greatest(F.lit(2), required - 2)]
+    warnings = reduce(lambda a, b: a + b, (F.coalesce(f, F.lit(False)).cast("int") for f in flags))
+    level = lambda v: F.when(v >= 0.75, "high").when(v >= 0.5, "medium").otherwise("low")
+    return tx.let(value, lambda v: F.struct(v.alias("confidence"), level(v).alias("level"), warnings.alias("n_warnings")))
+
+
+def is_blind_bid(detail: Column) -> Column:
+    """Whether the notice of a JSON detail says blind_bid: true, the value itself and not a text."""
+    notice = F.coalesce(F.get_json_object(detail, "$.notice"), F.lit(""))
+    return (F.get_json_object(notice, "$.blind_bid") == "true") & notice.rlike(r'"blind_bid"\s*:\s*true')
+
+
+def anonymous_cover(meta_: Column) -> Column:
+    """A map of a cover's values without the names of bidder and company, marked as blind."""
+    kept = F.map_filter(F.coalesce(meta_, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("bidder_name", "company_name", "blind_bid"))
+    return F.map_concat(kept, F.create_map(F.lit("blind_bid"), F.lit("true")))
+
+
+def item_text(title: Column, resume: Column, content: Column) -> Column:
+    """What of a knowledge item is embedded."""
+    return tx.strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(resume, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit(""))))
+
+
+def item_block(title: Column, resume: Column, content: Column, source: Column, folder: Column) -> Column:
+    """A knowledge item as it is shown, under the label of its source."""
+    body = F.concat(F.lit("【"), F.coalesce(title, F.lit("")), F.lit("】\n"), F.coalesce(resume, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
+    return tx.labeled_chunk(body, F.coalesce(F.nullif(source, F.lit("")), F.nullif(title, F.lit("")), F.lit("项目知识库")), folder)
+
+
+def full_text(items: Column) -> Column:
+    """The items that are not blank, a line each."""
+    return F.array_join(F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: _text(x) != ""), "\n")
+
+
+def changed_fields(stored: Column, touched: Column, fields: dict[str, str]) -> Column:
+    """The project's fields behind the keys of touched whose values differ from those stored (both maps), in order, each once.
+    fields: key to field. (C25, Y29)"""
+    names = F.create_map(*(F.lit(x) for kv in fields.items() for x in kv))
+    keys = F.filter(F.map_keys(touched), lambda k: ~equal_values(F.try_element_at(stored, k), touched[k]))
+    return F.array_distinct(F.array_compact(F.transform(keys, lambda k: F.try_element_at(names, k))))

@@ -219,12 +219,30 @@ def markdown_table(c: Chapter) -> Column:
     return F.when(c.content.contains("|"), F.aggregate(F.transform(c.lines, tx.strip), start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<string>"))
 
 
+def trailing_table(content: Column) -> Column:
+    """A message where the text ends in a table without a row of data, else null."""
+    back = F.reverse(F.transform(tx.split_lines(tx.strip(content)), tx.strip))
+
+    def judge(ls: Column) -> Column:
+        other = F.array_position(F.transform(ls, lambda x: x.rlike(TABLE_ROW)), F.lit(False)).cast("int")
+        rows = F.when(other == 0, F.size(ls)).otherwise(other - 1)
+        lead = F.coalesce(F.get(ls, rows).rlike(TABLE_SEPARATOR), F.lit(False)).cast("int")
+        bare = (rows == 2) & (lead == 0) & F.get(ls, 0).rlike(TABLE_SEPARATOR)
+        return (
+            F.when(rows == 0, F.lit(None).cast("string"))
+            .when(rows + lead == 1, "正文以不完整表格行结尾，须在本节点内输出完整表格（含表头与至少一行数据）")
+            .when(bare, "表格仅有表头与分隔线，缺少数据行，须在本节点内完整输出")
+        )
+
+    return F.when(tx.strip(content).endswith("|"), tx.let(back, judge))
+
+
 @rule("atomic_md", "table_integrity", scopes=("chapter", "segment"))
 def atomic_md(c: Chapter) -> Column:
     t = tx.strip(c.content)
     opens, closes = F.regexp_count(t, F.lit(CHART_OPEN)), F.regexp_count(t, F.lit(r"\]\]|\}\]"))
     tail = t.rlike(r"(?im)\[(GANTT|TIMELINE|FLOW|ORG|SMART)_DATA:[^\]]*$")
-    return _strings(F.when(opens > closes, "存在未闭合的图表占位符，须在本节点内完整输出后再结束"), F.when(tail, "正文末尾存在未闭合的图表占位符"))
+    return _strings(F.when(opens > closes, "存在未闭合的图表占位符，须在本节点内完整输出后再结束"), F.when(tail, "正文末尾存在未闭合的图表占位符"), trailing_table(c.content))
 
 
 @rule("ai_cliche", "ai_cliche")

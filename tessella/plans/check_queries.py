@@ -9,6 +9,7 @@ from . import document_queries as docs
 from .inputs import cte, given, table
 from .relational_queries import _MATRIX, _matrix
 from .rule_queries import SQL as RULE_SQL
+from .rule_queries import trailing_sql
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -146,3 +147,16 @@ def hybrid_indices(spark, sf_dir):
 def hybrid_texts(spark, sf_dir):
     best = retrieval.hybrid(retrieval.lexical_items(docs._items(spark, sf_dir), docs._queries(spark, sf_dir).where("folder IS NOT NULL")), None, 3)
     return best.join(table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text"), "id").select("query_id", "rank", F.md5("text").alias("digest"))
+
+
+_TAIL = """content || CASE CAST(length(title) + kind AS INT) % 6 WHEN 0 THEN chr(10) || '| a |' WHEN 1 THEN chr(10) || '| a | b |' || chr(10) || '|---|---|' WHEN 2 THEN chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |  ' WHEN 3 THEN chr(10) || '--- | ---' || chr(10) || '| 1 | 2 |' WHEN 4 THEN chr(10) || '|---|' ELSE '' END"""
+
+
+@query("i72_trailing_table", f"{cte('chapter')} SELECT id, message FROM (SELECT id, {trailing_sql('t')} AS message FROM (SELECT id, {_TAIL} AS t FROM chapter) x) y WHERE message IS NOT NULL")
+def trailing_table(spark, sf_dir):
+    k = (F.length("title") + c("kind")) % 6
+    forms = ["\n| a |", "\n| a | b |\n|---|---|", "\n| a | b |\n|---|---|\n| 1 | 2 |  ", "\n--- | ---\n| 1 | 2 |", "\n|---|"]
+    tail = F.lit("")
+    for i, form in enumerate(forms):
+        tail = F.when(k == i, form).otherwise(tail)
+    return given(spark, sf_dir, "chapter").select("id", rules.trailing_table(F.concat("content", tail)).alias("message")).where("message IS NOT NULL")

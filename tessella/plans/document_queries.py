@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import prose
@@ -155,11 +156,16 @@ rule_query(
 
 
 # --- repeats between chapters and segments ---------------------------------------------------------------------------
+_QUOTED = "(SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' ' || text AS text FROM conversations) c"
+
+
 def _turns(spark, sf_dir, names):
-    return table(spark, sf_dir, "conversations").select(c("conv_id").alias(names[0]), c("turn").alias("ord"), c("text").alias("content"))
+    """Turns that quote the one before."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select(c("conv_id").alias(names[0]), c("turn").alias("ord"), F.concat(F.coalesce(before, F.lit("")), F.lit(" "), "text").alias("content"))
 
 
-@query("l15_cross_chapter_overlap", f"""WITH t AS (SELECT conv_id, turn, length({trim("text")}) AS n, regexp_replace({trim("text")}, '[^A-Za-z]', '', 'g') AS p FROM conversations WHERE text IS NOT NULL),
+@query("l15_cross_chapter_overlap", f"""WITH t AS (SELECT conv_id, turn, length({trim("text")}) AS n, regexp_replace({trim("text")}, '[^A-Za-z]', '', 'g') AS p FROM {_QUOTED} WHERE text IS NOT NULL),
 a AS (SELECT conv_id, turn, p, list_filter(range(1, length(p) - 8, 5), lambda x: TRUE) AS places FROM t WHERE n >= 120 AND length(p) >= 40),
 b AS (SELECT conv_id, turn, p, list_filter(places, lambda x, i: (i - 1) % greatest(1, len(places) // 50) = 0)[1:50] AS places FROM a WHERE len(places) >= 8),
 w AS (SELECT conv_id, turn, len(places) AS size, substring(p, CAST(unnest(places) AS INT), 10) AS gram FROM b),
@@ -170,7 +176,7 @@ def cross_chapter_overlap(spark, sf_dir):
     return found.select(c("project_id").alias("conv_id"), c("ord").alias("turn"), F.round("ratio", 6).alias("ratio"))
 
 
-@query("f22_segment_stitches", f"""WITH t AS (SELECT conv_id, turn, {trim("text")} AS s FROM conversations WHERE {trim("coalesce(text, '')")} <> ''),
+@query("f22_segment_stitches", f"""WITH t AS (SELECT conv_id, turn, {trim("text")} AS s FROM {_QUOTED} WHERE {trim("coalesce(text, '')")} <> ''),
 p AS (SELECT conv_id, turn, regexp_replace(substring(s, 1, 220), '[^A-Za-z]', '', 'g') AS h, regexp_replace(lag(right(s, 220)) OVER (PARTITION BY conv_id ORDER BY turn), '[^A-Za-z]', '', 'g') AS b FROM t),
 g AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, length(h) - 6), lambda i: substring(h, i, 8))) AS h, list_distinct(list_transform(range(1, length(b) - 6), lambda i: substring(b, i, 8))) AS b FROM p WHERE b IS NOT NULL AND length(b) >= 8 AND length(h) >= 8)
 SELECT conv_id, turn, round(len(list_intersect(h, b)) / CAST(len(h) AS DOUBLE), 6) AS ratio FROM g WHERE len(list_intersect(h, b)) / CAST(len(h) AS DOUBLE) >= 0.18""")
@@ -384,8 +390,6 @@ f AS (SELECT sem.query_id, sem.id, round(1.0 / (60 + CAST(o.rank AS DOUBLE)) + 1
 SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r1, r2, id) AS rank FROM f) x WHERE rank <= 5""")
 def hybrid_items(spark, sf_dir):
     """The semantic ranking fused with one by id."""
-    from pyspark.sql import Window as W
-
     semantic = _semantic(spark, sf_dir)
     return retrieval.hybrid(semantic.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))), semantic, 5)
 

@@ -132,3 +132,75 @@ def _tasks():
 QUERIES["j04_gantt_tasks"] = lambda spark, sf_dir: given(spark, sf_dir, "note").select("id", F.explode(rec.gantt_tasks(_tasks())).alias("t")).select("id", "t.*")
 SQL["j04_gantt_tasks"] = f"""{cte("note")} SELECT id, t[1] AS name, CAST(t[2] AS INT) AS begin, CAST(t[3] AS INT) AS days FROM (SELECT id, unnest(CASE id % 4 WHEN 0 THEN [['a', '1', CAST(greatest(id % 7, 1) AS STRING)], ['b', '5', '3']]
 WHEN 1 THEN [['甲' || CAST(id AS STRING), '4', '1'], ['工序2', '1', '5']] WHEN 2 THEN [['工序1', '4', '5']] END) AS t FROM note) x"""
+
+project(
+    "y34_default_boundary", "section", lambda: {"boundary": rec.default_boundary(c("title"))},
+    """CASE WHEN title = '质量目标' THEN '仅撰写「质量目标」的目标承诺（质量、工期、造价等概括性表述），不写保证措施、施工方案或工艺细节；不输出章节标题行。'
+    WHEN title IN ('工程概况', '项目特点') THEN '仅撰写「' || title || '」的客观描述（规模、地点、设备、环境、工程特点等），可描述重难点现象但不写对策；不写施工方案、组织、措施或进度计划；不输出章节标题行。' END AS boundary""",
+)
+project(
+    "m23_sane_boundary", "section", lambda: {"boundary": rec.sane_boundary(c("title"), _boundary())["boundary"], "n": F.size(rec.sane_boundary(c("title"), _boundary())["issues"])},
+    f"""CASE WHEN title = '质量目标' AND key_points > 0 THEN '仅撰写「质量目标」的目标承诺（质量、工期、造价等概括性表述），不写保证措施、施工方案或工艺细节；不输出章节标题行。'
+    WHEN title IN ('工程概况', '项目特点') AND key_points > 0 THEN '仅撰写「' || title || '」的客观描述（规模、地点、设备、环境、工程特点等），可描述重难点现象但不写对策；不写施工方案、组织、措施或进度计划；不输出章节标题行。' ELSE {_BOUNDARY} END AS boundary,
+    CAST(CASE WHEN key_points IN (2, 3) THEN 1 + CAST(title IN ('施工方案', '设备安装调试') AS INT) WHEN title = '质量目标' AND key_points = 1 THEN 2 WHEN title IN ('工程概况', '项目特点') AND key_points = 1 THEN 3 WHEN title IN ('质量目标', '工程概况', '项目特点') AND key_points > 3 THEN 1 ELSE 0 END AS INT) AS n""",
+)
+_CHARTS = "CASE WHEN key_points = 0 THEN map_from_arrays(array(), array()) WHEN key_points = 1 THEN map(2, concat('<', name, '>')) ELSE map(0, '<a>', 3, concat('<', kind, '>'), 1, '<b>') END"
+project(
+    "k13_assembled_chapter", "section", lambda: {"text": rec.assembled_chapter(F.when(c("key_points") == 5, F.lit(" ")).when(c("key_points") == 4, c("name")).otherwise(F.concat(c("name"), F.lit(" [[CHART:1]] x [[CHART:7]]y [[CHART:3]] "))), F.expr(_CHARTS).cast("map<int,string>"))},
+    """CASE WHEN key_points = 5 THEN '<a>' || chr(10) || '<b>' || chr(10) || '<' || kind || '>' WHEN key_points = 4 THEN name || chr(10) || chr(10) || '<a>' || chr(10) || '<b>' || chr(10) || '<' || kind || '>' WHEN key_points = 0 THEN name || '  x y'
+    WHEN key_points = 1 THEN name || '  x y' || chr(10) || chr(10) || '<' || name || '>' ELSE name || ' <b> x y <' || kind || '>' || chr(10) || chr(10) || '<a>' END AS text""",
+)
+
+
+def _windows():
+    k = c("key_points")
+    one = lambda label, passed, *xs: F.struct(F.lit(label).alias("label"), passed.alias("passed"), F.array(*xs).cast("array<string>").alias("issues"))
+    return F.array(one("开头", k != 2, F.when(k == 1, c("name")), F.lit(" ")), one(" ", F.lit(None).cast("boolean"), F.when(k == 1, c("name")), F.when(k == 1, c("name"))), one("结尾", F.lit(True)))
+
+
+project(
+    "e26_merged_windows", "section", lambda: {"passed": rec.merged_windows(_windows())["passed"], "issues": F.array_join(rec.merged_windows(_windows())["issues"], "|")},
+    "key_points NOT IN (1, 2) AS passed, CASE WHEN key_points = 1 THEN '【开头】' || name || '|【片段】' || name ELSE '' END AS issues",
+)
+
+
+def _confidence():
+    k, w = c("key_points"), c("target_words")
+    n = F.floor(w / 50).cast("int")
+    return rec.parse_confidence(k == 6, F.lit(3), k, k % 3, k + 2, k == 5, n % 20, n % 7, n % 15, n % 17, k % 5, F.lit(4))
+
+
+project(
+    "e12_parse_confidence", "section", lambda: {x: _confidence()[x] for x in ("confidence", "level", "n_warnings")},
+    """CAST(v AS DOUBLE) AS confidence, CASE WHEN v >= 0.75 THEN 'high' WHEN v >= 0.5 THEN 'medium' ELSE 'low' END AS level, CAST(w AS INT) AS n_warnings""",
+)
+SQL["e12_parse_confidence"] = f"""{cte("section")}, b AS (SELECT id, key_points AS k, CAST(target_words // 50 AS INT) % 20 AS n, CAST(target_words // 50 AS INT) % 7 AS p, CAST(target_words // 50 AS INT) % 15 AS s, CAST(target_words // 50 AS INT) % 17 AS t FROM section),
+d AS (SELECT *, CASE WHEN k = 6 THEN 0 ELSE 12 + 4 * CAST(k > 0 AS INT) + 5 * CAST(k % 3 > 0 AS INT) + 4 * CAST(k + 2 >= 5 AS INT) - 5 * CAST(k = 5 AS INT) END + CASE WHEN n = 0 THEN 0 ELSE 18 + 10 * CAST(2 * p >= n AS INT) + 12 * CAST(10 * s >= 7 * n AS INT) + 10 * CAST(10 * t >= 8 * n AS INT) END + 5 * (k % 5) AS points,
+ CASE WHEN k = 6 THEN 1 ELSE CAST(k % 3 = 0 AS INT) + CAST(k + 2 < 5 AS INT) + CAST(k = 5 AS INT) END + CASE WHEN n = 0 THEN 1 ELSE CAST(2 * p < n AS INT) + CAST(10 * s < 7 * n AS INT) + CAST(10 * t < 8 * n AS INT) END + CAST(k % 5 < 2 AS INT) AS w FROM b)
+SELECT id, least(points, 100) / CAST(100 AS DOUBLE) AS confidence, CASE WHEN points >= 75 THEN 'high' WHEN points >= 50 THEN 'medium' ELSE 'low' END AS level, CAST(w AS INT) AS n_warnings FROM d"""
+
+project(
+    "y52_is_blind_bid", "section", lambda: {"blind": F.coalesce(rec.is_blind_bid(F.when(c("key_points") == 0, '{"notice": {"blind_bid": true, "x": 1}}').when(c("key_points") == 1, '{"notice": {"blind_bid": "true"}}').when(c("key_points") == 2, '{"notice": {"blind_bid": false}}').when(c("key_points") == 3, "{").when(c("key_points") == 4, '{"blind_bid": true}')), F.lit(False))},
+    "key_points = 0 AS blind",
+)
+project(
+    "y51_anonymous_cover", "section", lambda: {"n": F.size(_cover()), "kept": F.array_join(F.array_sort(F.map_keys(_cover())), "|"), "name": _cover()["name"]},
+    "CAST(CASE WHEN key_points < 3 THEN 2 ELSE 1 END AS INT) AS n, CASE WHEN key_points < 3 THEN 'blind_bid|name' ELSE 'blind_bid' END AS kept, CASE WHEN key_points < 3 THEN name END AS name",
+)
+
+
+def _cover():
+    return rec.anonymous_cover(F.when(c("key_points") < 3, F.create_map(F.lit("name"), c("name"), F.lit("bidder_name"), c("kind"), F.lit("company_name"), c("kind"), F.lit("blind_bid"), F.lit("x"))))
+
+
+project("y11_item_text", "chunk", lambda: {"digest": F.md5(rec.item_text(c("folder"), F.lit(None).cast("string"), c("text")))}, f"md5({trim('folder || chr(10) || chr(10) || text')}) AS digest")
+project(
+    "y12_item_block", "chunk", lambda: {"digest": F.md5(rec.item_block(F.concat(F.lit("t"), c("id").cast("string")), F.lit("r"), c("text"), F.when(c("n_chars") > 500, "a/b"), c("folder")))},
+    f"md5('[来源：' || folder || '/' || CASE WHEN n_chars > 500 THEN 'a/b' ELSE 't' || CAST(id AS STRING) END || ']' || chr(10) || {trim(chr(39) + '【t' + chr(39) + ' || CAST(id AS STRING) || ' + chr(39) + '】' + chr(39) + ' || chr(10) || ' + chr(39) + 'r' + chr(39) + ' || chr(10) || chr(10) || text')}) AS digest",
+)
+project("e33_full_text", "section", lambda: {"text": rec.full_text(F.array(c("name"), F.lit(" "), F.when(c("key_points") > 2, c("kind"))))}, "name || CASE WHEN key_points > 2 THEN chr(10) || kind ELSE '' END AS text")
+project(
+    "c25_changed_fields", "section",
+    lambda: {"fields": F.array_join(rec.changed_fields(F.create_map(F.lit("a"), c("name"), F.lit("b"), F.lit("5")), F.create_map(F.lit("b"), F.when(c("key_points") > 2, "5.0").otherwise("6"), F.lit("a"), F.when(c("key_points") != 1, c("name")), F.lit("c"), c("kind"), F.lit("d"), F.lit("")), {"a": "x", "b": "y", "c": "x"}), "|")},
+    "CASE WHEN key_points > 2 THEN 'x' ELSE 'y|x' END AS fields",
+)

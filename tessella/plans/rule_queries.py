@@ -57,10 +57,21 @@ _PARAGRAPHS = rf"""list_filter(list_transform(string_split_regex(content, '\n[\s
 _OPENINGS = rf"""opened AS (SELECT id, list_transform(list_transform({_PARAGRAPHS}, lambda x: regexp_replace(regexp_replace(x, '^[-*+]\s+', ''), '^\d+[.、]\s+', '')),
   lambda s: CASE WHEN length(regexp_replace(regexp_extract(s, '{tx.OPENING}', 1), '{_NORM}', '', 'g')) >= 3 THEN regexp_replace(regexp_extract(s, '{tx.OPENING}', 1), '{_NORM}', '', 'g')
   WHEN length(regexp_replace(substring(s, 1, 5), '{_NORM}', '', 'g')) >= 3 THEN regexp_replace(substring(s, 1, 5), '{_NORM}', '', 'g') ELSE '' END) AS os FROM chapter)"""
+def trailing_sql(x: str) -> str:
+    """I72 in DuckDB."""
+    back = rf"list_reverse(list_transform(string_split(regexp_replace({x}, {_TRIM}), chr(10)), lambda t: regexp_replace(t, {_TRIM})))"
+    rows = rf"coalesce(nullif(list_position(list_transform({back}, lambda t: regexp_matches(t, '^\|.*\|$')), FALSE), 0) - 1, len({back}))"
+    sep = r"'^\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?$'"
+    lead = f"CAST(coalesce(regexp_matches(({back})[{rows} + 1], {sep}), FALSE) AS INT)"
+    return f"""CASE WHEN NOT regexp_matches(regexp_replace({x}, {_TRIM}), '\\|$') OR {rows} = 0 THEN NULL WHEN {rows} + {lead} = 1 THEN '正文以不完整表格行结尾，须在本节点内输出完整表格（含表头与至少一行数据）'
+      WHEN {rows} = 2 AND {lead} = 0 AND regexp_matches(({back})[1], {sep}) THEN '表格仅有表头与分隔线，缺少数据行，须在本节点内完整输出' END"""
+
+
 add("q10_first_para_title", "first_para_title", rf"""CASE WHEN length(regexp_replace(title, '{_NORM}', '', 'g')) >= 4 AND starts_with(regexp_replace(({_PARAGRAPHS})[1], '{_NORM}', '', 'g'), regexp_replace(title, '{_NORM}', '', 'g'))
   AND length(regexp_replace(({_PARAGRAPHS})[1], '{_NORM}', '', 'g')) <= length(regexp_replace(title, '{_NORM}', '', 'g')) + 8 THEN '首段不应重复章节标题「' || title || '」' END""")
 add("q14_atomic_md", "atomic_md", r"""unnest(list_filter([CASE WHEN len(regexp_extract_all(content, '(?i)\[(?:GANTT|TIMELINE|FLOW|ORG|SMART)_DATA:')) > len(regexp_extract_all(content, '\]\]|\}\]')) THEN '存在未闭合的图表占位符，须在本节点内完整输出后再结束' END,
-  CASE WHEN regexp_matches(trim(content), '(?im)\[(?:GANTT|TIMELINE|FLOW|ORG|SMART)_DATA:[^\]]*$') THEN '正文末尾存在未闭合的图表占位符' END], lambda x: x IS NOT NULL))""")
+  CASE WHEN regexp_matches(trim(content), '(?im)\[(?:GANTT|TIMELINE|FLOW|ORG|SMART)_DATA:[^\]]*$') THEN '正文末尾存在未闭合的图表占位符' END,
+  """ + trailing_sql("content") + """], lambda x: x IS NOT NULL))""")
 _VARIANTS = "['施工方案', '方案', '施工', '质量', '进度']"
 add("q21_heading_keywords", "heading_keywords", rf"""CASE WHEN len(list_filter(list_append(list_transform(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, {_TRIM})),
   lambda x: (starts_with(x, '#') AND trim(regexp_replace(x, '^#+', '')) <> '') OR (x <> '' AND length(x) < 60 AND NOT regexp_matches(x, '[。；;！!]$') AND regexp_matches(x, '{tx.HEADING_LINE}'))), lambda x: regexp_replace(x, '^#+', '')), title),
