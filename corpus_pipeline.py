@@ -15,7 +15,7 @@ from tessella.llm import bpe, common, minhash, mixing, pii, quality
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on these documents, takes for fine text."""
     weights, chance, _ = quality.fit(docs)
-    return quality.score(docs, weights, chance).where(F.col("score") >= quality.KEEP).select(*docs.columns)
+    return quality.score(docs, weights, chance).where(F.col(common.fresh(docs, "score")) >= quality.KEEP).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format; n_chars follows the text."""
-    found = pii.pseudonymise(docs)
+    found = pii.pseudonymise(docs, pii.key_of(spark))
     if "n_chars" in docs.columns:
-        length = F.when(F.size("pii_kinds") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        length = F.when(F.size(common.fresh(docs, "pii_kinds")) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", length)
     return found.select(*docs.columns)
 
