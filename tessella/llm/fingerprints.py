@@ -1,11 +1,16 @@
 """Document fingerprints: invertible Bloom lookup tables of hashed paragraph cells.
 
-A text is cut into paragraphs: at line ends and, within a line, after words picked by their own bytes (one in
-sixteen), so that an edit moves no cut but those beside it. Every paragraph's 64-bit hash, with its count of
-earlier occurrences, is a key. A table has three parts; a key is added to one cell of each: count, sum of keys, sum
-of check values. Two versions' tables are subtracted and peeled: a cell that holds one key gives it up, which
-frees others. If cells are left over, both tables are built anew, twice as large, with other hash functions.
-Likeness is shared keys over all keys of the two, from what peeling recovers.
+A text is cut into paragraphs: at line ends, within a line after words picked by their own bytes (one in EVERY), and
+where there are no words between characters picked by the eight bytes before them (one in BYTES), so that an edit moves
+no cut but those beside it. Every paragraph's 64-bit hash, with its count of earlier occurrences, is a key. A table has
+three parts; a key is added to one cell of each: count, sum of keys, sum of check values. Two versions' tables are
+subtracted and peeled: a cell that holds one key gives it up, which frees others. If cells are left over, both tables are
+built anew, twice as large, with other hash functions. What peeling recovers are the digests of the paragraphs that only
+one version has (`differing_from_next`); likeness is shared keys over all keys of the two.
+
+The fingerprint is the table of CELLS cells, the first that a comparison subtracts. It gives up some eight differences;
+more of them need the larger tables of the retries, which are built from the texts and not kept. So near_edited and
+near_next are those of the paragraphs, not an estimate from the short fingerprint.
 
 A null text counts as empty: no keys, an all-zero table; two empty texts have likeness 1. Order is by descending
 doc_id, null last, rows alike in doc_id by hash of text; the last row's next document is the first row. An empty
@@ -15,7 +20,7 @@ table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cells of the table that is the fingerprint; comparisons begin with as many. One word in so many ends a paragraph.
-CELLS, EVERY = 12, 16
+#: Cells of the table that is the fingerprint; comparisons begin with as many. One word, or byte, in so many ends a paragraph.
+CELLS, EVERY, BYTES = 12, 8, 256
 #: Bytes of text that are worked on at a time.
 BLOCK = 2 << 20
 
@@ -44,6 +49,11 @@ def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, 5):
         tail = tail << np.uint64(8) | raw[space - k]
     cuts = [space[common.mix(tail) % np.uint64(EVERY) == 0] + 1, np.flatnonzero(raw == 0x0A) + 1, at[:-1]]
+    if len(raw) > 8:
+        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)[:-1]).view("<u8").ravel()
+        picked = np.flatnonzero(common.mix(eight) % np.uint64(BYTES) == 0) + 8
+        picked = picked[(raw[picked] & 0xC0) != 0x80]  # between characters
+        cuts.append(picked[picked - at[np.searchsorted(at, picked, side="right") - 1] >= 8])
     starts = np.unique(np.concatenate(cuts))
     starts = starts[starts < len(raw)]
     owner = np.searchsorted(at, starts, side="right") - 1
@@ -121,22 +131,22 @@ def fingerprints(key: np.ndarray, owner: np.ndarray, n: int) -> list[str]:
     return tables.text()
 
 
-def differences(a: tuple, b: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n pairs how many keys only the first and only the second have. a, b: (keys, owners), by owner."""
-    only = np.zeros((2, n), np.int64)
+def recovered(a: tuple, b: tuple, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, pairs, signs): for each of n pairs the keys that only the first (sign 1) or only the second (-1) has. a, b: (keys,
+    owners), by owner."""
     size_a, size_b = np.bincount(a[1], minlength=n), np.bincount(b[1], minlength=n)
     cells = np.full(n, CELLS)
     short = cells < 2 * np.abs(size_a - size_b)  # at least so many keys differ
     while short.any():
         cells[short] *= 2
         short = cells < 2 * np.abs(size_a - size_b)
-    waiting = np.ones(n, bool)
+    waiting, found = np.ones(n, bool), []
     for turn in range(48):
         size = CELLS << turn
         now = np.flatnonzero(waiting & (cells <= size))
         if not len(now):
             if not waiting.any():
-                return only[0], only[1]
+                break
             continue
         place = np.full(n, -1)
         place[now] = np.arange(len(now))
@@ -144,12 +154,22 @@ def differences(a: tuple, b: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
         for (key, owner), sign in ((a, 1), (b, -1)):
             mine = place[owner] >= 0
             tables.add(key[mine], place[owner[mine]], sign)
-        _, owner, sign = tables.peel()
+        key, owner, sign = tables.peel()
         fine = ~tables.left()
-        only[0][now[fine]] = np.bincount(owner[sign > 0], minlength=len(now))[fine]
-        only[1][now[fine]] = np.bincount(owner[sign < 0], minlength=len(now))[fine]
+        whole = fine[owner]
+        found.append((key[whole], now[owner[whole]], sign[whole]))
         waiting[now[fine]] = False
-    raise RuntimeError("a difference could not be recovered")
+    if waiting.any():
+        raise RuntimeError("a difference could not be recovered")
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def differences(a: tuple, b: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n pairs how many keys only the first and only the second have."""
+    _, pair, sign = recovered(a, b, n)
+    return np.bincount(pair[sign > 0], minlength=n), np.bincount(pair[sign < 0], minlength=n)
 
 
 def likeness(a: tuple, b: tuple, n: int) -> np.ndarray:
@@ -165,6 +185,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _differing(ids: list, texts: list[str]) -> pa.RecordBatch:
+    """As _compare; a row for each digest that one of a text and its next one lacks."""
+    key, owner = keys(texts)
+    n = len(ids)
+    found, pair, sign = recovered((key[owner < n], owner[owner < n]), (key[owner > 0], owner[owner > 0] - 1), n)
+    sides = pa.array(np.where(sign > 0, "own", "next").tolist(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(pair)), pa.array(found.view(np.int64)), sides], ["doc_id", "digest", "side"])
+
+
 def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
     """texts: one more than ids, the last one's next."""
     n = len(ids)
@@ -186,27 +215,31 @@ def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
     )
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order; the first that belongs to another partition is only the last one's next."""
-    ids: list = []
-    texts: list[str] = []
-    held, over = 0, False
-    for batch in batches:
-        for doc_id, text, beyond in zip(batch.column("doc_id"), batch.column("text"), batch.column("beyond").to_pylist(), strict=True):
-            if over:
-                continue
-            texts.append(text.as_py() or "")
-            held += len(texts[-1])
-            over = beyond
-            if not beyond:
-                ids.append(doc_id.as_py())
-            if held > BLOCK and len(texts) > 1 or over:
-                if len(texts) > 1:
-                    yield _compare(ids[: len(texts) - 1], texts)
-                ids, texts = ids[len(texts) - 1 :], texts[-1:]
-                held = len(texts[0])
-    if ids and not over:
-        raise RuntimeError("a partition lacks its next row")
+def _stream(compare: Callable[[list, list[str]], pa.RecordBatch]):
+    """Rows in order, in blocks for compare; the first that belongs to another partition is only the last one's next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[str] = []
+        held, over = 0, False
+        for batch in batches:
+            for doc_id, text, beyond in zip(batch.column("doc_id"), batch.column("text"), batch.column("beyond").to_pylist(), strict=True):
+                if over:
+                    continue
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                over = beyond
+                if not beyond:
+                    ids.append(doc_id.as_py())
+                if held > BLOCK and len(texts) > 1 or over:
+                    if len(texts) > 1:
+                        yield compare(ids[: len(texts) - 1], texts)
+                    ids, texts = ids[len(texts) - 1 :], texts[-1:]
+                    held = len(texts[0])
+        if ids and not over:
+            raise RuntimeError("a partition lacks its next row")
+
+    return run
 
 
 def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -232,7 +265,13 @@ def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Every document against its edited text and the next document."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).select("doc_id", "text", "beyond").transform(common.in_small_batches).mapInArrow(_stream, schema)
+    return in_order(docs).select("doc_id", "text", "beyond").transform(common.in_small_batches).mapInArrow(_stream(_compare), schema)
+
+
+def differing_from_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, side): the paragraph digests that only a document (`own`) or only its next one (`next`) has."""
+    rows = in_order(docs).select("doc_id", "text", "beyond").transform(common.in_small_batches)
+    return rows.mapInArrow(_stream(_differing), "doc_id long, digest long, side string")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,24 @@ def test_peeling_recovers_differences():
         assert [x.tolist() for x in fingerprints.differences(one, two, 1)] == [[n], [n // 2]]
 
 
+def test_differing_digests_and_texts_without_words(spark):
+    rng = random.Random(11)
+    line = lambda: "".join(rng.choices("abcdefgh ", k=40))
+    lines = [line() for _ in range(60)]
+    han = "".join(map(chr, rng.choices(range(0x4E00, 0x9FA5), k=4000)))
+    texts = {4: "\n".join(lines), 3: "\n".join(lines[:20] + [line()] + lines[21:]), 2: han, 1: han[:2000] + han[2001:], 0: "x" * 1_000_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    keys = {i: set(fingerprints.keys([t])[0].view(np.int64).tolist()) for i, t in texts.items()}
+    got = {}
+    for r in fingerprints.differing_from_next(df).collect():
+        got.setdefault((r["doc_id"], r["side"]), set()).add(r["digest"])
+    for i in texts:
+        after = keys[(i - 1) % 5]
+        assert got.get((i, "own"), set()) == keys[i] - after and got.get((i, "next"), set()) == after - keys[i]
+    near = {r["doc_id"]: r["near_next"] for r in fingerprints.compare_with_next(df).collect()}
+    assert near[4] > 0.8 and near[2] > 0.8
+
+
 def test_fingerprint_edges(spark, edges):
     found = fingerprints.compare_with_next(edges).collect()
     assert len(found) == len(EDGES)
