@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, media, minhash, mixing, pii, quality, secrets, urls, warc
+from . import bpe, divergence, fingerprints, media, minhash, mixing, pii, quality, resampling, secrets, tokens, urls, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_token_counts": tokens.op13_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.SQL, "op11_resampling": resampling.SQL, "op12_divergence": divergence.SQL}
