@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,6 +217,27 @@ def join_groups(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "i
     return dealt.join(each, [*keys, "_part"], how).drop("_part")
 
 
+#: Bits of a filter of ids: so many for each id, a power of two, and 32 MB at most whatever the number of ids.
+BITS, MOST_BITS = 64, 1 << 28
+
+
+def place(column: str, words: int) -> Column:
+    """Where the filter of so many words holds an id."""
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(64 * words))
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A filter for the ids in a column (whole numbers) as words of 64 bits. An id that is there has its bit set; of the others
+    few have. Its size is bounded: with very many ids it lets more through, so it may spare work, never decide. A word is
+    put together where its ids meet; the driver sees words."""
+    ids = ids.select(column).distinct()
+    bits = min(MOST_BITS, max(1 << 13, 1 << (BITS * max(1, ids.count()) - 1).bit_length()))
+    held = ids.select(place(column, bits // 64).alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["at"].to_numpy()] = held["word"].to_numpy()
+    return words
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of df whose `on` is among keys; keys are sent to all executors if they are small, else shuffled."""
     return df.join(sent(keys.select(on).distinct()), on, "left_semi")

@@ -82,47 +82,65 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
 
 
 def parse(page: str | None) -> list[dict]:
-    """The sequence of a page: runs of text between block elements, and media with the caption of their figure."""
+    """The sequence of a page: runs of text between block elements, and media with the caption of their figure.
+
+    A caption ends at </figcaption>, where the next begins, with its figure and with the page; a figure ends at </figure>,
+    where the next begins and with the page. All captions of a figure, in lines, belong to all its media, whichever comes
+    first; without media, or outside a figure, they stay in the sequence as text. So no text is lost."""
     out: list[dict] = []
     buffer: list[str] = []
     figure: list[dict] | None = None
-    caption: list[str] | None = None
+    captions: list[dict] = []
+    inside = False
 
-    def flush() -> None:
+    def flush(kind: str = "text") -> None:
         text = unescaped("".join(buffer)).strip(" \t\r\n\f")
         buffer.clear()
         if text:
-            out.append({"pos": len(out), "kind": "text", "text": text, "ref": None, "caption": None, "bytes": None})
+            out.append({"kind": kind, "text": text, "ref": None, "caption": None, "bytes": None})
+            if kind == "caption":
+                captions.append(out[-1])
+
+    def end_text() -> None:
+        nonlocal inside
+        flush("caption" if inside and figure is not None else "text")
+        inside = False
+
+    def end_figure() -> None:
+        nonlocal figure
+        said = "\n".join(c["text"] for c in captions)
+        for part in figure or [] if captions else []:
+            part["caption"] = said
+        for c in captions:
+            c["kind"] = None if figure else "text"
+        captions.clear()
+        figure = None
 
     page, at = page or "", 0
     for begin, end, closes, name, attributes in tags(page):
-        (buffer if caption is None else caption).append(page[at:begin])
+        buffer.append(page[at:begin])
         at = end
         if not name or name in _INLINE:
             continue
-        if caption is None:
-            flush()
+        if name in ("figure", "figcaption") or not inside:
+            end_text()
         if name == "figure":
-            figure = [] if not closes else None
+            end_figure()
+            figure = None if closes else []
         elif name == "figcaption":
-            if not closes:
-                caption = []
-            elif caption is not None:
-                said = unescaped("".join(caption)).strip(" \t\r\n\f")
-                for part in figure or []:
-                    part["caption"] = said
-                caption = None
+            inside = not closes
         elif name in _MEDIA and not closes:
             known = {k.lower(): unescaped(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             if known.get(_MEDIA[name]):
                 n = known.get("data-bytes", "")
-                part = {"pos": len(out), "kind": "media", "text": None, "ref": known[_MEDIA[name]], "caption": known.get("alt"), "bytes": int(n) if n.isdecimal() and len(n) <= 18 else None}
+                part = {"kind": "media", "text": None, "ref": known[_MEDIA[name]], "caption": known.get("alt"), "bytes": int(n) if n.isdecimal() and len(n) <= 18 else None}
                 out.append(part)
                 if figure is not None:
                     figure.append(part)
     buffer.append(page[at:])
-    flush()
-    return out
+    end_text()
+    end_figure()
+    return [part | {"pos": k} for k, part in enumerate(p for p in out if p["kind"])]
 
 
 def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -189,7 +207,7 @@ def features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x in batch.column(0):
+            for x in batch.column(0):  # one at a time, never a list of all payloads
                 x = x.as_py()
                 payload = read_back(x)
                 rows.append((hashlib.sha256(x).hexdigest(), len(x), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature(payload)))
@@ -201,8 +219,10 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def resolve(sequence: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """A row for each media reference: key, pos, caption, ref, bytes and the features of its payload (null if none)."""
-    refs = sequence.select(key, F.explode("sequence").alias("part")).where("part.kind = 'media'").select(key, "part.pos", "part.caption", "part.ref", "part.bytes")
+    """A row for each media reference: key, n_parts (of its sequence), pos, caption, ref, bytes and the features of its payload
+    (null if none)."""
+    media = F.filter("sequence", lambda part: part["kind"] == "media")
+    refs = sequence.select(key, F.size("sequence").alias("n_parts"), F.explode(media).alias("part")).select(key, "n_parts", "part.pos", "part.caption", "part.ref", "part.bytes")
     return refs.join(found.withColumn("ref", F.concat(F.lit("sha256:"), "media_sha256")), "ref", "left")
 
 
@@ -216,26 +236,19 @@ def as_html(text: str | None) -> str:
     return "<article>" + "".join(lines[:half]) + figure + "".join(lines[half:]) + "</article>"
 
 
-def interleaved(docs: DataFrame) -> DataFrame:
-    """doc_id, n_parts, pos, caption, ref, bytes of each document's page: written as HTML and parsed again."""
-    out = pa.schema([("n_parts", pa.int32()), ("pos", pa.int32()), ("caption", pa.string()), ("ref", pa.string()), ("bytes", pa.int64())])
+def written_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, html: each document as a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                parts = parse(as_html(x.as_py()))
-                part = next(p for p in parts if p["kind"] == "media")
-                rows.append((len(parts), part["pos"], part["caption"], part["ref"], part["bytes"]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, out, strict=True))], ["doc_id", *out.names])
+            for part in common.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([as_html(x.as_py()) for x in part.column(1)], pa.string())], ["doc_id", "html"])
 
-    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "n_parts int, pos int, caption string, ref string, bytes long"))
+    return docs.select("doc_id", "text").transform(common.in_small_batches).mapInArrow(run, common.with_id(docs, "html string"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    found = features(store(docs)).withColumn("ref", F.concat(F.lit("sha256:"), "media_sha256"))
-    refs = interleaved(docs)
-    out = refs.join(found, "ref", "left")
+    parsed = sequences(written_pages(docs), "doc_id")
+    out = resolve(parsed, features(store(docs)), "doc_id")
     return out.select("doc_id", F.col("bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_parts", F.col("pos").alias("media_pos"), "caption")

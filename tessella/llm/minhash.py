@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,9 +67,11 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").transform(common.in_small_batches).mapInArrow(_sketch(width, k), "doc_id long, n long, fp binary, sketch array<long>")
 
 
-def _full(width: int):
+def _full(width: int, words: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((words.value[at >> 6] >> (at & 63)) & 1 == 1))
             for part in common.slices(batch, "text"):
                 sets = common.shingle_sets(part.column("text"), width)
                 values = pa.array(np.concatenate(sets))
@@ -79,9 +82,11 @@ def _full(width: int):
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the documents in ids, as a table."""
-    chosen = common.semi(docs.select(F.col("doc_id").cast("long"), "text"), ids.select(F.col("id").alias("doc_id")), "doc_id")
-    sets = chosen.transform(common.in_small_batches).mapInArrow(_full(width), "id long, set array<long>")
+    """(id, set) of the documents in ids and of a few more, as a table. Texts are picked where they are read, by a filter of
+    bounded size; no text is shuffled, at any number of ids. Later joins by id leave the others out."""
+    words = common.id_filter(ids, "id")
+    chosen = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", common.place("doc_id", len(words)).alias("at"))
+    sets = chosen.transform(common.in_small_batches).mapInArrow(_full(width, docs.sparkSession.sparkContext.broadcast(words)), "id long, set array<long>")
     return common.written(sets, "sets")
 
 
@@ -224,12 +229,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), wid
 
 def deduplicated(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of docs that stay: of each group of near duplicates the one with the least doc_id, all columns. Of
-    rows that repeat a doc_id one stays (the least text); rows without doc_id all stay."""
+    rows that repeat a doc_id one stays (the least text); rows without doc_id all stay. Texts are shuffled once, at any
+    size, to meet the ids that go, which are what tasks hold."""
     found = near_duplicates(docs, threshold)
     kept = found.where("kept").select("doc_id").distinct()
     gone = common.written(found.where("NOT kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "gone")
     repeats = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    left = docs.join(common.sent(gone), "doc_id", "left_anti")
+    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     if repeats.head(1):
         again, nth = left.join(repeats, "doc_id", "left_semi"), common.fresh(docs, "nth")
         first = again.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).drop(nth)

@@ -1,12 +1,14 @@
 """Mixing sources to target weights by the cube method.
 
 A source's target over its size is how often each of its documents should be taken. The whole part is taken as
-it is; the fractional part is an inclusion probability. The flight phase moves the probabilities of a few
-documents at a time along a direction that leaves the expected numbers of words and of documents as they are,
-until one of them is 0 or 1. It runs in blocks of bounded size, dealt by hash; each block leaves at most two
-documents undecided. These go through the same phase again until one block per source is left. There a
-dozen documents of all sizes are held back and decided with what the flight leaves (the landing), by trying all
-choices for the one nearest the target.
+it is; the fractional part is an inclusion probability. The flight phase moves the probabilities of three documents
+at a time along the direction that leaves the numbers of words and of documents as they are, up or down until one of them
+is 0 or 1. Which way is drawn, with chances in inverse proportion to the two steps, so that every document is taken with
+its probability. Draws follow from the seed and the hashes of a block, so reruns agree. The phase runs in blocks of bounded
+size, dealt by hash; each block leaves at most two documents undecided. These go through the same phase again until one
+block per source is left. There LANDING documents are held back and decided with what the flight leaves (the landing):
+one of all choices that come near the target is drawn, by the chances that independent draws would give them. What a
+document of the landing is taken with is near its probability, not equal to it.
 
 A null text has size 0. A null source is a source of its own, after all others. Documents of size 0 are taken
 0 times. Rows that repeat a doc_id are separate documents; rows alike in doc_id, source and size are decided
@@ -29,8 +31,10 @@ from . import common
 #: Weights of the sources in order of name, repeating; the share of all words to take; the most copies of a source.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: Documents in a block of the flight phase; two of each are left for the next round.
-#: Documents of a source that are held back for the landing, and the seed of the deal.
-BLOCK, LANDING, SEED = 4000, 12, 20
+#: Documents of a source that are held back for the landing, and the seed of the deal and of all draws.
+BLOCK, LANDING, SEED = 4000, 14, 20
+#: How far from its target, as a share of it, the landing may leave a source.
+NEAR = 0.002
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -59,11 +63,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return by.select("source", "n_docs", "source_size", target.alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Moves p within [0, 1] so that sum(p) and sum(p * size) stay, until at most two are fractional."""
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Moves p within [0, 1] so that sum(p) and sum(p * size) stay, until at most two are fractional. Each move goes one of
+    two ways, drawn so that the expected value of every p stays what it was."""
     out = p.astype(float).tolist()
     x = size.astype(float).tolist()
     queue = [i for i, v in enumerate(out) if 1e-9 < v < 1 - 1e-9][::-1]
+    draws = iter(rng.random(len(queue)).tolist())  # each move decides one document at least
     held: list[int] = []
     while True:
         while len(held) < 3 and queue:
@@ -76,8 +82,10 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         if u == (0.0, 0.0, 0.0):
             u = (1.0, -1.0, 0.0)
         up = min((1 - out[i]) / d if d > 0 else -out[i] / d for i, d in zip(held, u, strict=True) if d)
+        down = min(out[i] / d if d > 0 else (out[i] - 1) / d for i, d in zip(held, u, strict=True) if d)
+        step = up if next(draws) * (up + down) < down else -down
         for i, d in zip(held, u, strict=True):
-            out[i] = min(1.0, max(0.0, out[i] + up * d))
+            out[i] = min(1.0, max(0.0, out[i] + step * d))
             if out[i] < 1e-9:
                 out[i] = 0.0
             elif out[i] > 1 - 1e-9:
@@ -86,36 +94,41 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def land(p: np.ndarray, size: np.ndarray, open_: np.ndarray, goal: float, number: float) -> np.ndarray:
-    """Decides the few documents in open_ together: of all choices the one whose words come nearest the goal, of
-    equals the one whose number does."""
+def land(p: np.ndarray, size: np.ndarray, open_: np.ndarray, goal: float, draw: float) -> np.ndarray:
+    """Decides the few documents in open_ together: of all choices whose words come within NEAR of the goal (if there is none,
+    of the nearest ones) one is drawn, each with the chance that independent draws with p would give it."""
     choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
     fixed = np.ones(len(p), bool)
     fixed[open_] = False
-    words = np.abs(choices @ size[open_] + float(p[fixed] @ size[fixed]) - goal)
-    count = np.abs(choices.sum(axis=1) + p[fixed].sum() - number)
+    words = np.round(np.abs(choices @ size[open_] + float(p[fixed] @ size[fixed]) - goal), 6)
+    near = np.flatnonzero(words <= max(words.min(), NEAR * goal))
+    chance = np.cumsum(np.where(choices[near] == 1, p[open_], 1 - p[open_]).prod(axis=1))
     out = p.copy()
-    out[open_] = choices[np.lexsort((count, np.round(words, 6)))[0]]
+    out[open_] = choices[near[min(np.searchsorted(chance, draw * chance[-1], "right"), len(near) - 1)]]
     return out
 
 
-def settle(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A whole source: a few documents of all sizes are held back from the flight and decided with what it leaves."""
-    goal, number = float(p @ size), float(p.sum())
+def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A whole source: a few documents, drawn evenly over all sizes, are held back from the flight and decided with what it
+    leaves."""
+    goal = float(p @ size)
     split = np.flatnonzero((p > 0) & (p < 1))
     split = split[np.argsort(-size[split], kind="stable")]
-    back = split[np.unique(np.linspace(0, len(split) - 1, min(LANDING, len(split))).round().astype(int))] if len(split) else split
+    n = min(LANDING, len(split))
+    edges = (np.arange(n + 1) * len(split)) // max(n, 1)
+    back = split[rng.integers(edges[:-1], edges[1:])] if n else split
     rest = np.setdiff1d(np.arange(len(p)), back)
     out = p.copy()
-    out[rest] = flight(p[rest], size[rest])
-    return land(out, size, np.flatnonzero((out > 0) & (out < 1)), goal, number)
+    out[rest] = flight(p[rest], size[rest], rng)
+    return land(out, size, np.flatnonzero((out > 0) & (out < 1)), goal, rng.random())
 
 
-def _round(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _round(last: bool, seed: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop(columns="block").sort_values(["h", "doc_id", "size", "nth"], kind="stable", na_position="last").reset_index(drop=True)
+        rng = np.random.default_rng([abs(seed), level, int(block["h"].iloc[0]) & (1 << 63) - 1, len(block)])
         decide = settle if last else flight
-        return block.assign(p=decide(block["p"].to_numpy(), block["size"].to_numpy()))
+        return block.assign(p=decide(block["p"].to_numpy(), block["size"].to_numpy(), rng))
 
     return run
 
@@ -140,7 +153,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
         last = most <= block
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
         dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "h"), blocks))
-        moved = dealt.groupBy("source", "block").applyInPandas(_round(last), schema)
+        moved = dealt.groupBy("source", "block").applyInPandas(_round(last, seed, level), schema)
         moved = common.written(moved, "flight")
         decided = moved.where("p = 0 OR p = 1")
         done = decided if done is None else done.union(decided)
@@ -157,7 +170,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies, all columns, whatever their names."""
+    """docs as the mix takes them: each row as often as it has copies, all columns, whatever their names. Texts are shuffled
+    once, at any size, to meet their copies, which are what tasks hold."""
     key = ["doc_id", "source", "size"]
     copies = mix(docs, **options).select(*key, "copies")
     copies = copies.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("copies")))
@@ -165,12 +179,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     # the row as one column, so that none of its names meets those used here
     n = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n.alias("n"))
-    if copies.where("nth > 1").head(1):
-        rows = rows.withColumn("place", F.row_number().over(W.partitionBy("id", "of", "n").orderBy("row.text")))
-    else:
-        rows = rows.withColumn("place", F.lit(1))
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")) & (F.col("place") == F.col("nth"))
-    taken = rows.join(common.sent(copies), same).where("copies > 0")
+    alike = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    again = common.written(copies.where("nth = 2").select(*key), "repeated")
+    placed = rows.withColumn("place", F.lit(1))
+    if again.head(1):  # rows alike in these are told apart by their texts
+        several = rows.join(again.hint("shuffle_hash"), alike, "left_semi").withColumn("place", F.row_number().over(W.partitionBy("id", "of", "n").orderBy("row.text")))
+        placed = rows.join(again.hint("shuffle_hash"), alike, "left_anti").withColumn("place", F.lit(1)).union(several)
+    taken = placed.join(copies.where("copies > 0").hint("shuffle_hash"), alike & (F.col("place") == F.col("nth")))
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 

@@ -35,8 +35,8 @@ def test_media_edges(edges):
     kept = media.store(edges)
     found = media.features(kept)
     assert found.count() == kept.count() == len({t or "" for _, t in EDGES})  # equal texts share a payload
-    refs = media.interleaved(edges)
-    assert refs.join(found, refs["ref"].substr(8, 64) == found["media_sha256"]).count() == len(EDGES)
+    refs = media.resolve(media.sequences(media.written_pages(edges), "doc_id"), found, "doc_id")
+    assert refs.where("media_sha256 IS NOT NULL").count() == len(EDGES)
     assert media.features(media.store(edges.limit(0))).count() == 0
 
 
@@ -62,6 +62,55 @@ def test_parse_several_media():
     assert [(p["ref"], p["text"], p["caption"]) for p in parts[60:]] == [("last", None, None), (None, "end", None)]
 
 
+def test_captions_lose_no_text():
+    """Captions before their media, not closed, without media, several of them, or outside a figure."""
+    brief = lambda page: [(p["ref"] or p["text"], p["caption"]) for p in media.parse(page)]
+    assert brief("<figure><img src=x><figcaption>cap</figure><p>text after</p><img src=y>") == [("x", "cap"), ("text after", None), ("y", None)]
+    assert brief("<figcaption>lost <p>all the text of the page</p>") == [("lost all the text of the page", None)]
+    assert brief("<figure><figcaption>c first</figcaption><img src=x><img src=y alt=z></figure>t") == [("x", "c first"), ("y", "c first"), ("t", None)]
+    assert brief("<figure>a<figcaption>b</figcaption>c</figure>d") == [("a", None), ("b", None), ("c", None), ("d", None)]
+    assert brief("<figure><figcaption>a<figcaption>b</figcaption><img src=x>") == [("x", "a\nb")]
+    assert brief("<figure><img src=x><figure><figcaption>b<img src=y>") == [("x", None), ("y", "b")]
+    assert brief("a<figcaption>b</figcaption><img src=x>c") == [("a", None), ("b", None), ("x", None), ("c", None)]
+    assert brief("<figure><img src=x alt=q><figcaption> </figcaption></figure></figure></figcaption>") == [("x", "q")]
+
+
+def test_pages_keep_their_text(spark, sf_dir):
+    """The words and media of every page, against a second parser."""
+    from html.parser import HTMLParser
+
+    class Second(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.media, self.skip = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            if tag in media._MEDIA and (src := dict(attrs).get(media._MEDIA[tag])):
+                self.media.append(src)
+            if tag not in media._INLINE:
+                self.words.append(" ")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            if tag not in media._INLINE:
+                self.words.append(" ")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.words.append(data)
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in media.sequences(pages).collect():
+        second = Second()
+        second.feed(html[r["page_id"]] or "")
+        second.close()
+        assert [p["ref"] for p in r["sequence"] if p["kind"] == "media"] == second.media
+        assert " ".join(p["text"] or "" for p in r["sequence"]).split() == "".join(second.words).split()
+        assert [p["pos"] for p in r["sequence"]] == list(range(len(r["sequence"])))
+
+
 def test_parse_is_linear():
     """Pages that are never closed, each of a megabyte or more."""
     began = time.time()
@@ -431,10 +480,31 @@ def test_mixing(spark, sf_dir):
 def test_flight_keeps_totals():
     rng = np.random.default_rng(6)
     p, size = rng.random(500), rng.integers(1, 1000, 500)
-    out = mixing.flight(p, size)
+    out = mixing.flight(p, size, rng)
     assert ((out > 0) & (out < 1)).sum() <= 2 and out.sum() == pytest.approx(p.sum()) and out @ size == pytest.approx(p @ size)
 
 
+@pytest.mark.parametrize("decide", [mixing.flight, mixing.settle])
+def test_inclusion_probabilities(decide):
+    """Over many seeds, documents of all sizes are taken as often as they should be; the landing draws a dozen of them."""
+    rng, seeds = np.random.default_rng(7), 600
+    size = np.exp(rng.normal(5, 1, 400)).astype(int) + 1
+    quintiles = np.array_split(np.argsort(size), 5)
+    for p in (0.2, 0.5, 0.85):
+        total, off = np.zeros(400), []
+        for seed in range(seeds):
+            draws = np.random.default_rng([seed, 1])
+            order = draws.permutation(400)
+            out = np.empty(400)
+            out[order] = decide(np.full(400, p), size[order], draws)
+            total += out
+            off.append(abs(out @ size - p * size.sum()) / (p * size.sum()))
+        error = (p * (1 - p) / (80 * seeds)) ** 0.5
+        slack = 0.0 if decide is mixing.flight else 14 / 400 * 0.15  # what the landing decides
+        assert all(abs(total[q].mean() / seeds - p) <= 3 * error + slack for q in quintiles)
+        assert np.quantile(off, 0.9) <= mixing.NEAR and max(off) < 0.05
+
+
 def test_mixing_edges(spark, edges):
     found = mixing.mix(edges).collect()
     assert len(found) == len(EDGES) and all(r["taken"] == 0 for r in found if r["size"] == 0)
