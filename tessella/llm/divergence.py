@@ -1,9 +1,9 @@
 """Audit of how far sources of one language differ, by tries of their terms.
 
-Each task counts the terms of its texts in byte tries (radix: an edge carries a run of bytes), one a language, whose leaves
-hold the documents of the language that have the term and its occurrences by source. Full tries are handed on as blocks:
-the leaves below one prefix, in order of their bytes. Blocks are dealt by ranges of (language, prefix) and merged, prefix by
-prefix, into one trie each, whose walk in byte order gives the terms that enough documents have. That table is read twice:
+Each task counts the terms of its texts and makes byte tries of them (radix: an edge carries a run of bytes), whose leaves
+hold the documents of the language that have the term and its occurrences by source. Tries are handed on as subtrees: the
+leaves below one prefix, in order of their bytes, of each the bytes that the one before it does not share. Subtrees are dealt
+by ranges of (language, prefix) and merged, and a walk in byte order gives the terms in enough documents. That table is read twice:
 for the number of occurrences in every source, and in batches that give, for every pair of sources, the sum of the
 differences over the terms, and for every source the best few terms. What a task holds is a trie of bounded size, the terms
 of one prefix, or a matrix of the sources of one language; no term is dealt to a task by itself, however common it is.
@@ -33,152 +33,200 @@ from . import common
 
 #: Documents of its language that a kept term is in, what shares are multiplied by, and terms reported for a source.
 LEAST, SCALE, BEST = 10, 1_000_000_000, 10
-#: Leaves of a task's tries before they are handed on; bytes of a prefix; leaves in one row; cells of a batch's matrix.
-LEAVES, PREFIX, ROW, CELLS = 150_000, 4, 256, 1 << 20
+#: Counters of a task's leaves before they are handed on; bytes of a prefix; leaves in one row; leaves that are merged at
+#: once; cells of a batch's matrix.
+LEAVES, PREFIX, ROW, MERGED, CELLS = 1_000_000, 4, 64, 50_000, 1 << 20
 #: Sources of a language up to which a task adds up its pairs before it hands them on.
 KEPT = 1000
+#: Bytes of a term that are compared beside those of other terms.
+_ASIDE = 64
 
 #: A-Z become small; all bytes but letters and those of characters beyond ASCII become spaces.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-class Node:
-    """A place in a trie: the bytes that lead to it, what follows by first byte, and the leaf if a term ends here."""
-
-    __slots__ = ("kids", "label", "leaf")
-
-    def __init__(self, label: bytes):
-        self.label, self.kids, self.leaf = label, {}, None
+def shared_bytes(terms: pa.Array) -> np.ndarray:
+    """How many bytes each of ascending binary terms shares with the one before it."""
+    n = len(terms)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    size = pc.binary_length(terms).to_numpy().astype(np.int64)
+    raw, at = np.frombuffer(terms.buffers()[2], np.uint8), np.frombuffer(terms.buffers()[1], np.int32)[:n].astype(np.int64)
+    most = np.minimum(size[1:], size[:-1])
+    out, open_ = np.zeros(n - 1, np.int64), np.arange(n - 1)
+    for k in range(_ASIDE):  # byte k of all pairs that share the bytes before it
+        open_ = open_[most[open_] > k]
+        open_ = open_[raw[at[open_] + k] == raw[at[open_ + 1] + k]]
+        if not len(open_):
+            break
+        out[open_] = k + 1
+    for i in open_[most[open_] > _ASIDE].tolist():  # terms alike in more bytes than any but junk has
+        a, b = raw[at[i] : at[i] + most[i]], raw[at[i + 1] : at[i + 1] + most[i]]
+        differ = np.flatnonzero(a != b)
+        out[i] = differ[0] if len(differ) else most[i]
+    return np.concatenate(([0], out))
 
 
 class Trie:
-    """Terms with a leaf each: [documents, {source: occurrences}]."""
-
-    def __init__(self):
-        self.root, self.size = Node(b""), 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term, made if there is none."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            kid = node.kids.get(term[at])
-            if kid is None:
-                kid = node.kids[term[at]] = Node(term[at:])
-                at = end
-            elif term.startswith(kid.label, at):
-                at += len(kid.label)
-            else:  # the edge forks within its label
-                label, most = kid.label, min(len(kid.label), end - at)
-                same = next((k for k in range(1, most) if label[k] != term[at + k]), most)
-                fork = node.kids[term[at]] = Node(label[:same])
-                kid.label = label[same:]
-                fork.kids[kid.label[0]] = kid
-                kid, at = fork, at + same
-            node = kid
-        if node.leaf is None:
-            node.leaf = [0, {}]
-            self.size += 1
-        return node.leaf
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        for source, n in counts.items():
-            leaf[1][source] = leaf[1].get(source, 0) + n
-
-    def __iter__(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """(term, documents, occurrences by source) in order of the terms' bytes."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, node = stack.pop()
-            term = before + node.label
-            if node.leaf is not None:
-                yield term, *node.leaf
-            stack.extend((term, node.kids[b]) for b in sorted(node.kids, reverse=True))
-
-
-_BLOCK = "lang string, prefix binary, terms array<binary>, docs array<long>, ends array<int>, sources array<string>, counts array<long>"
-
-
-def _blocks(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    """The leaves of tries as rows: those of one prefix, at most ROW in each."""
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("terms", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-    rows: list[dict] = []
-    for lang, trie in tries.items():
-        row = None
-        for term, docs, counts in trie:
-            if row is None or row["prefix"] != term[:PREFIX] or len(row["terms"]) >= ROW:
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-                row = {"lang": lang, "prefix": term[:PREFIX], "terms": [], "docs": [], "ends": [], "sources": [], "counts": []}
-                rows.append(row)
-            row["terms"].append(term)
-            row["docs"].append(docs)
-            row["sources"].extend(counts)
-            row["counts"].extend(counts.values())
-            row["ends"].append(len(row["counts"]))
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema)
+    """A radix trie of the terms of languages, held flat: its leaves in order of (language, bytes), with the documents of each
+    and its occurrences by source (for leaf owner[i], source sources[i]: counts[i]). Its inner nodes are the runs of leaves
+    that share their first bytes; so a subtree is a slice, a walk in byte order goes from left to right, and tries merge by
+    going through their leaves once."""
+
+    def __init__(self, leaves: list[tuple[str, bytes]], docs: np.ndarray, owner: np.ndarray, sources: np.ndarray, counts: np.ndarray):
+        self.leaves, self.docs, self.owner, self.sources, self.counts = leaves, docs, owner, sources, counts
+
+    @classmethod
+    def merged(cls, leaves: list[tuple[str, bytes]], docs: np.ndarray, owner: np.ndarray, sources: np.ndarray, counts: np.ndarray) -> Trie:
+        """The trie of the leaves of several, in any order, of which some may be alike: their counters add up."""
+        found = sorted(set(leaves))
+        place = dict(zip(found, range(len(found)), strict=True))
+        to = np.fromiter(map(place.__getitem__, leaves), np.int64, len(leaves))
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, to, docs)
+        by = to[owner]
+        order = np.lexsort((sources, by))
+        by, sources, counts = by[order], sources[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]) | (sources[1:] != sources[:-1])))) if len(by) else by
+        return cls(found, total, by[first], sources[first], np.add.reduceat(counts, first) if len(by) else counts)
+
+    def where(self, kept: np.ndarray) -> Trie:
+        """The trie of some of its leaves."""
+        to, of = np.cumsum(kept) - 1, kept[self.owner]
+        return Trie([x for x, fine in zip(self.leaves, kept.tolist(), strict=True) if fine], self.docs[kept], to[self.owner[of]], self.sources[of], self.counts[of])
+
+
+#: A row is a subtree: leaves below one prefix, ROW at most. Of each leaf: the bytes it shares with the one before it in the
+#: row, the others, its documents, how many sources it has; then the sources (places in names) and occurrences of all.
+_SUBTREE = "lang string, prefix binary, shared array<int>, rest array<binary>, docs array<long>, sizes array<int>, names array<string>, sources array<int>, counts array<long>"
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values)
+
+
+def _subtrees(trie: Trie, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A trie as rows, those of a language in one batch."""
+    langs = np.array([lang for lang, _ in trie.leaves])
+    edges = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)] if len(langs) else [0]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        terms = [term for _, term in trie.leaves[lo:hi]]
+        shared = shared_bytes(pa.array(terms, pa.binary()))
+        fresh = shared < PREFIX  # another prefix begins
+        fresh[0] = True
+        within = np.arange(hi - lo) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        heads = np.flatnonzero(within % ROW == 0)
+        shared[heads] = 0
+        ends = np.append(heads[1:], hi - lo)
+        a, b = np.searchsorted(trie.owner, [lo, hi])
+        owner = trie.owner[a:b] - lo
+        sizes = np.bincount(owner, minlength=hi - lo)
+        upto = np.cumsum(sizes)[ends - 1]
+        codes, said, said_ends = np.empty(b - a, np.int32), [], []
+        for x, y in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True):
+            used, codes[x:y] = np.unique(trie.sources[a + x : a + y], return_inverse=True)
+            said.extend(names[k] for k in used.tolist())
+            said_ends.append(len(said))
+        columns = (
+            pa.array([trie.leaves[lo][0]] * len(heads), pa.string()),
+            pa.array([terms[k][:PREFIX] for k in heads.tolist()], pa.binary()),
+            _lists(pa.array(shared, pa.int32()), ends),
+            _lists(pa.array([t[k:] for t, k in zip(terms, shared.tolist(), strict=True)], pa.binary()), ends),
+            _lists(pa.array(trie.docs[lo:hi]), ends),
+            _lists(pa.array(sizes, pa.int32()), ends),
+            _lists(pa.array(said, pa.string()), np.array(said_ends)),
+            _lists(pa.array(codes), upto),
+            _lists(pa.array(trie.counts[a:b]), upto),
+        )
+        yield pa.RecordBatch.from_arrays(list(columns), ["lang", "prefix", "shared", "rest", "docs", "sizes", "names", "sources", "counts"])
 
 
 def counted(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
-    """Blocks of the tries of every task."""
+    """The tries of every task, as subtrees."""
+
+    def trie_of(found: dict[tuple[str, str], Counter], docs: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        names = sorted({source for _, source in found})
+        code = {source: k for k, source in enumerate(names)}
+        for lang, of in docs.items():
+            place = dict(zip(of, range(len(of)), strict=True))
+            groups = [(code[source], by) for (of_lang, source), by in found.items() if of_lang == lang and by]
+            owner = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(place.__getitem__, by), np.int64, len(by)) for _, by in groups)])
+            counts = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(by.values(), np.int64, len(by)) for _, by in groups)])
+            sources = np.repeat(np.array([k for k, _ in groups], np.int64), [len(by) for _, by in groups])
+            leaves = [(lang, term) for term in of]
+            yield from _subtrees(Trie.merged(leaves, np.fromiter(of.values(), np.int64, len(of)), owner, sources, counts), names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = defaultdict(Trie)
+        found: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        docs: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for part in common.slices(batch, "text"):
-                found: dict[tuple[str, str], Counter] = defaultdict(Counter)
-                docs: dict[str, Counter] = defaultdict(Counter)
                 for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                     terms = (text or "").encode().translate(_TERM).split()
                     found[lang or "", source or ""].update(terms)
                     docs[lang or ""].update(set(terms))
-                # terms of the slice once each, so a walk down the trie is not taken for every occurrence
-                for lang, by in docs.items():
-                    for term, n in by.items():
-                        tries[lang].leaf(term)[0] += n
-                for (lang, source), by in found.items():
-                    for term, n in by.items():
-                        of = tries[lang].leaf(term)[1]
-                        of[source] = of.get(source, 0) + n
-                if sum(t.size for t in tries.values()) >= leaves:
-                    yield from _blocks(tries)
-                    tries.clear()
-        yield from _blocks(tries)
-
-    return docs.select("lang", "source", "text").mapInArrow(run, _BLOCK)
-
-
-def merged(blocks: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, term, sources, counts (in the same order) of the terms in enough documents, from stored blocks."""
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-    def kept(lang: str, trie: Trie) -> Iterator[dict]:
-        for term, docs, counts in trie:
-            if docs >= least:
-                yield {"lang": lang, "term": term.decode(), "sources": [*counts], "counts": [*counts.values()]}
+                if sum(map(len, found.values())) >= leaves:
+                    yield from trie_of(found, docs)
+                    found.clear()
+                    docs.clear()
+        yield from trie_of(found, docs)
+
+    return docs.select("lang", "source", "text").mapInArrow(run, _SUBTREE)
+
+
+def merged(subtrees: DataFrame, least: int = LEAST, most: int = MERGED) -> DataFrame:
+    """lang, term, sources, counts (in the same order) of the terms in enough documents, from stored subtrees. These are dealt
+    by ranges of (language, prefix); a task holds `most` leaves and the merged ones of a prefix."""
+    flat = lambda batch, name: pc.list_flatten(batch.column(name))
+
+    def out(trie: Trie, names: list[str]) -> pa.RecordBatch:
+        trie = trie.where(trie.docs >= least)
+        ends = np.cumsum(np.bincount(trie.owner, minlength=len(trie.leaves)))
+        said = pa.array(names, pa.string()).take(pa.array(trie.sources))
+        columns = [pa.array([lang for lang, _ in trie.leaves], pa.string()), pa.array([term.decode() for _, term in trie.leaves], pa.string()), _lists(said, ends), _lists(pa.array(trie.counts), ends)]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, trie, rows = None, Trie(), []
+        code: dict[str, int] = {}
+        held: list[tuple] = []  # leaves, docs, sizes, sources, counts of batches or parts of them
+        n, full, last = 0, 4 * most, None
+
+        def merge() -> Trie:
+            leaves = [x for part in held for x in part[0]]
+            docs, sizes, sources, counts = (np.concatenate([part[k] for part in held]) for k in (1, 2, 3, 4))
+            return Trie.merged(leaves, docs, np.repeat(np.arange(len(leaves)), sizes), sources, counts)
+
         for batch in batches:
-            for row in range(len(batch)):
-                lang, prefix, terms, docs, ends, sources, counts = (c[row].as_py() for c in batch.columns)
-                if (lang, prefix) != key:
-                    if key:
-                        rows.extend(kept(key[0], trie))
-                    key, trie = (lang, prefix), Trie()
-                    if len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                for term, n, lo, hi in zip(terms, docs, [0, *ends], ends, strict=False):
-                    trie.add(term, n, dict(zip(sources[lo:hi], counts[lo:hi], strict=True)))
-        if key:
-            rows.extend(kept(key[0], trie))
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-    ranges = blocks.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
+            langs, prefixes = batch.column("lang").to_pylist(), batch.column("prefix").to_pylist()
+            length = pc.list_value_length(batch.column("rest")).to_numpy()
+            places = np.fromiter((code.setdefault(x, len(code)) for x in flat(batch, "names").to_pylist()), np.int64)
+            entries = pc.list_value_length(batch.column("sources")).to_numpy()
+            first = np.cumsum(pc.list_value_length(batch.column("names")).to_numpy()) - pc.list_value_length(batch.column("names")).to_numpy()
+            sources = places[flat(batch, "sources").to_numpy() + np.repeat(first, entries)] if len(places) else np.zeros(0, np.int64)
+            leaves, before = [], b""
+            of = np.repeat(np.arange(len(batch)), length).tolist()
+            for row, k, rest in zip(of, flat(batch, "shared").to_pylist(), flat(batch, "rest").to_pylist(), strict=True):
+                before = before[:k] + rest
+                leaves.append((langs[row], before))
+            docs, sizes, counts = (flat(batch, c).to_numpy() for c in ("docs", "sizes", "counts"))
+            keys = list(zip(langs, prefixes, strict=True))
+            at, to = np.concatenate(([0], np.cumsum(length))), np.concatenate(([0], np.cumsum(entries)))
+            lo = 0
+            for hi in [*(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]:
+                if keys[lo] != last and n >= most:  # a prefix ends here
+                    yield out(merge(), list(code))
+                    held, n, full = [], 0, 4 * most
+                held.append((leaves[at[lo] : at[hi]], docs[at[lo] : at[hi]], sizes[at[lo] : at[hi]], sources[to[lo] : to[hi]], counts[to[lo] : to[hi]]))
+                n += int(at[hi] - at[lo])
+                if n >= full:  # within one prefix
+                    trie = merge()
+                    n = len(trie.leaves)
+                    held, full = [(trie.leaves, trie.docs, np.bincount(trie.owner, minlength=n), trie.sources, trie.counts)], 2 * n + 4 * most
+                last, lo = keys[lo], hi
+        if held:
+            yield out(merge(), list(code))
+
+    ranges = subtrees.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
     return ranges.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>")
 
 
@@ -251,8 +299,8 @@ def _compared(best: int):
 def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, leaves: int = LEAVES) -> DataFrame:
     """lang, source, part (pair, term), item, value, rank: for each source of a language all others by how far their terms'
     shares are from its own, and the terms that it has more often than its language, by the difference."""
-    blocks = common.written(counted(docs, leaves), "blocks")
-    terms = common.written(merged(blocks, least), "terms")
+    subtrees = common.written(counted(docs, leaves), "subtrees")
+    terms = common.written(merged(subtrees, least), "terms")
     groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     occurred = terms.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
     groups = groups.join(occurred, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))

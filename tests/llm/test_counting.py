@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import common, divergence, resampling, tokens
@@ -142,23 +143,32 @@ def test_divergence_edges(spark, edges, monkeypatch):
     df = spark.createDataFrame(many, "lang string, source string, text string").repartition(7)
     want = plain(brute_divergence(many, 5, 4))
     monkeypatch.setattr(divergence, "ROW", 1)
+    monkeypatch.setattr(divergence, "PREFIX", 2)
     monkeypatch.setattr(divergence, "KEPT", 1)
     monkeypatch.setattr(divergence, "CELLS", 1)
     monkeypatch.setattr(common, "SENT", -1)
     monkeypatch.setattr(common, "small", lambda df, most=0: False)
     monkeypatch.setattr(common, "DEALT", 5)
     assert plain(divergence.audit(df, 5, 4, leaves=1).collect()) == want
+    subtrees = common.written(divergence.counted(df, 1), "subtrees")
+    terms = [[(r["lang"], r["term"], sorted(zip(r["sources"], r["counts"], strict=True))) for r in divergence.merged(subtrees, 5, most).collect()] for most in (1, 50_000)]
+    assert sorted(terms[0]) == sorted(terms[1]) != []
 
 
-def test_trie_keeps_order():
+def test_tries_merge():
     rng = random.Random(6)
-    terms = [bytes(rng.choices(b"ab\xc3", k=rng.randint(1, 9))) for _ in range(3000)]
-    trie = divergence.Trie()
-    for k, t in enumerate(terms):
-        trie.add(t, 1, {f"s{k % 3}": 2})
-    got = list(trie)
-    assert [t for t, _, _ in got] == sorted(set(terms)) and trie.size == len(got)
-    assert {t: n for t, n, _ in got} == Counter(terms) and all(sum(by.values()) == 2 * n for _, n, by in got)
+    terms = [bytes(rng.choices(b"ab\xc3", k=rng.randint(1, 9))) for _ in range(3000)] + [b"a" * 100, b"a" * 100 + b"b", b"a" * 101]
+    leaves = [(f"l{k % 2}", t) for k, t in enumerate(terms)]
+    n = len(leaves)
+    trie = divergence.Trie.merged(leaves, np.ones(n, np.int64), np.arange(n), np.arange(n) % 3, np.full(n, 2))
+    assert trie.leaves == sorted(set(leaves)) and dict(zip(trie.leaves, trie.docs.tolist(), strict=True)) == Counter(leaves)
+    want = Counter((leaf, k % 3) for k, leaf in enumerate(leaves))
+    assert {(trie.leaves[o], s): c for o, s, c in zip(trie.owner.tolist(), trie.sources.tolist(), trie.counts.tolist(), strict=True)} == {k: 2 * c for k, c in want.items()}
+    ascending = sorted(set(terms))
+    shared = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    assert divergence.shared_bytes(pa.array(ascending, pa.binary())).tolist() == [0, *map(shared, ascending, ascending[1:])]
+    some = trie.where(trie.docs >= 3)
+    assert some.leaves == [x for x, c in zip(trie.leaves, trie.docs.tolist(), strict=True) if c >= 3] and some.counts.sum() == 2 * some.docs.sum()
 
 
 def test_shares_are_exact():
