@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import trees
+from .stored import stored
 
 #: Words of a part of a leaf without a budget of its own; words that a part has at least; fewest and most parts of a split.
 TARGET, FLOOR, LEAST, MOST = 800, 400, 3, 4
@@ -16,6 +17,7 @@ TARGET, FLOOR, LEAST, MOST = 800, 400, 3, 4
 
 def reordered(nodes: DataFrame) -> DataFrame:
     """id, level, sort_order: depth-first order from 1 on and levels anew; what hangs below a leaf is left out."""
+    nodes = stored(nodes.select("id", "parent_id", "sort_order", "title", "is_leaf"), "outline")
     open_ = nodes.where(F.coalesce(F.col("is_leaf"), F.lit(0)) != 1).select(F.col("id").alias("pid"))
     known = nodes.select(F.col("id").alias("pid"))
     lost = nodes.join(known, nodes["parent_id"] == known["pid"], "left_semi").join(open_, nodes["parent_id"] == open_["pid"], "left_anti").select("id")
@@ -86,5 +88,5 @@ def split_leaves(nodes: DataFrame, children: DataFrame) -> DataFrame:
     split = leaves.select(F.col("leaf_id").alias("id"), F.lit(True).alias("split"))
     kept = n.join(split, "id", "left")
     kept = kept.select("id", "parent_id", "sort_order", "title", F.when(F.col("split"), 0).otherwise(F.col("is_leaf")).alias("is_leaf"), F.when(~F.coalesce("split", F.lit(False)), F.col("target_words")).alias("target_words"))
-    merged = kept.union(made)
+    merged = stored(kept.union(made), "split")
     return reordered(merged).join(merged.drop("sort_order"), "id")

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def walk(nodes: DataFrame, levels: int = 64) -> DataFrame:
     """nodes with path (array of structs that sorts in depth-first order), root_id, depth, titles (from the root on).
 
     Nodes whose parent does not exist are roots; siblings go by (sort_order, id); nodes on a cycle are never
-    reached and are left out. One join a level, over the level's nodes alone. (F06, F09, F11, J-path)"""
+    reached and are left out. Each level is a stored table, made by one join with the level above it, so no plan holds more
+    than one level. (F06, F09, F11, J-path)"""
     key = F.struct(F.coalesce("sort_order", F.lit(0)).alias("so"), F.col("id").alias("id"))
-    n = nodes.select("id", "parent_id", "sort_order", "title")
-    parents = n.select(F.col("id").alias("pid"))
+    n = stored(nodes.select("id", "parent_id", "sort_order", "title"), "nodes")
+    parents = n.select(F.col("id").alias("pid")).distinct()
     roots = n.join(parents, n["parent_id"] == parents["pid"], "left_anti")
-    level = roots.select("*", F.array(key).alias("path"), F.col("id").alias("root_id"), F.lit(1).alias("depth"), F.array(F.coalesce("title", F.lit(""))).alias("titles"))
-    out = level
+    level = stored(roots.select("*", F.array(key).alias("path"), F.col("id").alias("root_id"), F.lit(1).alias("depth"), F.array(F.coalesce("title", F.lit(""))).alias("titles")), "level")
+    found = [level]
     for _ in range(levels):
         up = level.select(F.col("id").alias("pid"), F.col("path").alias("ppath"), "root_id", F.col("depth").alias("pdepth"), F.col("titles").alias("ptitles"))
         level = n.join(up, n["parent_id"] == up["pid"]).select(
             *n.columns, F.array_append("ppath", key).alias("path"), "root_id", (F.col("pdepth") + 1).alias("depth"), F.array_append("ptitles", F.coalesce("title", F.lit(""))).alias("titles")
         )
-        if not level.head(1):
-            return out
-        out = out.union(level)
+        level = stored(level, "level")
+        if level.isEmpty():
+            return reduce(DataFrame.union, found)
+        found.append(level)
     raise ValueError(f"a tree of more than {levels} levels")
 
 
