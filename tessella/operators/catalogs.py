@@ -134,7 +134,7 @@ def catalogues(items: DataFrame) -> DataFrame:
     parent = F.get(F.filter("entries", lambda e: tx.contains_any(e, TECHNICAL)), F.lit(0))
     headed = F.when(parent.rlike("^[一二三四五六七八九十]+、"), parent).otherwise(F.concat(F.lit("（一）"), parent))
     below = F.transform("titles", lambda t, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), t))
-    alone = F.transform("titles", lambda t, i: F.concat(F.lit("（"), tx.cn_index(i + 1), F.lit("）"), t))
+    alone = F.transform("titles", lambda t, i: F.concat(F.lit("（"), tx.chinese_number(i + 1), F.lit("）"), t))
     outline = F.array_join(F.when(parent.isNotNull(), F.array_prepend(below, headed)).otherwise(alone), "\n")
     many = F.coalesce(F.size("titles"), F.lit(0)) >= 2
     return found.select("doc", F.when(many | F.col("entries").isNull(), outline).otherwise(F.array_join("entries", "\n")).alias("catalog"))

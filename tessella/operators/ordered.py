@@ -1,5 +1,5 @@
-"""Order-dependent operators that no relational form expresses. `fuzzy_distinct` and `unique_ids` take one group at a time
-in pandas, so a group has to fit a task; `packed` takes groups of any length in batches."""
+"""Order-dependent operators that no relational form expresses. `fuzzy_distinct` takes one group at a time in pandas, so a
+group has to fit a task; `packed` takes groups of any length in batches."""
 
 from __future__ import annotations
 
@@ -31,26 +31,6 @@ def fuzzy_distinct(rows: DataFrame, group: str, threshold: float = 0.9) -> DataF
     return rows.groupBy(group).applyInPandas(keep, rows.schema)
 
 
-def unique_ids(nodes: DataFrame, group: str) -> DataFrame:
-    """nodes (group, pos, id, parent_id) with repeated ids renamed in order: `id_2`, `id_3` and so on; children that follow a
-    renamed node go with it. (H08)"""
-
-    def rename(part: pd.DataFrame) -> pd.DataFrame:
-        used, latest, out = set(), {}, part.sort_values("pos").reset_index(drop=True)
-        ids, parents = [], []
-        for i, p in zip(out["id"], out["parent_id"], strict=True):
-            new, n = i, 2
-            while new in used:
-                new, n = f"{i}_{n}", n + 1
-            used.add(new)
-            parents.append(latest.get(p, p))
-            latest[i] = new
-            ids.append(new)
-        return out.assign(id=ids, parent_id=parents)
-
-    return nodes.groupBy(group).applyInPandas(rename, nodes.schema)
-
-
 def packed(items: DataFrame, group: str, most: int = 18_000) -> DataFrame:
     """(group, pos, chunk) of items (group, pos, text): filled in order up to `most` characters, a longer item alone. Only
     lengths are moved, and groups pass by in order: a task holds a batch of rows, however long a group is. (F15)"""

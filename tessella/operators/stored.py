@@ -26,8 +26,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written (in a folder for each value of a column, if `by` names one) and read again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

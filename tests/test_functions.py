@@ -162,9 +162,3 @@ def test_text_sources(spark, tmp_path):
     assert [tuple(r) for r in sources.uploaded_table(spark, str(tmp_path / "b.csv")).collect()] == [("1", "")]
     with pytest.raises(ValueError):
         sources.uploaded_table(spark, "x.doc")
-
-
-def test_repeated_ids_are_renamed(spark):
-    rows = [(1, 1, "a", None), (1, 2, "a", None), (1, 3, "b", "a"), (1, 4, "a", None), (2, 1, "a", None)]
-    found = ordered.unique_ids(spark.createDataFrame(rows, "g long, pos long, id string, parent_id string"), "g").orderBy("g", "pos").collect()
-    assert [(r["id"], r["parent_id"]) for r in found] == [("a", None), ("a_2", None), ("b", "a_2"), ("a_3", None), ("a", None)]
