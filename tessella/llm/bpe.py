@@ -30,7 +30,7 @@ from . import common
 #: Pre-tokens of byte-level vocabularies (a fixed value of the vocabulary's format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded chunks and pre-tokens and judged pairs that a task keeps; when full, they are forgotten and found again.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000, 1_000_000
+KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 60_000, 60_000, 200_000
 
 
 def _byte_of() -> dict[str, int]:
