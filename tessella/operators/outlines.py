@@ -192,8 +192,8 @@ def branch_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
     By (level, sort_order, id): a node keeps its id if that is the branch's, or lies under it, is not taken and is the first of
     its kind. Others become children of their parent: of the last renamed node of the parent's id before them, else of that
-    id if it lies under the branch, else of the branch. Numbers are the next free ones: no kept or taken id lies at or below
-    them. A parent is kept if it comes before the node, or is taken, and lies under the branch; else it is the branch.
+    id if it lies under the branch, else of the branch. Numbers are the next free ones: no kept or taken id, nor the id
+    that a renamed node has for its parent, lies at or below them. A parent is kept if it comes before the node, or is taken, and lies under the branch; else it is the branch.
 
     Renamed nodes hang together by references to one another; their paths are put together by pointer jumping, a stored
     table and two joins a round, so a chain of any length takes as many rounds as its logarithm. Nodes meet by id and by
@@ -213,7 +213,12 @@ def branch_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     up = F.when(F.col("up") < F.col("_key"), F.col("up")["u"])
     hung = hung.select("branch_id", "_uid", "_key", "_id", up.alias("up"), F.when(up.isNull(), F.when(under(F.col("_pid")), F.col("_pid")).otherwise(F.col("branch_id"))).alias("base"))
     hung = hung.withColumn("j", F.row_number().over(W.partitionBy("branch_id", "up", "base").orderBy("_key")).cast("long"))
-    used = _numbered(kept.select("branch_id", F.col("_id").alias("id")).union(rest.select("branch_id").distinct().join(taken.select(F.col("_id").alias("id")), F.col("id").startswith(F.concat("branch_id", F.lit("."))))).distinct(), ["branch_id"])
+    # a taken id meets its branch by one of its own prefixes
+    parts = F.split("_id", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    given = taken.select(F.col("_id").alias("id"), F.explode(prefixes).alias("branch_id")).join(rest.select("branch_id").distinct(), "branch_id").select("branch_id", "id")
+    named = hung.where("up IS NULL").select("branch_id", F.col("base").alias("id"))
+    used = _numbered(kept.select("branch_id", F.col("_id").alias("id")).union(given).union(named).distinct(), ["branch_id"])
     based = free_numbers(hung.where("up IS NULL"), used, ["branch_id", "base"])
     chain = based.unionByName(hung.where("up IS NOT NULL").withColumn("number", F.col("j")))
     chain = stored(chain.select("branch_id", "_uid", "up", "base", F.concat(F.lit("."), F.col("number").cast("string")).alias("path")), "chain")
@@ -224,7 +229,7 @@ def branch_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
         chain = stored(chain.where("up IS NULL").unionByName(moved), "chain")
         open_ = chain.where("up IS NOT NULL")
     new = chain.select("_uid", F.concat("base", "path").alias("_new"))
-    named = stored(n.join(new, "_uid", "left"), "named")
+    named = stored(n.join(new, "_uid", "left"), "branches-named")
     to = named.where("_new IS NOT NULL").select(F.col("_uid").alias("to"), F.col("_new").alias("mapped"))
     known = kept.groupBy("branch_id", F.col("_id").alias("_pid")).agg(F.min("_key").alias("first"))
     out = named.join(last, ["branch_id", "_pid"], "left").join(known, ["branch_id", "_pid"], "left").join(taken.withColumnsRenamed({"_id": "_pid", "_taken": "_given"}), "_pid", "left")
