@@ -229,7 +229,7 @@ def assembled_chapter(markdown: Column, charts: Column) -> Column:
     def joined(ms: Column) -> Column:
         filled = F.array_join(F.zip_with(gaps, ms, lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), F.try_element_at(charts, m)), F.lit("")))), "")
         rest = F.array_join(F.transform(F.filter(known, lambda k: ~F.array_contains(ms, k)), lambda k: charts[k]), "\n")
-        body = F.when(F.size(ms) > 0, F.regexp_replace(filled, r"(?U)\s+$", "")).otherwise(filled)
+        body = F.when(F.size(ms) > 0, tx.rstrip(filled)).otherwise(filled)
         return F.when(rest == "", filled).when(body == "", rest).otherwise(F.concat(body, F.lit("\n\n"), rest))
 
     return tx.strip(tx.let(marks, joined))

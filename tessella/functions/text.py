@@ -41,8 +41,13 @@ MONEY = r"(\d+(?:\.\d+)?)\s*万元|(\d{4,})\s*元"
 
 
 def strip(x: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends. A run of it is gone through once, from its first place on, however long."""
+    return F.regexp_replace(x, r"(?U)^\s++|(?<!\s)\s++\z", "")
+
+
+def rstrip(x: Column) -> Column:
+    """Without white space of any kind at the end, in time in proportion to the text as strip()."""
+    return F.regexp_replace(x, r"(?U)(?<!\s)\s++\z", "")
 
 
 def normalize_for_match(x: Column) -> Column:
@@ -387,6 +392,9 @@ def error_array(raw: Column) -> Column:
 
 def character_grams(x: Column, n: int = 8, keep: str = r"[^\x{4e00}-\x{9fff}]") -> Column:
     """Distinct runs of n of the kept characters."""
-    pure = F.regexp_replace(F.coalesce(x, F.lit("")), keep, "")
-    starts = lambda p: F.when(F.length(p) >= n, F.sequence(F.lit(1), F.length(p) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return let(pure, lambda p: F.array_distinct(F.transform(starts(p), lambda i: F.substr(p, i, F.lit(n)))))
+    return F.array_distinct(windows(F.regexp_replace(F.coalesce(x, F.lit("")), keep, ""), n))
+
+
+def windows(x: Column, n: int) -> Column:
+    """All runs of n characters of a text, one from each place, in one pass."""
+    return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))

@@ -146,7 +146,7 @@ def ai_spacing(c: Chapter) -> Column:
 
 @rule("truncation", "truncation")
 def truncation(c: Chapter) -> Column:
-    t = F.regexp_replace(c.content, r"(?U)\s+$", "")
+    t = tx.rstrip(c.content)
     fine = (t == "") | t.rlike(r"(?:。|！|？|\]\]|\}\]|）|\))$") | tx.strip(F.element_at(F.split(t, "\n"), -1)).rlike(TABLE_ROW)
     comma = "正文结尾疑似被截断（以逗号/顿号等非结束标点收尾）"
     return _strings(F.when(fine, F.lit(None)).when(t.rlike(r"[，、：；\-—]$"), comma).when(F.length(t) > 200, "正文结尾疑似被截断（未以句号等结束标点收尾）"))
@@ -385,7 +385,7 @@ def trimmed_to_scope(content: Column, title: Column, others: Column) -> Column:
     heads = F.transform(lines, tx.line_as_heading)
     foreign = F.transform(heads, lambda h: F.coalesce(h.isNotNull() & ~tx.title_scope_match(h, title) & F.exists(others, lambda o: tx.title_scope_match(h, o)), F.lit(False)))
     at = F.array_position(foreign, F.lit(True)).cast("int")
-    return F.when((F.size(others) == 0) | (at == 0), content).otherwise(F.regexp_replace(F.array_join(F.slice(lines, F.lit(1), at - 1), "\n"), r"(?U)\s+$", ""))
+    return F.when((F.size(others) == 0) | (at == 0), content).otherwise(tx.rstrip(F.array_join(F.slice(lines, F.lit(1), at - 1), "\n")))
 
 
 def currency(chapters: DataFrame, registry: DataFrame) -> DataFrame:
