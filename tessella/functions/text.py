@@ -107,10 +107,11 @@ def phrase_parts(text: Column, phrase: Column) -> Column:
     """What makes a phrase covered: (plain, noun, verb). Over several texts, plain in one or noun and verb in any will do."""
     plain = F.struct(F.coalesce(text, F.lit("")).alias("text"), strip(F.coalesce(phrase, F.lit(""))).alias("raw"))
     both = let(plain, lambda x: F.struct(x["text"].alias("text"), x["raw"].alias("raw"), normalize_for_match(x["text"]).alias("t"), normalize_for_match(x["raw"]).alias("p")))
-    return let(both, lambda x: _covered(x["text"], x["raw"], x["t"], x["p"]))
+    return let(both, lambda x: covered_parts(x["text"], x["raw"], x["t"], x["p"]))
 
 
-def _covered(text: Column, raw: Column, t: Column, p: Column) -> Column:
+def covered_parts(text: Column, raw: Column, t: Column, p: Column) -> Column:
+    """phrase_parts() of a text and a phrase whose normalised forms, t and p, are known."""
     verbs = F.array(*map(F.lit, COMPLIANCE_VERBS))
 
     def swapped(v_from: Column) -> Column:
@@ -157,8 +158,16 @@ def coverage_candidates(title: Column, keyword: Column) -> Column:
 
 def matched_candidates(content: Column, candidates: Column) -> Column:
     """The candidates that occur, themselves or as a core variant, after normalisation."""
-    forms = lambda c: F.filter(F.transform(F.concat(F.array(c), keyword_core_variants(c)), normalize_for_match), lambda n: n != "")
-    return let(normalize_for_match(content), lambda t: F.filter(candidates, lambda c: F.exists(forms(c), lambda n: F.contains(t, n))))
+    return let(normalize_for_match(content), lambda t: F.filter(candidates, lambda c: F.exists(_forms(c), lambda n: F.contains(t, n))))
+
+
+def _forms(candidate: Column) -> Column:
+    return F.filter(F.transform(F.concat(F.array(candidate), keyword_core_variants(candidate)), normalize_for_match), lambda n: n != "")
+
+
+def candidate_forms(candidates: Column) -> Column:
+    """The normalised forms of all candidates: a text that holds one of them, normalised, matches."""
+    return F.array_distinct(F.flatten(F.transform(candidates, _forms)))
 
 
 def line_as_heading(line: Column) -> Column:

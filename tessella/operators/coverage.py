@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,20 +28,32 @@ def response_matrix(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
     the matrix. (D05, Y01, Y02)
 
     An element is covered by all bound leaves together: one holds the phrase, or one its noun and one a verb of
-    compliance. A phrase that begins in one leaf and ends in the next does not count. All is tested where a leaf meets a
-    requirement; only flags leave that row, and they are counted together before they are shuffled."""
+    compliance. A phrase that begins in one leaf and ends in the next does not count. What is asked of a leaf is gathered
+    to it in small rows; its text is normalised once and tested where it lies. Only flags leave that row, one for the leaf and
+    one for each element, and they are counted together before they are shuffled."""
     req = requirements.withColumn("candidates", tx.coverage_candidates(F.col("title"), F.col("keyword"))).withColumn("asked", tx.split_mandatory_elements(F.col("elements")))
-    pairs = bindings(leaves).join(leaves.select(F.col("id").alias("leaf_id"), "content"), "leaf_id")
-    pairs = pairs.join(req.select(F.col("id").alias("requirement_id"), "candidates", "asked"), "requirement_id")
-    content = F.coalesce("content", F.lit(""))
-    bound = pairs.select("requirement_id", (tx.strip(content) != "").alias("has_content"), (F.size(tx.matched_candidates(content, F.col("candidates"))) > 0).alias("matched"))
-    bound = bound.groupBy("requirement_id").agg(
-        F.count("*").alias("n_bound"), F.count_if("matched").alias("n_matched"), F.bool_or("has_content").alias("written"), F.bool_or(F.col("has_content") & F.col("matched")).alias("answered")
+    elements = F.transform(F.array_distinct("asked"), lambda e: F.struct(e.alias("e"), tx.normalize_for_match(e).alias("p")))
+    small = req.select(F.col("id").alias("requirement_id"), tx.candidate_forms(F.col("candidates")).alias("forms"), elements.alias("es"))
+    asked = bindings(leaves).join(small, "requirement_id").groupBy("leaf_id").agg(F.collect_list(F.struct("requirement_id", "forms", "es")).alias("rs"))
+    texts = leaves.select(F.col("id").alias("leaf_id"), F.coalesce("content", F.lit("")).alias("text"))
+    texts = texts.select("leaf_id", "text", tx.normalize_for_match(F.col("text")).alias("t"), (tx.strip(F.col("text")) != "").alias("written"))
+    text, normal, no = F.col("text"), F.col("t"), F.lit(False)
+
+    def flags(r: Column) -> Column:
+        one = F.struct(F.lit(None).cast("string").alias("e"), F.exists(r["forms"], lambda n: F.contains(normal, n)).alias("matched"), no.alias("plain"), no.alias("noun"), no.alias("verb"))
+        each = F.transform(r["es"], lambda x: tx.let(tx.covered_parts(text, x["e"], normal, x["p"]), lambda c: F.struct(x["e"].alias("e"), no.alias("matched"), c["plain"].alias("plain"), c["noun"].alias("noun"), c["verb"].alias("verb"))))
+        return F.transform(F.array_append(each, one), lambda f: F.struct(r["requirement_id"].alias("requirement_id"), f.alias("f")))
+
+    rows = texts.join(asked, "leaf_id").select("written", F.explode(F.flatten(F.transform("rs", flags))).alias("x")).select("written", "x.requirement_id", "x.f.*")
+    any_ = lambda x, name: F.bool_or(x).alias(name)
+    rows = rows.groupBy("requirement_id", "e").agg(
+        F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), any_("written", "written"), any_(F.col("written") & F.col("matched"), "answered"), any_("plain", "plain"), any_("noun", "noun"), any_("verb", "verb")
     )
-    part = pairs.select("requirement_id", "content", F.explode(F.array_distinct("asked")).alias("e")).withColumn("p", tx.phrase_parts(content, F.col("e")))
-    part = part.groupBy("requirement_id", "e").agg(F.bool_or("p.plain").alias("plain"), F.bool_or("p.noun").alias("noun"), F.bool_or("p.verb").alias("verb"))
-    met = part.where("plain OR (noun AND verb)").groupBy("requirement_id").agg(F.collect_set("e").alias("met"))
-    out = req.join(bound.join(met, "requirement_id", "left").withColumnRenamed("requirement_id", "id"), "id", "left")
+    leaf, met = F.col("e").isNull(), F.col("plain") | (F.col("noun") & F.col("verb"))
+    bound = rows.groupBy(F.col("requirement_id").alias("id")).agg(
+        F.max(F.when(leaf, F.col("n"))).alias("n_bound"), F.max(F.when(leaf, F.col("n_matched"))).alias("n_matched"), any_(leaf & F.col("written"), "written"), any_(leaf & F.col("answered"), "answered"), F.collect_set(F.when(met, F.col("e"))).alias("met")
+    )
+    out = req.join(bound, "id", "left")
     none = F.array().cast("array<string>")
     out = out.withColumn("missing", F.filter("asked", lambda e: ~F.array_contains(F.coalesce("met", none), e)))
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
