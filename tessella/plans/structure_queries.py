@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogs, layout, locate, outlines, sections, segments
+from ..operators import catalogs, context, layout, locate, outlines, sections, segments
 from .inputs import cte, given, table
 
 QUERIES, SQL = {}, {}
@@ -285,3 +285,114 @@ def branch_ids(spark, sf_dir):
     o = F.concat(F.lit("O"), c("o_orderkey").cast("string"))
     below = below.select(F.concat(F.lit("N"), c("c_nationkey").cast("string")), F.lit("root"), o, F.concat(F.lit("C"), c("c_custkey").cast("string")), F.lit(3), c("o_orderkey").cast("long"), o)
     return outlines.branch_ids(top.union(below)).select("branch_id", "node", "id", "parent_id", "old_id")
+
+
+# --- contexts --------------------------------------------------------------------------------------------------------
+# outlines: regions as projects; customers are leaves with two parts as requirements, a summary and a body
+_LEAVES = """leaf AS (SELECT 'R' || CAST(n_regionkey AS STRING) AS project_id, 'C' || CAST(c_custkey AS STRING) AS id, 'N' || CAST(c_nationkey AS STRING) AS parent_id, CAST(c_custkey % 7 AS INT) AS sort_order, CASE WHEN c_custkey % 10 = 3 THEN '工程概况' ELSE c_name END AS title,
+  CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'S' || CAST(c_custkey AS STRING) END AS last_summary, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '短' ELSE repeat(c_name || '。', CAST(5 + c_custkey % 130 AS INT)) END AS content,
+  CASE WHEN c_custkey % 5 < 4 THEN '["' || CAST(c_custkey % 150 + 1 AS STRING) || '","' || CAST(c_custkey % 90 + 3 AS STRING) || '","none"]' END AS requirement_ids,
+  CASE WHEN c_custkey % 2 = 0 THEN '{"brief":"b' || CAST(c_custkey AS STRING) || '","target_words":' || CAST(c_custkey % 3000 AS STRING) || CASE WHEN c_custkey % 6 = 0 THEN ',"content_boundary":"own"' ELSE '' END || '}' END AS writing_guidance, c_custkey, n_nationkey
+  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey)"""
+_REQUIREMENT = "req AS (SELECT CAST(p_partkey AS STRING) AS id, p_name AS title, p_brand AS keyword, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS elements, CAST(p_size % 9 AS DOUBLE) AS score, 0 AS is_risk, CAST(NULL AS STRING) AS category, CAST(NULL AS STRING) AS evidence, CAST(NULL AS STRING) AS hint, p_name || ' source' AS source FROM {part})"
+_FACT = "fact AS (SELECT 'R' || CAST(n_regionkey AS STRING) AS project_id, n_name AS title, CASE WHEN n_nationkey % 4 = 0 THEN ' ' ELSE 'fact ' || n_name END AS content, CAST(25 - n_nationkey AS INT) AS sort_order FROM {nation})"
+
+
+def _contexts(spark, sf_dir):
+    used = {t: table(spark, sf_dir, t) for t in ("customer", "nation", "region", "part")}
+
+    def made(sql: str, name: str):
+        tables = {t: df for t, df in used.items() if f"{{{t}}}" in sql}
+        sql = sql.replace("{", "{{").replace("}", "}}")
+        for t in tables:
+            sql = sql.replace(f"{{{{{t}}}}}", f"{{{t}}}")
+        return spark.sql(f"WITH {sql} SELECT * FROM {name}", **tables)
+
+    leaf = made(_LEAVES, "leaf").drop("c_custkey", "n_nationkey").withColumn("is_leaf", F.lit(1))
+    above = spark.sql("""SELECT 'R' || CAST(r_regionkey AS STRING) AS project_id, 'R' || CAST(r_regionkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_id, CAST(r_regionkey AS INT) AS sort_order, r_name AS title FROM {region}
+        UNION ALL SELECT 'R' || CAST(n_regionkey AS STRING), 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), CAST(n_nationkey % 3 AS INT), n_name FROM {nation}""", region=used["region"], nation=used["nation"])
+    nodes = leaf.unionByName(above.withColumn("is_leaf", F.lit(0)), allowMissingColumns=True)
+    return context.bundles(nodes, made(_REQUIREMENT, "req"), made(_FACT, "fact"))
+
+
+_BARE = {"{customer}": "customer", "{nation}": "nation", "{part}": "part", "{region}": "region"}
+
+
+def _bare(sql: str) -> str:
+    for name, bare in _BARE.items():
+        sql = sql.replace(name, bare)
+    return sql
+
+
+_TOLD = _bare(f"""{_LEAVES}, {_REQUIREMENT}, {_FACT}, o AS (SELECT leaf.*, n_name, r_name, trim(coalesce(content, '')) AS body, trim(coalesce(last_summary, '')) AS said, row_number() OVER (PARTITION BY project_id ORDER BY n_nationkey % 3, parent_id, sort_order, id) AS place,
+  row_number() OVER (PARTITION BY project_id, parent_id ORDER BY sort_order, id) AS nth FROM leaf JOIN nation USING (n_nationkey) JOIN region ON n_regionkey = r_regionkey),
+said AS (SELECT o.id, list('「' || p.title || '」' || p.said ORDER BY p.place DESC)[1:5] AS xs FROM o JOIN o AS p ON p.project_id = o.project_id AND p.place < o.place AND p.said <> '' GROUP BY o.id),
+bodies AS (SELECT o.id, list(substring(p.body, 1, 2500) ORDER BY p.place DESC)[1:3] AS xs FROM o JOIN o AS p ON p.project_id = o.project_id AND p.place < o.place AND length(p.body) >= 120 GROUP BY o.id),
+sib AS (SELECT o.id, list(p.title ORDER BY p.place) AS xs FROM o JOIN o AS p ON p.parent_id = o.parent_id AND p.id <> o.id GROUP BY o.id),
+asks AS (SELECT id, unnest(CASE WHEN c_custkey % 5 < 4 THEN list_distinct([CAST(c_custkey % 150 + 1 AS STRING), CAST(c_custkey % 90 + 3 AS STRING)]) ELSE [] END) AS rid FROM leaf),
+rs AS (SELECT a.id, list(r.title ORDER BY r.id) AS titles, list(r.keyword || CASE WHEN r.elements = '' THEN '' ELSE ' ' || r.elements END || ' ' || substring(r.source, 1, 400) ORDER BY r.id) AS words, sum(score) AS score,
+  list('【' || r.title || '】' || CASE WHEN score > 0 THEN chr(10) || '- 分值：' || CAST(CAST(score AS INT) AS STRING) || ' 分' ELSE '' END || CASE WHEN score >= 8 THEN chr(10) || '- 篇幅要求：高分项，须写足工艺步骤、控制参数与可验证措施，避免空泛口号' ELSE '' END || chr(10) || '- 评分关键词：' || keyword
+    || CASE WHEN elements <> '' THEN chr(10) || '- 必备要素（须在本章逐条体现）：' || elements ELSE '' END || chr(10) || '- 评分细则：' || chr(10) || source ORDER BY r.id) AS blocks FROM asks a JOIN req r ON r.id = a.rid GROUP BY a.id),
+fs AS (SELECT project_id, string_agg('【' || title || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY sort_order) AS t FROM fact WHERE trim(content) <> '' GROUP BY 1)""")
+
+
+@query("l16_neighbours", f"""WITH {_TOLD} SELECT o.id, o.place, o.r_name || ' > ' || o.n_name || ' > ' || o.title AS chapter_path, b.last_summary, array_to_string(list_reverse(coalesce(said.xs, [])), '|') AS prior_summaries, md5(array_to_string(list_reverse(coalesce(bodies.xs, [])), '|')) AS prior_contents,
+  p.title AS prior_title, md5(CASE WHEN p.body <> '' THEN CASE WHEN length(p.body) > 1500 THEN '（…前文省略…）' || chr(10) || right(p.body, 1500) ELSE p.body END END) AS prior_body, md5(array_to_string(coalesce(sib.xs, []), '|')) AS siblings
+FROM o LEFT JOIN o AS b ON b.project_id = o.project_id AND b.place = o.place - 1 LEFT JOIN o AS p ON p.parent_id = o.parent_id AND p.nth = o.nth - 1 LEFT JOIN said ON said.id = o.id LEFT JOIN bodies ON bodies.id = o.id LEFT JOIN sib ON sib.id = o.id""")
+def neighbours(spark, sf_dir):
+    b = _contexts(spark, sf_dir)
+    return b.select("id", c("place").cast("long").alias("place"), "chapter_path", "last_summary", F.array_join("prior_summaries", "|").alias("prior_summaries"), F.md5(F.array_join("prior_contents", "|")).alias("prior_contents"), "prior_title", F.md5("prior_body").alias("prior_body"), F.md5(F.array_join("sibling_titles", "|")).alias("siblings"))
+
+
+_BUNDLED = f"""{_TOLD}, bundle AS (SELECT o.*, CASE WHEN c_custkey % 2 = 0 THEN 'b' || CAST(c_custkey AS STRING) ELSE '' END AS brief, CASE WHEN c_custkey % 6 = 0 THEN 'own' ELSE '' END AS own, coalesce(blocks, []) AS blocks, coalesce(titles, []) AS titles, coalesce(words, []) AS words, coalesce(score, 0) AS score,
+  CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3000 ELSE 0 END AS target, coalesce(fs.t, '') AS facts, coalesce(sib.xs, []) AS siblings FROM o LEFT JOIN rs ON rs.id = o.id LEFT JOIN sib ON sib.id = o.id LEFT JOIN fs ON fs.project_id = o.project_id)"""
+
+
+@query("l16_context_bundles", f"""WITH {_BUNDLED} SELECT id, brief, md5(CASE WHEN own <> '' THEN own WHEN title = '工程概况' THEN '仅撰写「工程概况」的客观描述（规模、地点、设备、环境、工程特点等），可描述重难点现象但不写对策；不写施工方案、组织、措施或进度计划；不输出章节标题行。' ELSE '仅撰写「' || title || '」对应正文，不输出章节标题行，不重复上一章摘要。' || CASE WHEN len(siblings) > 0 THEN '不得涉及兄弟章节：' || array_to_string(siblings, '、') || '。' ELSE '' END END) AS content_boundary,
+  md5(CASE WHEN len(blocks) = 0 THEN '（本章未绑定评分项）' ELSE array_to_string(blocks, chr(10) || chr(10)) END) AS requirements_text, trim(array_to_string(list_filter([title, array_to_string(titles, ' '), brief, own, array_to_string(words, ' ')], lambda x: x <> ''), ' ')) AS query,
+  CASE WHEN title = '工程概况' THEN 'light' WHEN score >= 5 OR target >= 1800 THEN 'deep' ELSE 'standard' END AS mode, md5(facts) AS facts FROM bundle""")
+def context_bundles(spark, sf_dir):
+    b = _contexts(spark, sf_dir)
+    return b.select("id", "brief", F.md5("content_boundary").alias("content_boundary"), F.md5("requirements_text").alias("requirements_text"), "query", c("route.mode").alias("mode"), F.md5("facts_text").alias("facts"))
+
+
+# what was retrieved for a chapter: a few orders; of the second search more of them, some known already
+_FOUND = "SELECT 'C' || CAST(o_custkey AS STRING) AS id, o_orderkey AS rank, o_orderpriority || CAST(o_orderkey % 4 AS STRING) AS text, o_orderkey % 2 AS second FROM orders WHERE o_custkey % 3 > 0 AND o_orderkey % 5 > 0"
+
+
+@query("l14_second_search", f"""WITH f AS ({_FOUND}), a AS (SELECT id, list(text ORDER BY rank, text) AS xs FROM f WHERE second = 0 GROUP BY id), u AS (SELECT id, text, min(rank) AS rank FROM f WHERE second = 1 GROUP BY ALL), b AS (SELECT id, list(text ORDER BY rank, text) AS xs FROM u GROUP BY id),
+m AS (SELECT 'C' || CAST(c_custkey AS STRING) AS id, coalesce(a.xs, []) AS first, b.xs AS more FROM customer LEFT JOIN a ON a.id = 'C' || CAST(c_custkey AS STRING) LEFT JOIN b ON b.id = 'C' || CAST(c_custkey AS STRING)),
+r AS (SELECT id, first, more, CASE WHEN more IS NULL THEN first ELSE list_concat(first, list_filter(more, lambda x: NOT list_contains(first, x)))[1:8] END AS xs FROM m)
+SELECT id, md5(array_to_string(xs, chr(10) || chr(10) || '---' || chr(10) || chr(10))) AS digest, CAST(len(xs) AS INT) AS hit_count, CASE WHEN len(xs) = 0 THEN 'no_match' END AS empty_reason FROM r""")
+def second_search(spark, sf_dir):
+    found = spark.sql(_FOUND.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    bundles_ = _contexts(spark, sf_dir).select("id", "query")
+    first = context.with_material(bundles_, found.where("second = 0"), bundles_.select("id", F.lit("no_match").alias("reason")))
+    return context.with_more(first, found.where("second = 1")).select("id", F.md5("retrieval_text").alias("digest"), "hit_count", "empty_reason")
+
+
+# plans: points and methods of a section from its part, target and own words
+_PLAN = """plan AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN '质量目标' ELSE '施工方案' END AS title, p_size * 100 AS target, CASE WHEN p_size % 9 > 0 THEN p_size * 100 + (p_size % 5) * 250 END AS words, p_size % 6 = 0 AS told, p_size % 9 = 0 AS bare, p_size % 3 AS k, p_size % 2 AS m, p_size % 7 AS e, p_name, p_type, p_brand FROM part)"""
+
+
+@query("q38_plan_issues", f"""WITH {_PLAN}, i AS (SELECT id, bare, CASE WHEN k = 0 THEN '写作规划 key_points 少于 2 条' END AS a, CASE WHEN title = '施工方案' AND m = 0 THEN '施工/方案类章节规划缺少 technical_methods' END AS b, CASE WHEN told AND k = 0 THEN '存在上一章摘要但规划 avoid 为空，易导致跨章重复' END AS c,
+  CASE WHEN abs(words - target) / CAST(target AS DOUBLE) > 0.35 THEN '规划字数 ' || CAST(words AS STRING) || ' 与目标 ' || CAST(target AS STRING) || ' 偏差过大' END AS d, CASE WHEN k > 0 AND e = 1 THEN '规划 key_points 未体现必备要素：消防演练' WHEN k = 0 AND e = 1 THEN '规划 key_points 未体现必备要素：消防演练' END AS e FROM plan)
+SELECT id, CASE WHEN bare THEN '写作规划为空' ELSE concat_ws('|', a, b, c, d, e) END AS issues FROM i""")
+def plan_issues(spark, sf_dir):
+    plan = spark.sql(f"WITH {_PLAN.replace('FROM part', 'FROM {part}')} SELECT * FROM plan", part=table(spark, sf_dir, "part"))
+    full = lambda xs: F.when(~c("bare"), xs)
+    points = full(F.when(c("k") == 0, F.array("p_name", F.lit(" "))).otherwise(F.array("p_name", "p_type")))
+    methods, avoid = full(F.when(c("m") == 1, F.array("p_type")).otherwise(F.array(F.lit("")))), full(F.when(c("k") > 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")))
+    elements = F.when(c("e") == 1, F.array(c("p_name"), F.lit("消防演练"), F.lit("消防演练"))).otherwise(F.array("p_name"))
+    return plan.select("id", F.array_join(context.plan_issues(c("title"), c("target"), F.when(c("told"), "s"), points, methods, avoid, full(c("words")), elements), "|").alias("issues"))
+
+
+@query("q39_fallback_plans", f"""WITH {_PLAN}, f AS (SELECT id, title, target, told, list_concat(CASE WHEN m = 1 THEN ['b ' || p_type] ELSE [] END, CASE k WHEN 0 THEN [] WHEN 1 THEN ['第一条要求'] ELSE ['第一条要求', '第二条要求', '第三条要求', '第四条要求', '第五条要求', '第六条要求'] END)[1:6] AS ps FROM plan),
+g AS (SELECT *, CASE WHEN len(ps) < 2 THEN [title || '总体要求', title || '关键措施与控制要点', title || '验收与保障'] ELSE ps END AS points FROM f)
+SELECT id, array_to_string(points, '|') AS key_points, CASE title WHEN '质量目标' THEN '' ELSE title || '主要工艺' END AS methods, CAST(target AS INT) AS words, CASE WHEN told THEN '勿重复上一章已写工艺与参数|勿展开前序章节已覆盖的同类措施' ELSE '' END AS avoid, array_to_string(points[1:4], '|') AS focus FROM g""")
+def fallback_plans(spark, sf_dir):
+    plan = spark.sql(f"WITH {_PLAN.replace('FROM part', 'FROM {part}')} SELECT * FROM plan", part=table(spark, sf_dir, "part"))
+    text = F.when(c("k") == 0, "http://x.example/abc\n短\n" + "长" * 41).when(c("k") == 1, "【第一条要求】\n ").otherwise("第一条要求\n【第二条要求】\n第三条要求\n第四条要求\n第五条要求\n第六条要求\n第七条要求")
+    priors = F.when(c("told"), F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))
+    p = context.fallback_plan(c("title"), F.when(c("m") == 1, F.concat(F.lit(" b "), c("p_type"))), text, c("target"), F.when(c("told"), "s"), priors)
+    return plan.select("id", p.alias("p")).select("id", F.array_join("p.key_points", "|").alias("key_points"), F.array_join("p.technical_methods", "|").alias("methods"), c("p.word_count_target").alias("words"), F.array_join("p.avoid", "|").alias("avoid"), F.array_join("p.retrieval_focus", "|").alias("focus"))
