@@ -11,9 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
+
 
 def fuzzy_distinct(rows: DataFrame, group: str, threshold: float = 0.9) -> DataFrame:
     """rows (group, pos, title) without those whose title resembles an earlier kept one, in order."""
@@ -53,6 +56,18 @@ def packed(items: DataFrame, group: str, most: int = 18_000) -> DataFrame:
     return lengths.repartition(group).sortWithinPartitions(group, "pos").mapInArrow(fill, schema)
 
 
+def extraction_chunks(items: DataFrame, group: str, pages: int = 15, most: int = 18_000) -> DataFrame:
+    """(group, pos, part, chunk) of items (group, page, pos, text): by steps of pages, and each step filled as packed() does; a
+    group whose items all lie on one page is filled as a whole. Parts count the steps that hold items from 0 on, chunks those
+    within a part. (F17)"""
+    single = F.min("page").over(W.partitionBy(group)) == F.max("page").over(W.partitionBy(group))
+    step = F.when(single, 0).otherwise(F.floor((F.col("page") - 1) / pages).cast("int"))
+    marked = items.select(F.col(group), "pos", step.alias("step"), tx.strip(F.coalesce("text", F.lit(""))).alias("text"))
+    keyed = marked.withColumn("part", F.dense_rank().over(W.partitionBy(group).orderBy("step")) - 1)
+    chunks = packed(keyed.select(F.struct(group, "part").alias("of"), "pos", "text"), "of", most)
+    return chunks.select(F.col(f"of.{group}").alias(group), "pos", "of.part", "chunk")
+
+
 def line_diff(pairs: DataFrame) -> DataFrame:
     """(id, diff, added, removed) of pairs (id, old, new): a unified diff by lines and its counts."""
 
