@@ -408,4 +408,4 @@ def windows(x: Column, n: int) -> Column:
     """All runs of n characters of a text, one from each place, in time in proportion to it. A match takes one character, so none
     begins within one."""
     part = lambda group: F.regexp_extract_all(x, F.lit(f"(?s)(.)(?=(.{{{n - 1}}}))"), F.lit(group))
-    return F.zip_with(part(1), part(2), F.concat)
+    return F.zip_with(part(1), part(2), lambda a, b: F.concat(a, b))
