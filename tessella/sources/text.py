@@ -46,11 +46,12 @@ def chunks(files: DataFrame, delimiter: str = r"\n\s*\n", least: int = LEAST_PAR
 
 
 def uploaded_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV or TSV file with all columns as strings, null as empty, a byte order mark taken off the first name."""
+    """A CSV or TSV file with all columns as strings, null as empty, a byte order mark taken off the first name; a
+    quote within quotes is doubled. (A13)"""
     suffix = path.lower().rsplit(".", 1)[-1]
     if suffix not in ("csv", "tsv"):
         raise ValueError(f"no table format: {suffix}")
-    found = spark.read.csv(path, header=True, inferSchema=False, sep="\t" if suffix == "tsv" else ",")
+    found = spark.read.csv(path, header=True, inferSchema=False, escape='"', sep="\t" if suffix == "tsv" else ",")
     return found.toDF(*(c.removeprefix("﻿").strip() for c in found.columns)).na.fill("")
 
 
