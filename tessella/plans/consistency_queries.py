@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import consistency, ordered
+from ..operators import consistency, notices, ordered, rules
 from . import relational_queries as relational
+from . import rule_queries
 from .inputs import given, table
 
 QUERIES, SQL = {}, {}
@@ -96,3 +97,66 @@ SELECT doc, pos, CAST(part AS INT) AS part, CAST(chunk AS INT) AS chunk FROM w""
 def extraction_chunks(spark, sf_dir):
     items = spark.sql(f"WITH {_PAGED.replace('FROM lineitem', 'FROM {items}')} SELECT * FROM i", items=table(spark, sf_dir, "lineitem"))
     return ordered.extraction_chunks(items, "doc")
+
+
+# --- notices -----------------------------------------------------------------------------------------------------------
+# projects: customers; their notices say other values for some fields, some of which were confirmed by hand
+_NOTICES = """n AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'L' || CAST(c_nationkey AS STRING) END AS location, CASE WHEN c_custkey % 3 = 0 THEN 30 END AS duration_days, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 1000.5 END AS budget, CASE WHEN c_custkey % 5 = 0 THEN 50 END AS pages,
+  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'new ' || c_name END AS n_name, 'M' || CAST(c_custkey AS STRING) AS n_location, CASE c_custkey % 3 WHEN 0 THEN '约定' WHEN 1 THEN '工期' || CAST(c_custkey % 400 AS STRING) || '个日历天' END AS n_duration,
+  CASE c_custkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN CAST(c_custkey * 10 AS STRING) END AS n_budget, CASE c_custkey % 4 WHEN 1 THEN '5' WHEN 2 THEN '99' WHEN 3 THEN '9999' END AS n_pages, c_custkey % 6 = 0 AS kept FROM customer)"""
+
+
+def _tendered(spark, sf_dir):
+    n = spark.sql(f"WITH {_NOTICES.replace('FROM customer', 'FROM {customer}')} SELECT * FROM n", customer=table(spark, sf_dir, "customer"))
+    said = {"project_name": "n_name", "location": "n_location", "duration_text": "n_duration", "budget_yuan": "n_budget", "target_pages": "n_pages"}
+    notice = F.create_map(*(x for k, v in said.items() for x in (F.lit(k), c(v))))
+    none = [F.lit(None).cast("string").alias(f) for f in ("voltage_level", "capacity", "project_type", "contract_mode", "engineering_domain", "extra_notes")]
+    confirmed = F.when(c("kept"), F.array(F.lit("name"), F.lit("duration_days"), F.lit("target_pages")))
+    return n.select("id", "name", "location", "duration_days", c("budget").cast("double").alias("budget_yuan"), c("pages").alias("target_pages"), notice.alias("notice"), confirmed.alias("confirmed"), *none)
+
+
+@query("m09_applied_notices", f"""WITH {_NOTICES} SELECT id, CASE WHEN kept OR n_name = '' THEN name ELSE n_name END AS name, n_location AS location, CASE WHEN NOT kept AND id % 3 = 1 THEN CAST(id % 400 AS INT) ELSE duration_days END AS duration_days,
+CASE WHEN id % 3 = 1 THEN CAST(id * 10 AS DOUBLE) ELSE CAST(budget AS DOUBLE) END AS budget_yuan, CASE WHEN kept THEN pages ELSE coalesce(CASE id % 4 WHEN 1 THEN 10 WHEN 2 THEN 99 WHEN 3 THEN 1200 END, pages) END AS target_pages FROM n""")
+def applied_notices(spark, sf_dir):
+    return notices.applied(_tendered(spark, sf_dir)).select("id", "name", "location", "duration_days", "budget_yuan", "target_pages")
+
+
+@query("m10_synced_notices", f"""WITH {_NOTICES} SELECT id, name AS project_name, location, '电力工程' AS bid_domain, CASE WHEN duration_days IS NOT NULL THEN CAST(duration_days AS VARCHAR) || '个日历天' ELSE n_duration END AS duration_text, coalesce(CAST(pages AS VARCHAR), n_pages) AS target_pages,
+CASE WHEN budget IS NULL THEN n_budget ELSE regexp_replace(regexp_replace(printf('%.4f', CAST(budget AS DOUBLE)), '0+$', ''), '\\.$', '') END AS budget_yuan, CASE WHEN budget IS NOT NULL THEN regexp_replace(regexp_replace(printf('%.4f', CAST(budget AS DOUBLE) / 10000), '0+$', ''), '\\.$', '') END AS budget_wan, 19 AS n FROM n""")
+def synced_notices(spark, sf_dir):
+    n = notices.synced(_tendered(spark, sf_dir))
+    return n.select("id", *(c("notice")[k].alias(k) for k in ("project_name", "location", "bid_domain", "duration_text", "target_pages", "budget_yuan", "budget_wan")), F.size("notice").alias("n"))
+
+
+@query("y28_notices", f"WITH {_NOTICES} SELECT id, n_name AS project_name, 19 AS n, CAST((n_duration IS NOT NULL) AS INT) + CAST((n_budget IS NOT NULL) AS INT) + CAST((n_pages IS NOT NULL) AS INT) + 2 AS said FROM n")
+def normal_notices(spark, sf_dir):
+    made = _tendered(spark, sf_dir).select("id", notices.notice(F.map_concat("notice", F.create_map(F.lit("other"), F.lit("x")))).alias("n"))
+    return made.select("id", c("n")["project_name"].alias("project_name"), F.size("n").alias("n"), F.size(F.filter(F.map_values("n"), lambda v: v.isNotNull())).alias("said"))
+
+
+# grounds: an order's line items as JSON objects
+_RAW = "r AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)"
+
+
+@query("k11_grounds", f"""WITH {_RAW}, g AS (SELECT id, CASE WHEN p % 4 = 0 THEN k ELSE 10 - n END AS seq, k, CASE p % 3 WHEN 0 THEN '废标项' ELSE 'l' || CAST(p AS VARCHAR) END AS label, CASE p % 5 WHEN 1 THEN 's' ELSE 'd' END || CAST(p AS VARCHAR) AS description, CASE WHEN p % 5 IN (1, 2) THEN 's' ELSE 'd' END || CAST(p AS VARCHAR) AS source FROM r WHERE p % 5 > 0)
+SELECT id, string_agg(CAST(seq AS VARCHAR) || ':' || label || ':' || description || ':' || source, '|' ORDER BY seq, k) AS grounds FROM g GROUP BY id UNION ALL SELECT id, '' FROM r GROUP BY id HAVING max(p % 5) = 0""")
+def normal_grounds(spark, sf_dir):
+    r = spark.sql(f"WITH {_RAW.replace('FROM lineitem', 'FROM {items}')} SELECT * FROM r", items=table(spark, sf_dir, "lineitem"))
+    p, key = c("p").cast("string"), c("p") % 5
+    item = F.struct(
+        F.when(c("p") % 4 == 0, F.lit("no")).otherwise((10 - c("n")).cast("string")).alias("seq"), F.when(c("p") % 3 == 1, F.concat(F.lit(" l"), p)).alias("item_label"), F.when(c("p") % 3 == 2, F.concat(F.lit("l"), p)).alias("category"),
+        F.when(key.isin(2, 3, 4), F.concat(F.lit(" d"), p, F.lit(" "))).alias("description"), F.when(key.isin(1, 2), F.concat(F.lit("s"), p)).otherwise(" ").alias("source_text"),
+    )
+    raw = r.groupBy("id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("x")))), lambda y: y["x"])).alias("raw"))
+    g = notices.grounds(c("raw"))
+    return raw.select("id", F.array_join(F.transform(g, lambda x: F.concat_ws(":", x["seq"].cast("string"), x["item_label"], x["description"], x["source_text"])), "|").alias("grounds"))
+
+
+_FOUND = {"q08_truncation": "truncation", "q13_markdown_table": "markdown_table", "q15_ai_cliche": "ai_cliche"}
+_CHECKED = " UNION ALL ".join(f"SELECT id, message, '{k}' AS rule, '{rules.rules_of('chapter')[k].severity}' AS severity FROM ({rule_queries.SQL[q]}) x{n}" for n, (q, k) in enumerate(_FOUND.items()))
+
+
+@query("y30_hard_checks", f"SELECT id, coalesce(string_agg(message, '|' ORDER BY rule, message) FILTER (severity = 'block'), '') AS errors, coalesce(string_agg(message, '|' ORDER BY rule, message) FILTER (severity <> 'block'), '') AS notes FROM ({_CHECKED}) f GROUP BY id")
+def hard_checks(spark, sf_dir):
+    found = notices.hard_checks(given(spark, sf_dir, "chapter"), "chapter", tuple(_FOUND.values()))
+    return found.select("id", F.array_join("errors", "|").alias("errors"), F.array_join("notes", "|").alias("notes"))

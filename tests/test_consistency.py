@@ -111,3 +111,33 @@ def test_windows(spark):
     texts = ["", "a", "abc", "abcd", "é中😀b\nc", "ab" * 2000]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.windows(F.col("t"), 3).alias("w")).collect()
     assert all(r["w"] == [r["t"][k : k + 3] for k in range(len(r["t"]) - 2)] for r in got)
+
+
+def test_notices(spark):
+    from tessella.operators import notices
+
+    fields = "id long, name string, voltage_level string, capacity string, location string, project_type string, contract_mode string, engineering_domain string, extra_notes string, duration_days int, budget_yuan double, target_pages int, notice map<string,string>, confirmed array<string>"
+    said = {"project_name": "N", "capacity": "", "duration_text": "约90天", "budget_yuan": "x", "target_pages": "7", "bid_domain": None, "tenderer": "T"}
+    rows = [(1, "old", "v", "c", None, None, None, None, "notes", None, 1234500.0, None, said, None), (2, "old", None, None, None, None, None, "d", None, 60, None, 80, said, ["name", "duration_days", "target_pages"]), (3, None, *[None] * 12)]
+    df = spark.createDataFrame(rows, fields)
+    got = {r["id"]: r for r in notices.applied(df).collect()}
+    assert (got[1]["name"], got[1]["capacity"], got[1]["duration_days"], got[1]["budget_yuan"], got[1]["target_pages"]) == ("N", "c", 90, 1234500.0, 10)
+    assert (got[2]["name"], got[2]["duration_days"], got[2]["target_pages"]) == ("old", 60, 80) and got[3]["name"] is None
+    forced = {r["id"]: r for r in notices.applied(df, force=True).collect()}
+    assert (forced[2]["name"], forced[2]["duration_days"], forced[2]["target_pages"]) == ("N", 90, 10)
+    back = {r["id"]: r["notice"] for r in notices.synced(df).collect()}
+    assert set(back[1]) == set(notices.KEYS) and (back[1]["project_name"], back[1]["duration_text"], back[1]["budget_yuan"], back[1]["budget_wan"], back[1]["overview"], back[1]["tenderer"]) == ("old", "约90天", "1234500", "123.45", "notes", "T")
+    assert (back[2]["bid_domain"], back[2]["duration_text"], back[2]["target_pages"], back[1]["bid_domain"]) == ("d", "60个日历天", "80", notices.DOMAIN) and back[3]["project_name"] is None
+    raw = ['[{"seq":"3","description":" a "},{"source_text":"b","category":"k"},{"seq":2,"item_label":"l","description":"c","source_text":"d","source_page":"9"},{"seq":1},null]', "{}", None, "broken"]
+    found = [r["g"] for r in spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "k int, raw string").orderBy("k").select(notices.grounds(F.col("raw")).alias("g")).collect()]
+    assert [tuple(g) for g in found[0]] == [(2, "k", "b", "b", None), (2, "l", "c", "d", 9), (3, "废标项", "a", "a", None)] and found[1:] == [[], [], []]
+
+
+def test_hard_checks(spark):
+    from tessella.operators import notices
+
+    df = spark.createDataFrame([(1, "XXX公司负责，一律采用<甲方名称>，"), (2, "完整。"), (3, None)], "id long, content string")
+    for scope in ("chapter", "segment"):
+        got = {r["id"]: (r["errors"], r["notes"]) for r in notices.hard_checks(df, scope).collect()}
+        blocked = [e for e, _ in got.values() if e]
+        assert blocked and all(not n or scope == "chapter" for e, n in got.values() if e) and 2 not in {i for i, (e, _) in got.items() if e}
