@@ -31,3 +31,10 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = new_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, name: str = "tables") -> bool:
+    """Deletes the tables that jobs of this library left in the folder (`tessella`: those of the corpus operators), whether there
+    were any. For the end of an application: whatever still reads one of them fails."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{name}")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -283,3 +283,12 @@ def test_long_chains_take_few_rounds(spark):
     nodes = spark.createDataFrame([("1", "top", f"x{k}", f"x{k - 1}", k + 1, 0) for k in range(300)], "branch_id string, branch_parent string, id string, parent_id string, level int, sort_order int")
     found = {r["old_id"]: r["id"] for r in outlines.branch_ids(nodes).collect()}
     assert found == {f"x{k}": "1" + ".1" * (k + 1) for k in range(300)}
+
+
+def test_stored_tables_are_cleared(spark, tmp_path):
+    from tessella.operators import stored
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    kept = stored.stored(spark.range(3).withColumn("k", F.col("id") % 2), "t", "k")
+    assert sorted(r["id"] for r in kept.where("k = 0").collect()) == [0, 2] and list(tmp_path.rglob("tables/*"))
+    assert stored.clear(spark) and not list(tmp_path.rglob("tables")) and not stored.clear(spark)
