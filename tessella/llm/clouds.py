@@ -14,8 +14,9 @@ every list holds half of its group at most. Short lists give candidate pairs, lo
 Groups and lists whose members are all connected already are left alone.
 
 One group may hold most rows. What is known of a group is counted where its rows lie, before it is shuffled, and joined
-back by `join_groups`, which sends it to all executors or deals large groups out by member; no stage takes rows by group
-alone.
+back by `join_groups`, which sends it to all executors or deals large groups out by member. Two joins go by a key that may be
+hot without that, an element of a group with its count here, and the hub of a star in `connected`; both are plain
+sort-merge joins, whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
