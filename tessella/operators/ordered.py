@@ -119,7 +119,8 @@ def charts_of(text: str) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, kind, json, valid) of the chart placeholders `[KIND_DATA:{...}]` of a text."""
     out, at = [], 0
     while (at := text.find("_DATA:", at)) >= 0:
-        kind = next((k for k in KINDS if text[:at].upper().endswith(f"[{k}")), None)
+        before = text[max(0, at - 9) : at].upper()  # as long as the longest kind and its bracket
+        kind = next((k for k in KINDS if before.endswith(f"[{k}")), None)
         start, body = at - len(kind or "") - 1, at + len("_DATA:")
         while body < len(text) and text[body].isspace():
             body += 1
