@@ -15,6 +15,8 @@ from .stored import stored
 
 #: Words of a part of a leaf without a budget of its own; words that a part has at least; fewest and most parts of a split.
 TARGET, FLOOR, LEAST, MOST = 800, 400, 3, 4
+#: Words from which a leaf is long, and the level below which none is split.
+LONG, DEEPEST = 1500, 4
 
 
 def reordered(nodes: DataFrame) -> DataFrame:
@@ -238,3 +240,29 @@ def branch_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     parent = F.when(F.coalesce("_new", "_id") == F.col("branch_id"), F.col("branch_parent")).when(F.col("mapped").isNotNull(), F.col("mapped")).when(stays, F.col("_pid")).otherwise(F.col("branch_id"))
     new = {"id": F.coalesce("_new", "_id"), "parent_id": parent}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in nodes.columns), F.when(F.col("_new").isNotNull(), F.coalesce("_id", F.lit(""))).alias("old_id"))
+
+
+# --- long leaves -----------------------------------------------------------------------------------------------------
+def split_refusal(is_leaf: Column, level: Column, words: Column, title: Column, threshold: int = LONG, deepest: int = DEEPEST) -> Column:
+    """Why a node is not split, or null if it may be: it is no leaf, as deep as can be, short, or of a kind that is told in one
+    piece. (C15, C16, Y45)"""
+    level, words = F.coalesce(F.nullif(level, F.lit(0)), F.lit(1)), F.coalesce(words, F.lit(0))
+    short = F.concat(F.lit("目标字数 "), words.cast("string"), F.lit(f" 低于阈值 {threshold}"))
+    return (
+        F.when(F.coalesce(is_leaf, F.lit(0)) != 1, "非叶子节点").when(level >= deepest, f"已达最大层级 {deepest}，无法再拆").when(words < threshold, short)
+        .when(ch.is_descriptive(title), "概况/目标类章节不参与结构拆分")
+    )
+
+
+def split_long_leaves(nodes: DataFrame, children: DataFrame, threshold: int = LONG, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    """(nodes split, skipped): split_leaves() of the leaves of nodes (also level) that may be split and whose proposed parts (children
+    as of valid_children()) have no issues; and (id, title, reason) of the other nodes that have proposals, and of ids that are no
+    node. Of several issues the first two are the reason. (M22)"""
+    n = stored(nodes, "long-leaves")
+    refusal = split_refusal(F.col("is_leaf"), F.col("level"), F.col("target_words"), F.col("title"), threshold, deepest)
+    judged = valid_children(children).join(n.select(F.col("id").alias("leaf_id"), "title", F.lit(True).alias("known"), refusal.alias("refusal")), "leaf_id", "left")
+    issues = F.when(F.size("issues") > 0, F.array_join(F.slice("issues", 1, 2), "；"))
+    reason = F.when(F.col("known").isNull(), "节点不存在").otherwise(F.coalesce("refusal", issues))
+    judged = stored(judged.select(F.col("leaf_id"), "title", reason.alias("reason")), "judged")
+    fine = children.join(judged.where("reason IS NULL").select("leaf_id"), "leaf_id", "left_semi")
+    return split_leaves(n, fine), judged.where("reason IS NOT NULL").select(F.col("leaf_id").alias("id"), "title", "reason")

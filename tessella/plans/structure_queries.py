@@ -396,3 +396,46 @@ def fallback_plans(spark, sf_dir):
     priors = F.when(c("told"), F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))
     p = context.fallback_plan(c("title"), F.when(c("m") == 1, F.concat(F.lit(" b "), c("p_type"))), text, c("target"), F.when(c("told"), "s"), priors)
     return plan.select("id", p.alias("p")).select("id", F.array_join("p.key_points", "|").alias("key_points"), F.array_join("p.technical_methods", "|").alias("methods"), c("p.word_count_target").alias("words"), F.array_join("p.avoid", "|").alias("avoid"), F.array_join("p.retrieval_focus", "|").alias("focus"))
+
+
+# --- long leaves -----------------------------------------------------------------------------------------------------
+# leaves: customers, words by their place; parts: their orders, some without title or brief, some of no node
+_LONG = """leaf AS (SELECT 'C' || CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 10 = 3 THEN '工程概况' ELSE c_name END AS title, CAST(c_custkey % 7 * 700 AS INT) AS words, CASE WHEN c_custkey % 9 = 0 THEN 4 ELSE 3 END AS level FROM customer),
+part AS (SELECT CASE WHEN o_custkey % 17 = 0 THEN 'X' ELSE 'C' END || CAST(o_custkey AS STRING) AS leaf_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CASE WHEN o_orderkey % 37 = 0 THEN ' ' ELSE o_orderpriority || CAST(o_orderkey AS STRING) END AS title, CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'b' END AS brief FROM orders WHERE o_orderstatus <> 'P'),
+few AS (SELECT * FROM part WHERE k <= 5)"""
+
+
+def _long(spark, sf_dir):
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "orders")}
+    made = lambda name: spark.sql(f"WITH {_LONG.replace('FROM customer', 'FROM {customer}').replace('FROM orders', 'FROM {orders}')} SELECT * FROM {name}", **tables)
+    leaf = made("leaf").select("id", F.lit("top").alias("parent_id"), F.lit(1).alias("sort_order"), "title", F.lit(1).alias("is_leaf"), c("words").alias("target_words"), "level")
+    top = spark.sql("SELECT 'top', CAST(NULL AS STRING), 1, 'all', 0, CAST(NULL AS INT), 1")  # one row
+    return leaf.union(top), made("few").select("leaf_id", c("k").alias("pos"), "title", "brief")
+
+
+_REFUSAL = "CASE WHEN level >= 4 THEN '已达最大层级 4，无法再拆' WHEN words < 1500 THEN '目标字数 ' || CAST(words AS VARCHAR) || ' 低于阈值 1500' WHEN title = '工程概况' THEN '概况/目标类章节不参与结构拆分' END"
+
+
+@query("y45_long_leaves", f"WITH {_LONG} SELECT id, title, words AS target_words, CAST(level AS INT) AS level FROM leaf WHERE {_REFUSAL} IS NULL")
+def long_leaves(spark, sf_dir):
+    nodes = _long(spark, sf_dir)[0]
+    refusal = outlines.split_refusal(c("is_leaf"), c("level"), c("target_words"), c("title"))
+    return nodes.where(refusal.isNull()).select("id", "title", "target_words", "level")
+
+
+_JUDGED = f"""{_LONG}, f AS (SELECT leaf_id, k, CASE WHEN trim(title) = '' THEN '第 ' || CAST(k AS VARCHAR) || ' 个子节点缺少标题' WHEN brief = '' THEN '子节点「' || title || '」缺少写作要点' END AS fault FROM few),
+i AS (SELECT leaf_id, count(*) AS n, count(*) FILTER (fault IS NULL) AS fine, list_concat(CASE WHEN count(*) < 3 THEN ['子节点数量 ' || CAST(count(*) AS VARCHAR) || ' 少于 3'] ELSE [] END, list_concat(CASE WHEN count(*) > 4 THEN ['子节点数量 ' || CAST(count(*) AS VARCHAR) || ' 超过 4'] ELSE [] END,
+  list_concat(coalesce(list(fault ORDER BY k) FILTER (fault IS NOT NULL), []), CASE WHEN count(*) FILTER (fault IS NULL) < 3 THEN ['有效子节点不足'] ELSE [] END))) AS issues FROM f GROUP BY leaf_id),
+j AS (SELECT i.leaf_id AS id, leaf.title, words, n, CASE WHEN leaf.id IS NULL THEN '节点不存在' ELSE coalesce({_REFUSAL}, CASE WHEN len(issues) > 0 THEN array_to_string(issues[1:2], '；') END) END AS reason FROM i LEFT JOIN leaf ON leaf.id = i.leaf_id)"""
+
+
+@query("m22_skipped_leaves", f"WITH {_JUDGED} SELECT id, title, reason FROM j WHERE reason IS NOT NULL")
+def skipped_leaves(spark, sf_dir):
+    return outlines.split_long_leaves(*_long(spark, sf_dir))[1]
+
+
+@query("m22_split_long_leaves", f"""WITH {_JUDGED}, s AS (SELECT id, words, n, CASE WHEN words // n >= 400 THEN n ELSE least(n, greatest(3, words // 400)) END AS parts FROM j WHERE reason IS NULL)
+SELECT leaf.id, 'top' AS parent_id, CASE WHEN s.id IS NULL THEN leaf.words END AS target_words, CAST(s.id IS NULL AS INT) AS is_leaf FROM leaf LEFT JOIN s USING (id) UNION ALL SELECT 'top', NULL, NULL, 0
+UNION ALL SELECT s.id || '.' || CAST(k AS VARCHAR), s.id, CAST(CASE WHEN words // n >= 400 THEN words // n ELSE greatest(400, words // parts) END AS INT), 1 FROM s JOIN few ON leaf_id = s.id WHERE k <= parts""")
+def split_long(spark, sf_dir):
+    return outlines.split_long_leaves(*_long(spark, sf_dir))[0].select("id", "parent_id", "target_words", "is_leaf")
