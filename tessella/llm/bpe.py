@@ -30,7 +30,8 @@ from . import common
 #: Pre-tokens of byte-level vocabularies (a fixed value of the vocabulary's format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded chunks and pre-tokens and judged pairs that a task keeps; when full, they are forgotten and found again.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 60_000, 60_000, 200_000
+#: Beside other stages of one application, tasks keep fewer and find more again.
+KEPT, SPARING = (250_000, 250_000, 1_000_000), (60_000, 60_000, 200_000)
 
 
 def _byte_of() -> dict[str, int]:
@@ -71,6 +72,7 @@ class Bpe(dict):
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.most = KEPT
         self.split = regex.compile(PRE_TOKEN).findall
         self.runs = regex.compile(r"\s*\S+|\s+").findall
         self.spaces = [c for c in map(chr, range(0x3001)) if c != " " and regex.fullmatch(r"\s", c)]
@@ -143,12 +145,9 @@ class Bpe(dict):
                 out.append(self.packed[self.special[part]])
             else:
                 out.extend(map(self.__getitem__, self._chunks(part)))
-        if len(self) > KEPT_CHUNKS:
-            self.clear()
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.pairs) > KEPT_PAIRS:
-            self.pairs.clear()
+        for kept, most in zip((self, self.words, self.pairs), self.most, strict=True):
+            if len(kept) > most:
+                kept.clear()
         return b"".join(out)
 
     def forget(self) -> None:
@@ -172,6 +171,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.most = KEPT
         for batch in batches:
             ids = [np.frombuffer(bpe.encode(x), "<u4").astype(np.int32) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -197,6 +197,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.most = SPARING
         for batch in batches:
             for part in common.slices(batch, "text"):
                 texts = part.column("text").to_pylist()
@@ -215,6 +216,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.most = KEPT
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for x in batch.column("text"):
