@@ -10,7 +10,7 @@ from ..functions import text as tx
 
 # Patterns of what a fix names.
 CODES = r"(?i)(?:GB/?T?|CJJ|JGJ|JTG|DL/?T?|NB/?T?|Q/?GDW)[A-Z0-9/\-]{2,}"
-QUOTED = r"[「『\"“](.{2,40}?)[」』\"”]"
+QUOTED = r"[「『\"“]([^\n]{2,40}?)[」』\"”]"
 
 
 def _patterns(words):
@@ -18,16 +18,18 @@ def _patterns(words):
     return F.array_distinct(F.filter(F.transform(words, tx.strip), lambda w: F.length(w) >= 2))
 
 
-def localized(parts: DataFrame, anchors: DataFrame, fixes: DataFrame) -> DataFrame:
+def localized(parts: DataFrame, anchors: DataFrame, fixes: DataFrame, codes_in_quotes: bool = True) -> DataFrame:
     """(chapter_id, ord) of the segments (chapter_id, ord, content) that a fix is about: those that hold one of the chapter's
     anchors (chapter_id, anchor); in a chapter where none does, those that hold a code or a quoted phrase of its fix
-    (chapter_id, fix). (D22)
+    (chapter_id, fix). A part of a quoted phrase that looks like a code counts as one, too, unless `codes_in_quotes` is false.
+    (D22)
 
     Each chapter has patterns of its own, so these are gathered to one row a chapter, whatever the number of segments; a
     segment is looked at once for both kinds, and only two flags of it go on, by chapter, as they lie."""
     by_anchor = anchors.groupBy("chapter_id").agg(F.collect_set(tx.strip(F.col("anchor"))).alias("ws")).select("chapter_id", _patterns(F.col("ws")).alias("first"))
     said = F.coalesce("fix", F.lit(""))
-    named = F.concat(F.regexp_extract_all(said, F.lit(CODES), F.lit(0)), F.regexp_extract_all(said, F.lit(QUOTED), F.lit(1)))
+    coded = said if codes_in_quotes else F.regexp_replace(said, QUOTED, "「」")
+    named = F.concat(F.regexp_extract_all(coded, F.lit(CODES), F.lit(0)), F.regexp_extract_all(said, F.lit(QUOTED), F.lit(1)))
     by_fix = fixes.groupBy("chapter_id").agg(F.flatten(F.collect_set(named)).alias("ws")).select("chapter_id", _patterns(F.col("ws")).alias("second"))
     patterns = by_anchor.join(by_fix, "chapter_id", "full")
     has = lambda ws: F.coalesce(F.exists(ws, lambda w: F.contains("content", w)), F.lit(False))
