@@ -1,7 +1,9 @@
 """Queries on tables of a few rows, and what their plans move."""
 
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
+from tessella.functions import text as tx
+from tessella.operators import projects
 from tessella.plans import relational_queries
 
 
@@ -10,3 +12,16 @@ def test_never_ordered(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, "1-URGENT", "F"), (2, "5-LOW", "O")], "o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     assert [r[0] for r in relational_queries.QUERIES["h02_never_ordered"](spark, str(tmp_path)).collect()] == [3]
+
+
+def test_mandatory_elements_by_first_row(spark):
+    """Rows of a document against elements: plain ones stop at the first row, noun and verb may stand in different rows; no
+    row is made for a pair of an element and a text."""
+    docs = spark.createDataFrame([(1, "a b — c"), (1, "提供施工方案"), (1, "我方满足"), (1, None), (2, None)], "project_id long, text string")
+    asked = [(1, "x", "t", "abc|zz|b", "pending"), (1, "y", None, "施工方案须响应文件要求", "pending"), (1, "i", "t", "zz", "ignored"), (1, "n", "t", None, None), (2, "y", "t", "施工方案须响应文件要求|q", None), (3, "x", "t", "q", "pending"), (None, "x", "t", "q", "pending")]
+    found = projects.mandatory_elements(docs, spark.createDataFrame(asked, "project_id long, id string, title string, elements string, status string"))
+    got = {(r["project_id"], r["id"]): list(r["missing"]) for r in found.collect()}
+    covers = {r[0]: r[1] for r in spark.sql("SELECT 1 AS k, '提供施工方案\n我方满足' AS t").select("k", tx.phrase_covered(F.col("t"), F.lit("施工方案须响应文件要求"))).collect()}[1]
+    assert got == {(1, "x"): ["zz"], (2, "y"): ["q", "施工方案须响应文件要求"]} | ({} if covers else {(1, "y"): ["施工方案须响应文件要求"]})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Contains" in plan.replace("contains", "Contains")
