@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import projects
+from tessella.operators import context, projects
 from tessella.plans import relational_queries
 
 
@@ -25,3 +25,16 @@ def test_mandatory_elements_by_first_row(spark):
     assert got == {(1, "x"): ["zz"], (2, "y"): ["q", "施工方案须响应文件要求"]} | ({} if covers else {(1, "y"): ["施工方案须响应文件要求"]})
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and "Contains" in plan.replace("contains", "Contains")
+
+
+def test_siblings_join_last(spark):
+    """The titles of siblings, which grow with the square of a family, pass no shuffle."""
+    nodes = [("p", "t", None, 0, "top", 0), *(("p", f"c{k}", "t", k, f"n{k}", 1) for k in range(50))]
+    df = spark.createDataFrame(nodes, "project_id string, id string, parent_id string, sort_order int, title string, is_leaf int").selectExpr("*", "CAST(NULL AS STRING) AS last_summary", "CAST(NULL AS STRING) AS content", "CAST(NULL AS STRING) AS requirement_ids", "CAST(NULL AS STRING) AS writing_guidance")
+    asked = spark.createDataFrame([], "id string, title string, keyword string, elements string, score double, is_risk int, category string, evidence string, hint string, source string")
+    facts = spark.createDataFrame([], "project_id string, title string, content string, sort_order int")
+    for found in (context.neighbours(df), context.bundles(df, asked, facts)):
+        assert {r["id"]: r["sibling_titles"] for r in found.collect()} == {f"c{k}": [f"n{j}" for j in range(50) if j != k] for k in range(50)}
+        lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        made = next(k for k, x in enumerate(lines) if "slice(" in x and "_all" in x)
+        assert not any(x.strip(" :+-").startswith(("Join", "Window", "Repartition", "Aggregate")) for x in lines[:made])
