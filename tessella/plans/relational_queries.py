@@ -73,6 +73,8 @@ SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number
 def fused(spark, sf_dir):
     """The lexical ranking fused with one by nearness in length."""
     docs = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "n_chars")
+    # of documents of one length only the first twenty can be among a passage's first twenty
+    docs = docs.withColumn("k", F.row_number().over(W.partitionBy("n_chars").orderBy("id"))).where("k <= 20").drop("k")
     asked = table(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), F.length("text").alias("n"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.abs(c("n_chars") - c("n")), "id"))
     second = docs.join(F.broadcast(asked)).withColumn("rank", rank).where("rank <= 20").select("query_id", "id", "rank")

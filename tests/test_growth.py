@@ -1,9 +1,11 @@
 """Queries on tables of a few rows, and what their plans move."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import context, projects
+from tessella.operators import context, projects, retrieval
 from tessella.plans import relational_queries
 
 
@@ -38,3 +40,20 @@ def test_siblings_join_last(spark):
         lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
         made = next(k for k, x in enumerate(lines) if "slice(" in x and "_all" in x)
         assert not any(x.strip(" :+-").startswith(("Join", "Window", "Repartition", "Aggregate")) for x in lines[:made])
+
+
+def test_bm25_deals_texts_by_id_alone(spark):
+    """Terms are counted and scores summed where a text lies: no shuffle by id and term, nor by query and id."""
+    corpus = spark.createDataFrame([(k, f"alpha beta word{k} word{k}") for k in range(9)], "id long, text string")
+    found = retrieval.bm25(corpus, spark.createDataFrame([(1, "word3 alpha")], "query_id long, text string"))
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(id, dl" not in plan and "hashpartitioning(query_id, id" not in plan and "hashpartitioning(id, " in plan
+    assert [(r["query_id"], r["id"]) for r in found.where("rank = 1").collect()] == [(1, 3)]
+
+
+def test_nearest_in_length(spark, tmp_path):
+    """Thirty documents of each of three lengths: a passage's first twenty are the least ids of the nearest length."""
+    spark.createDataFrame([(k, "t", 10 * (k % 3 + 1)) for k in range(90)], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x" * 19)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = relational_queries.QUERIES["l08_rrf"](spark, str(tmp_path))
+    assert sorted((r["rank"], r["id"]) for r in found.collect()) == [(k + 1, 3 * k + 1) for k in range(5)]
