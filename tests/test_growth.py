@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import context, projects, retrieval
+from tessella.operators import context, ordered, projects, retrieval
 from tessella.plans import relational_queries
 
 
@@ -57,3 +57,19 @@ def test_nearest_in_length(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 19)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = relational_queries.QUERIES["l08_rrf"](spark, str(tmp_path))
     assert sorted((r["rank"], r["id"]) for r in found.collect()) == [(k + 1, 3 * k + 1) for k in range(5)]
+
+
+def _lowest(plan, *kinds):
+    """The line of a plan's last node of some kinds."""
+    return max(k for k, x in enumerate(plan) if x.strip(" :+-").startswith(kinds))
+
+
+def test_extraction_chunks_move_lengths(spark):
+    """Texts are measured below every shuffle, window and sort, and rows are dealt out once."""
+    items = [(1, 1, 1, "x" * 9), (1, 20, 2, " xx "), (1, 20, 3, "x" * 9), (1, 40, 4, None), (2, 50, 1, "x" * 9), (2, 50, 2, "xx"), (None, 3, 1, "x")]
+    df = spark.createDataFrame(items, "doc long, page int, pos int, text string")
+    found = ordered.extraction_chunks(df, "doc", most=10)
+    assert sorted(tuple(r) for r in found.where("doc IS NOT NULL").collect()) == [(1, 1, 0, 0), (1, 2, 1, 0), (1, 3, 1, 1), (1, 4, 2, 0), (2, 1, 0, 0), (2, 2, 0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(k for k, x in enumerate(plan) if "length(" in x) > _lowest(plan, "Window", "Repartition", "Sort")
+    assert sum("Repartition" in x for x in plan) == 1
