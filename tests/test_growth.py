@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import context, ordered, projects, retrieval
+from tessella.operators import context, ordered, projects, retrieval, sections
 from tessella.plans import relational_queries
 
 
@@ -73,3 +73,13 @@ def test_extraction_chunks_move_lengths(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert min(k for k, x in enumerate(plan) if "length(" in x) > _lowest(plan, "Window", "Repartition", "Sort")
     assert sum("Repartition" in x for x in plan) == 1
+
+
+def test_section_names_sort_lines_once(spark):
+    """Both kinds of sections come from one pass over the lines, with one sort."""
+    said = ["简历", "张三负责质量管理", "组织架构", "李四负责安全管理", "", "", "", "王五负责安全管理"]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(said)], "id long, pos int, line string")
+    found = sections.names_by_kind(lines, {"resume": sections.RESUMES, "chart": sections.CHARTS})
+    assert sorted(tuple(r) for r in found.collect()) == [("chart", 1, "李四"), ("resume", 1, "张三"), ("resume", 1, "李四")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan.split("Initial Plan")[0])) == 1
