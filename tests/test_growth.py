@@ -83,3 +83,15 @@ def test_section_names_sort_lines_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("chart", 1, "李四"), ("resume", 1, "张三"), ("resume", 1, "李四")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bSort \[", plan.split("Initial Plan")[0])) == 1
+
+
+def test_lexical_items_score_where_they_are_read(spark):
+    """Neither texts nor terms nor pairs of a query and an item are shuffled before pairs are ranked, by query."""
+    items = [("f", 1, "alpha", None, "beta gamma", 3), ("f", 2, "x1", "beta", "alphabet", 2), ("f", 3, None, None, "nothing", 1), ("g", 4, "alpha", "alpha", "alpha", 0), (None, 5, "alpha", None, "alpha", 0)]
+    asked = [(1, "f", "alpha beta"), (2, "g", "alpha"), (3, "f", "!"), (4, None, "alpha"), (5, "h", "alpha")]
+    df = spark.createDataFrame(items, "folder string, id long, title string, resume string, content string, sort_order int")
+    found = retrieval.lexical_items(df, spark.createDataFrame(asked, "query_id long, folder string, text string"))
+    got = {(r["query_id"], r["id"]): (r["score"], r["rank"]) for r in found.collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 4)} and got[1, 1][1] == 1 and got[1, 1][0] > 5 and got[1, 2][0] > 3
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+    assert set(re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)) == {"folder", "query_id"}  # the folders asked for, and ranks
