@@ -108,8 +108,9 @@ def matrix_issues(requirements: DataFrame, leaves: DataFrame) -> DataFrame:
     missing = F.concat(prefix, F.lit("「"), "name", F.lit("」评分覆盖不足：缺少必备要素 "), F.array_join("missing", ", "))
     unmatched = F.concat(prefix, F.lit("「"), "name", F.lit("」关键词未在正文中体现（期望："), F.array_join(F.slice("cs", 1, 5), ", "), F.lit("）"))
     lacks = lacks.select(F.col("id").alias("requirement_id"), F.when(F.size("missing") > 0, missing).when((F.size("cs") > 0) & (F.col("n_matched") == 0), unmatched).alias("issue"))
-    written = leaves.select(F.col("id").alias("leaf_id"), "title", (tx.strip(F.coalesce("content", F.lit(""))) != "").alias("written"))
-    bound = coverage.bindings(leaves).select("leaf_id", "requirement_id").distinct().join(lacks, "requirement_id").join(written, "leaf_id")
+    written = tx.strip(F.coalesce("content", F.lit(""))) != ""
+    bound = leaves.select(F.col("id").alias("leaf_id"), F.when(~written, F.col("title")).alias("title"), written.alias("written"), F.explode(F.array_distinct(tx.string_array(F.col("requirement_ids")))).alias("requirement_id"))
+    bound = bound.join(lacks, "requirement_id")  # what a leaf says of itself goes with its requirements, so it is not joined again
     empty = bound.where("NOT written").groupBy("leaf_id").agg(F.first("title").alias("title"))
     empty = empty.select("leaf_id", F.lit(None).cast("string").alias("requirement_id"), F.concat(F.lit("评分覆盖：章节「"), F.coalesce("title", F.lit("None")), F.lit("」正文为空，无法覆盖已绑定评分项")).alias("issue"))
     return bound.where("written AND issue IS NOT NULL").select("leaf_id", "requirement_id", "issue").union(empty)

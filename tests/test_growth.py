@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import context, ordered, projects, retrieval, sections
+from tessella.operators import consistency, context, coverage, ordered, projects, retrieval, sections
 from tessella.plans import relational_queries
 
 
@@ -95,3 +95,19 @@ def test_lexical_items_score_where_they_are_read(spark):
     assert set(got) == {(1, 1), (1, 2), (2, 4)} and got[1, 1][1] == 1 and got[1, 1][0] > 5 and got[1, 2][0] > 3
     plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
     assert set(re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)) == {"folder", "query_id"}  # the folders asked for, and ranks
+
+
+def test_matrix_moves_packed_rows(spark):
+    """What is asked of a leaf goes to it as strings, elements with and without a verb of compliance alike; issues are not
+    joined with leaves again."""
+    asked = [("a", "t", None, "x y|-|响应文件要求", None, 0, "pending"), ("b", "alpha", "k1/k2", None, None, 1, "pending"), ("c", "", None, "zz", None, 0, "pending"), ("d", "q", None, "a", None, 0, "ignored")]
+    req = spark.createDataFrame(asked, "id string, title string, keyword string, elements string, score double, is_risk int, status string")
+    leaves = spark.createDataFrame([("L1", "one", "满足文件要求 xy", '["a","b","a"]'), ("L2", "two", "k2", '["b","d"]'), ("L3", "three", " ", '["b","c"]'), ("L4", "four", None, '["d"]')], "id string, title string, content string, requirement_ids string")
+    found = coverage.response_matrix(req, leaves)
+    got = {r["id"]: (r["status"], r["n_bound"], r["n_matched"], list(r["missing"])) for r in found.collect()}
+    assert got["b"] == ("covered", 3, 1, []) and got["c"] == ("bound_pending", 1, 0, ["zz"]) and got["d"][0] == "ignored" and got["a"][3] == ["-"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"collect_list\(struct\(requirement_id, requirement_id#\d+, forms, forms#\d+, es, es#\d+", plan)
+    issues = consistency.matrix_issues(req, leaves)
+    assert {(r["leaf_id"], r["requirement_id"]) for r in issues.collect()} == {("L1", "a"), ("L3", None)}
+    assert issues._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (leaf_id") == 1  # that of the matrix
