@@ -59,13 +59,16 @@ def valid_children(children: DataFrame, least: int = LEAST, most: int = MOST) ->
 def assigned_requirements(children: DataFrame, requirements: DataFrame) -> DataFrame:
     """(leaf_id, pos, requirement_id): which part of a leaf takes which of the leaf's requirements. children: (leaf_id, pos,
     text, claimed); requirements: (leaf_id, requirement_id, text), those of the leaf. Claimed ones stay with all who claim
-    them; any other goes to the part with most words in common, of equals the first. (D21)"""
-    claimed = children.select("leaf_id", "pos", F.explode(F.array_distinct("claimed")).alias("requirement_id")).distinct().join(requirements.select("leaf_id", "requirement_id").distinct(), ["leaf_id", "requirement_id"])
-    rest = requirements.join(claimed.select("leaf_id", "requirement_id").distinct(), ["leaf_id", "requirement_id"], "left_anti")
-    parts = children.select("leaf_id", "pos", tx.match_tokens(F.col("text")).alias("words"))
-    both = rest.select("leaf_id", "requirement_id", tx.match_tokens(F.col("text")).alias("asked")).join(parts, "leaf_id")
-    best = both.groupBy("leaf_id", "requirement_id").agg(F.min_by("pos", F.struct(-F.size(F.array_intersect("words", "asked")), "pos")).alias("pos"))
-    return claimed.select("leaf_id", "pos", "requirement_id").union(best.select("leaf_id", "pos", "requirement_id"))
+    them; any other goes to the part with most words in common, of equals the first. The parts of a leaf, which are few, meet
+    its requirements in one row: each table is shuffled once, by leaf. (D21)"""
+    parts = children.groupBy("leaf_id").agg(F.collect_list(F.struct("pos", tx.match_tokens(F.col("text")).alias("words"), "claimed")).alias("parts"))
+    asked = requirements.groupBy("leaf_id").agg(F.collect_set(F.struct("requirement_id", "text")).alias("rs"))
+    each = asked.join(parts, "leaf_id").select("leaf_id", "parts", F.explode("rs").alias("r")).select("leaf_id", "parts", "r.requirement_id", tx.match_tokens(F.col("r.text")).alias("asked"))
+    claims = F.filter("parts", lambda p: F.array_contains(p["claimed"], F.col("requirement_id")))
+    best = F.array_min(F.transform("parts", lambda p: F.struct((-F.size(F.array_intersect(p["words"], "asked"))).alias("n"), p["pos"].alias("pos"))))
+    # a requirement with several texts goes by the best of them; it lies with its leaf already
+    found = each.groupBy("leaf_id", "requirement_id").agg(F.first(F.array_distinct(claims["pos"])).alias("claimed"), F.min(best).alias("best"))
+    return found.select("leaf_id", F.explode(F.when(F.size("claimed") > 0, F.col("claimed")).otherwise(F.array("best.pos"))).alias("pos"), "requirement_id")
 
 
 def words_of_parts(target_words: Column, n: Column) -> Column:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import consistency, context, coverage, ordered, projects, retrieval, sections
+from tessella.operators import consistency, context, coverage, ordered, outlines, projects, retrieval, sections
 from tessella.plans import relational_queries
 
 
@@ -111,3 +111,13 @@ def test_matrix_moves_packed_rows(spark):
     issues = consistency.matrix_issues(req, leaves)
     assert {(r["leaf_id"], r["requirement_id"]) for r in issues.collect()} == {("L1", "a"), ("L3", None)}
     assert issues._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (leaf_id") == 1  # that of the matrix
+
+
+def test_assigned_requirements_shuffle_by_leaf_alone(spark):
+    """A requirement with two texts goes by the better one; claimed ones stay with all who claim them."""
+    children = spark.createDataFrame([(1, 1, "aa bb", ["r1"]), (1, 2, "cc", ["r1", "x"]), (1, 3, "cc dd", None), (2, 1, "aa", [])], "leaf_id long, pos int, text string, claimed array<string>")
+    asked = spark.createDataFrame([(1, "r1", "dd"), (1, "r2", "aa"), (1, "r2", "cc dd"), (1, "r3", None), (3, "r4", "aa")], "leaf_id long, requirement_id string, text string")
+    found = outlines.assigned_requirements(children, asked)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "r1"), (1, 1, "r3"), (1, 2, "r1"), (1, 3, "r2")]
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+    assert set(re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)) == {"leaf_id"}
