@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.operators import consistency, context, coverage, ordered, outlines, projects, retrieval, sections
-from tessella.plans import relational_queries
+from tessella.plans import relational_queries, text_queries
 
 
 def test_never_ordered(spark, tmp_path):
@@ -121,3 +121,8 @@ def test_assigned_requirements_shuffle_by_leaf_alone(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "r1"), (1, 1, "r3"), (1, 2, "r1"), (1, 3, "r2")]
     plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
     assert set(re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)) == {"leaf_id"}
+
+
+def test_phrases_normalise_a_text_once(spark, sf_dir):
+    found = text_queries.QUERIES["i04_phrase_covered"](spark, sf_dir)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("，,。；;：:（）") == 1
