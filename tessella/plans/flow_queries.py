@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from html import escape
 
 import pandas as pd
@@ -104,36 +103,35 @@ _CLEAN = "regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x{fffe}\\x{ffff}]', '',
 
 
 def _write(folder: str):
-    """Writes a file for each block of documents: the texts one after the other, with a blank line between."""
+    """Writes the file of a block of documents (block, doc_id, text): the texts one after the other, with a blank line between."""
     files, at = pyarrow.fs.FileSystem.from_uri(folder)
 
-    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks:
-            for number, texts in block.itertuples(index=False):
-                suffix = _SUFFIXES[number % len(_SUFFIXES)]
-                if suffix == ".docx":
-                    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(t, quote=False)}</w:t></w:r></w:p>' for t in texts)
-                    data = io.BytesIO()
-                    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as packed:
-                        packed.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
-                    data = data.getvalue()
-                else:
-                    data = "\n\n".join(texts).encode()
-                files.create_dir(at)
-                with files.open_output_stream(f"{at}/b{number:012d}{suffix}") as out:
-                    out.write(data)
-            yield pd.DataFrame({"n": [len(block)]})
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        number, texts = int(block["block"].iloc[0]), block.sort_values(["doc_id", "text"])["text"].tolist()
+        suffix = _SUFFIXES[number % len(_SUFFIXES)]
+        if suffix == ".docx":
+            body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(t, quote=False)}</w:t></w:r></w:p>' for t in texts)
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as packed:
+                packed.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+            data = data.getvalue()
+        else:
+            data = "\n\n".join(texts).encode()
+        files.create_dir(at)
+        with files.open_output_stream(f"{at}/b{number:012d}{suffix}") as out:
+            out.write(data)
+        return pd.DataFrame({"n": [1]})
 
     return run
 
 
 def _items(spark, sf_dir):
-    """The documents as files, read again."""
+    """The documents as files, read again. A worker holds one block at a time, not as many as an Arrow batch has rows."""
     folder = new_path(spark, "files")
     folder = folder if "://" in folder else f"file://{folder}"
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]", "")
-    blocks = table(spark, sf_dir, "documents").groupBy(F.floor(c("doc_id") / _TOGETHER).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", text.alias("text")))).alias("xs"))
-    blocks.select("block", c("xs")["text"].alias("texts")).mapInPandas(_write(folder), "n long").agg(F.sum("n")).collect()
+    docs = table(spark, sf_dir, "documents").select(F.floor(c("doc_id") / _TOGETHER).cast("long").alias("block"), "doc_id", text.alias("text"))
+    docs.groupBy("block").applyInPandas(_write(folder), "n long").agg(F.sum("n")).collect()
     return documents.documents(spark, folder)
 
 

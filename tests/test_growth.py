@@ -2,11 +2,12 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.operators import consistency, context, coverage, ordered, outlines, projects, retrieval, sections, trees
-from tessella.plans import relational_queries, text_queries
+from tessella.plans import flow_queries, relational_queries, text_queries
 
 
 def test_never_ordered(spark, tmp_path):
@@ -137,3 +138,14 @@ def test_depth_first_by_ranges(spark):
     assert order == ["s", "r", "n00", "x", *kids[1:]]
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert "root_id ASC" not in plan and not re.search(r"windowspecdefinition\(root_id", plan)
+
+
+def test_files_are_written_block_by_block(spark, tmp_path):
+    """However many blocks a partition has, a writer sees one at a time."""
+    docs = [(k, f"t{k}") for k in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    write = flow_queries._write(f"file://{tmp_path}/out")
+    for block in range(3):
+        write(pd.DataFrame([(block, *d) for d in reversed(docs) if d[0] // 50 == block], columns=["block", "doc_id", "text"]))
+    assert (tmp_path / "out/b000000000001.txt").read_text() == "\n\n".join(f"t{k}" for k in range(50, 100))
+    assert {r["name"] for r in flow_queries.QUERIES["a15_reference_texts"](spark, str(tmp_path)).collect()} == {"b000000000000.docx", "b000000000001.txt", "b000000000002.md"}
