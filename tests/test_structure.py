@@ -186,6 +186,16 @@ def test_located_in_long_texts():
     assert text[start:end] == "需要找到的一段文字"
 
 
+def test_located_whole_without_pieces():
+    """An excerpt that is there whole costs no pieces and no index of the text; many searches of a text go by its index."""
+    text = locate.folded("第一条　编制　施工组织设计；质量、安全与进度须全部响应。" * 3 + "末尾另有六个字")
+    locate.candidates.cache_clear()
+    assert locate.located(text, "编制施工组织设计，质量安全与进度")[2:] == (15, False)
+    assert locate.candidates.cache_info().misses == 0 and not any("grams" in vars(x) for x in text)
+    hits = {locate.located(text, "末尾另有，六个字") for _ in range(2 * locate.INDEXED)}
+    assert len(hits) == 1 and all("grams" in vars(x) for x in text)
+
+
 def test_walk_plans_hold_one_level(spark):
     """A chain of forty nodes, a cycle, a node without parent: no plan grows with the levels."""
     rows = [(f"n{k}", f"n{k - 1}" if k else None, 1, f"t{k}") for k in range(40)] + [("a", "b", 1, "a"), ("b", "a", 1, "b"), ("o", "gone", 1, None)]
