@@ -18,6 +18,8 @@ IDLE, ENDS = 300, ("complete", "error")
 #: What the state needs: a store that keeps timers, and the rows that go to Python at a time.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "project string, at timestamp, kind string, event_id long"
+#: What leaves the state: an event in one row, and the pings of one silence too, the first of them with their number.
+RUNS = f"{OUT}, n long"
 
 
 def ending(stage: Column, chapter: Column) -> Column:
@@ -42,9 +44,15 @@ def followed(events: DataFrame, until: Column | None = None, idle: int = IDLE) -
     last = F.floor((micros(until) - micros("ts")) / (idle * 1_000_000)) if until is not None else F.lit(0)
     n = F.when(F.col("ends"), 0).otherwise(F.greatest(F.lit(0), F.coalesce(before, last))).cast("int")
     seen = e.select("project", F.col("ts").alias("at"), F.when(F.col("ends"), "end").otherwise("event").alias("kind"), "event_id")
-    silent = e.withColumn("n", n).where("n > 0").select("project", "ts", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    pings = silent.select("project", F.timestamp_micros(micros("ts") + F.col("k").cast("long") * idle * 1_000_000).alias("at"), F.lit("ping").alias("kind"), F.lit(None).cast("long").alias("event_id"))
-    return seen.union(pings)
+    first = F.timestamp_micros(micros("ts") + F.lit(idle * 1_000_000))
+    runs = e.withColumn("n", n).where("n > 0").select("project", first.alias("at"), F.lit("ping").alias("kind"), F.lit(None).cast("long").alias("event_id"), "n")
+    return seen.union(_each(runs, idle))
+
+
+def _each(runs: DataFrame, idle: int) -> DataFrame:
+    """A row for each ping of runs (project, at, kind, event_id, n), `idle` seconds apart; events are runs of one."""
+    at = F.timestamp_micros(F.unix_micros("at") + F.col("k") * idle * 1_000_000)
+    return runs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)).cast("long") - 1))).select("project", at.alias("at"), "kind", "event_id")
 
 
 class Follower(StatefulProcessor):
@@ -69,19 +77,18 @@ class Follower(StatefulProcessor):
             self.last.update((due,))
 
     def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        at, kind, event_id = zip(*rows, strict=True)
-        return pd.DataFrame({"project": key[0], "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="ms"), "kind": kind, "event_id": pd.array(event_id, "Int64")})
+        at, kind, event_id, n = zip(*rows, strict=True)
+        return pd.DataFrame({"project": key[0], "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="ms"), "kind": kind, "event_id": pd.array(event_id, "Int64"), "n": n})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Events in order; before each, the pings that fall due."""
+        """Events in order; before each, the run of pings that fall due."""
         e = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         due, out = self.last.get()[0] if self.last.exists() else None, []
         for ts, event_id, ends in zip(e["ts"], e["event_id"], e["ends"], strict=True):
             millis = ts.value // 1_000_000
-            while due is not None and due < millis:
-                out.append((due, "ping", None))
-                due += self.idle
-            out.append((millis, "end" if ends else "event", event_id))
+            if due is not None and due < millis:
+                out.append((due, "ping", None, (millis - due - 1) // self.idle + 1))
+            out.append((millis, "end" if ends else "event", event_id, 1))
             due = None if ends else millis + self.idle
         self._wait(due)
         yield self._rows(key, out)
@@ -91,28 +98,33 @@ class Follower(StatefulProcessor):
         due, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
         n = max(0, now - due) // self.idle + 1
         self._wait(due + n * self.idle)
-        yield self._rows(key, [(due + k * self.idle, "ping", None) for k in range(n)])
+        yield self._rows(key, [(due, "ping", None, n)])
 
     def close(self) -> None:
         pass
 
 
-def follow(events: DataFrame, late: str = "10 minutes", idle: int = IDLE) -> DataFrame:
-    """followed() over a stream of events. A timer goes off once the watermark, `late` behind the latest event of all
-    projects, has passed it; events later than that are left out. Times are of milliseconds. (S05)"""
+def _runs(events: DataFrame, late: str, idle: int) -> DataFrame:
     if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != STORE:
         raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {STORE}")
     timed = _timed(events).where("ts IS NOT NULL").withColumn("ts", F.date_trunc("millisecond", "ts")).withWatermark("ts", late)
-    return timed.groupBy("project").transformWithStateInPandas(Follower(idle), OUT, "Append", "EventTime")
+    return timed.groupBy("project").transformWithStateInPandas(Follower(idle), RUNS, "Append", "EventTime")
+
+
+def follow(events: DataFrame, late: str = "10 minutes", idle: int = IDLE) -> DataFrame:
+    """followed() over a stream of events. A timer goes off once the watermark, `late` behind the latest event of all
+    projects, has passed it; events later than that are left out. Times are of milliseconds. (S05)"""
+    return _each(_runs(events, late, idle), idle)
 
 
-def replay(events: DataFrame, folder: str, **options) -> DataFrame:
+def replay(events: DataFrame, folder: str, late: str = "10 minutes", idle: int = IDLE) -> DataFrame:
     """What follow() makes of all events that a stream has now, written to a folder with its checkpoint, and read back. A
-    second call with the same folder goes on where the first one ended. (S05)"""
+    second call with the same folder goes on where the first one ended. Silences are written as runs, which are as many as
+    events however long they last, and become pings when they are read. (S05)"""
     spark: SparkSession = events.sparkSession
-    query = follow(events, **options).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = _runs(events, late, idle).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{folder}/rows")
+    return _each(spark.read.schema(RUNS).parquet(f"{folder}/rows"), idle)
 
 
 # --- groups one after the other ----------------------------------------------------------------------------------------

@@ -81,6 +81,16 @@ def test_stream_is_the_batch(spark, tmp_path, rocks):
     assert "over" in ended and {r["key"]["project"] for r in state.collect()} == {r[1] for r in rows} - ended
 
 
+def test_silence_is_one_row_of_the_stream(spark, tmp_path, rocks):
+    """Pings of a month leave the state as one row with their number, before an event as by a timer."""
+    month = datetime.timedelta(days=30)
+    rows = [(1, "a", START, "stage", None), (2, "a", START + month, "complete", None), (3, "b", START, "stage", None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = follow.replay(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), late="0 seconds")
+    assert rows_of(got) == plain(rows, START + month) and got.count() > 15_000
+    assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 5
+
+
 def test_stream_needs_a_store_with_timers(spark):
     with pytest.raises(ValueError):
         follow.follow(spark.createDataFrame([], SCHEMA))
