@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -262,6 +263,18 @@ def test_pii_long_texts_and_clashing_names(spark):
     assert r["pii_kinds"] == "c" and r["pii_kinds_"] == ["card"] and (r["_finds"], r["pii_new"], r["pii_finds"]) == ("a", "b", "e") and "4610568901970798" not in r["text"]
 
 
+def test_pii_without_a_key_on_a_cluster(spark, sf_dir):
+    """The queries run where the master is not local and no key is set, by a key of the application that is not public."""
+    cluster = lambda app, **conf: SimpleNamespace(conf=conf, read=spark.read, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId=app))
+    one, other = cluster("app-1"), cluster("app-2")
+    with pytest.warns(UserWarning, match="key drawn"):
+        key = pii.key_of(one)
+    assert len(key) == 64 and key == pii.key_of(one) != pii.key_of(other) and pii.TEST_KEY not in (key, pii.key_of(other))
+    assert pii.key_of(cluster("app-1", **{pii.KEY: "own"})) == "own" and pii.key_of(spark) == pii.TEST_KEY
+    ours, local = ({r["doc_id"]: r for r in pii.op3_pii(s, sf_dir).collect()} for s in (one, spark))
+    assert {d: r[2:] for d, r in ours.items()} == {d: r[2:] for d, r in local.items()} and any(r["text"] != local[d]["text"] for d, r in ours.items())
+
+
 def test_pii_edges(edges):
     found = pii.pseudonymise(edges, "key")
     assert found.columns == [*edges.columns, "pii_kinds"]
