@@ -12,6 +12,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tessella.llm import bpe, common, fingerprints, media, mixing, pii, quality, secrets, urls, warc
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "x"), (5, "x"), (5, "x"), (None, "null id"), (6, "é中😀 " * 3000)]
@@ -273,6 +274,11 @@ def test_pii_without_a_key_on_a_cluster(spark, sf_dir):
     assert pii.key_of(cluster("app-1", **{pii.KEY: "own"})) == "own" and pii.key_of(spark) == pii.TEST_KEY
     ours, local = ({r["doc_id"]: r for r in pii.op3_pii(s, sf_dir).collect()} for s in (one, spark))
     assert {d: r[2:] for d, r in ours.items()} == {d: r[2:] for d, r in local.items()} and any(r["text"] != local[d]["text"] for d, r in ours.items())
+    docs = common.documents(spark, sf_dir)
+    stage = corpus_pipeline.pseudonymise(one, docs, sf_dir)
+    assert stage.columns == docs.columns and {r["doc_id"]: r["text"] for r in stage.collect()} == {d: r["text"] for d, r in ours.items()}
+    back = {r["doc_id"]: r["text"] for r in pii.original(stage, key).collect()}
+    assert back == {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
 def test_pii_edges(edges):
