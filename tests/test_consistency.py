@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import consistency, context, ordered
+from tessella.operators import consistency, context, ordered, projects
 
 
 def test_project_findings(spark):
@@ -23,6 +23,27 @@ def test_project_findings(spark):
     assert {r["severity"] for r in consistency.cross_findings(spark.createDataFrame(rows[:1], "project_id long, duration_days int, budget double, text string")).collect()} == {"block", "warn"}
 
 
+def test_findings_of_all_project_checks(spark):
+    """Keywords of titles and coverage are among the findings; two projects share the id of a requirement, but not what it asks."""
+    requirements = [
+        (1, "a", "消防演练", "应急，疏散", "zz", None, 0, "pending"), (2, "a", "绿化养护", "苗木", None, None, 1, "pending"), (2, "b", "道路 照明", "电缆", None, None, 0, "confirmed"), (2, "c", "排水 管网", None, None, None, 0, "pending"),
+        (2, "d", "xyz", "xyz", None, None, 0, "ignored"), (3, "a", "没有文件", None, None, None, 0, "pending"),
+    ]
+    leaves = [
+        (1, "L1", "疏散组织", "TODO 应急", 1, '["a"]'), (1, "L2", "其他", "x", 2, '["a","a","gone"]'), (2, "L1", "概述", "绿化养护和电缆", 1, '["b","a"]'),
+        (2, "L2", None, "道路", 2, '["b"]'), (2, "L3", "苗木", None, 3, '["a"]'), (2, "L4", "y", " ", 4, "broken"),
+    ]
+    requirements = spark.createDataFrame(requirements, "project_id long, id string, title string, keyword string, elements string, risk_hint string, is_risk int, status string")
+    leaves = spark.createDataFrame(leaves, "project_id long, id string, title string, content string, sort_order int, requirement_ids string")
+    found = projects.project_findings(leaves, requirements).collect()
+    of = lambda check: sorted((r["project_id"], r["severity"], r["message"]) for r in found if r["check_id"] == check)
+    assert of("project_title_keywords") == [(1, "warn", "章节「其他」标题未覆盖关键词：应急/疏散"), (2, "warn", "章节「」标题未覆盖关键词：电缆"), (2, "warn", "章节「概述」标题未覆盖关键词：电缆/苗木")]
+    assert of("project_scoring_coverage") == [(2, "block", "排水 管网（missing）")]
+    alone = requirements.where("id <> 'b'").union(requirements.where("id = 'b'").selectExpr("project_id", "id", "title", "'桥梁'", "elements", "risk_hint", "is_risk", "status"))
+    assert ("道路 照明（partial）", "warn") in {(r["message"], r["severity"]) for r in projects.project_findings(leaves, alone).collect()}
+    assert {r["check_id"] for r in found} == set(projects.CHECKS)
+
+
 def test_team_sizes(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice(["团队", "专家", "3人", "12 位", "字", "字字字字字字字字", "7", "人", "，", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
