@@ -43,6 +43,29 @@ def test_siblings_join_last(spark):
         assert not any(x.strip(" :+-").startswith(("Join", "Window", "Repartition", "Aggregate")) for x in lines[:made])
 
 
+def test_sibling_texts_are_cut_from_one(spark):
+    """A sibling's title is not touched by itself for each of the others: texts of siblings are bytes cut out of their family's
+    text, and a family is dealt out to more than one place. Titles are blank, null, wide and alike, parents and projects null."""
+    kinds = ["甲乙丙丁", " x ", "", None, "ab", "ab"]
+    leaves = [("p", f"c{k}", "t", k, kinds[k % 6], 1) for k in range(150)] + [("q", "d0", "u", 0, "", 1), ("q", "d1", "u", 1, "é", 1), ("q", "e", "v", 0, "alone", 1), (None, "f0", None, 0, "f", 1), (None, "f1", None, 1, "施", 1), ("q", "g", None, 2, "施", 1)]
+    nodes = [("p", "t", None, 0, "top", 0), ("q", "u", None, 0, "u", 0), ("q", "v", None, 1, "v", 0), *leaves]
+    df = spark.createDataFrame(nodes, "project_id string, id string, parent_id string, sort_order int, title string, is_leaf int").selectExpr("*", "CAST(NULL AS STRING) AS last_summary", "CAST(NULL AS STRING) AS content", "CAST(NULL AS STRING) AS requirement_ids", "CAST(NULL AS STRING) AS writing_guidance")
+    asked = spark.createDataFrame([], "id string, title string, keyword string, elements string, score double, is_risk int, category string, evidence string, hint string, source string")
+    told, bundled = context.neighbours(df), context.bundles(df, asked, spark.createDataFrame([], "project_id string, title string, content string, sort_order int"))
+    titles = {x[1]: [(y[4] or "").strip() for y in leaves if y[:3:2] == x[:3:2] and y[1] != x[1]] for x in leaves}
+    for found in (told, bundled):
+        got = {r["id"]: r for r in found.collect()}
+        assert {k: r["sibling_titles"] for k, r in got.items()} == titles and {k: r["sibling_text"] for k, r in got.items()} == {k: "|".join(x) for k, x in titles.items()}
+    for k, r in got.items():
+        if leaves[[x[1] for x in leaves].index(k)][4] is not None:
+            assert r["content_boundary"].endswith(f"不得涉及兄弟章节：{'、'.join(titles[k])}。" if titles[k] else "不重复上一章摘要。")
+    places = lambda f: bundled.where("project_id = 'p'").select(F.spark_partition_id().alias("k"), f).distinct().select("k").distinct().count()
+    assert places("content_boundary") > 1
+    for plan in (told.select("id", F.md5("sibling_text")), bundled.select("id", F.md5("content_boundary"))):
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not any("slice(" in x for x in lines)
+
+
 def test_bm25_deals_texts_by_id_alone(spark):
     """Terms are counted and scores summed where a text lies: no shuffle by id and term, nor by query and id."""
     corpus = spark.createDataFrame([(k, f"alpha beta word{k} word{k}") for k in range(9)], "id long, text string")
