@@ -1,12 +1,14 @@
 """Queries on tables of a few rows, and what their plans move."""
 
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.operators import consistency, context, coverage, ordered, outlines, projects, retrieval, sections, trees
+from tessella.operators.stored import stored
 from tessella.plans import flow_queries, relational_queries, text_queries
 
 
@@ -30,6 +32,50 @@ def test_mandatory_elements_by_first_row(spark):
     assert "Join LeftAnti" in plan and "Contains" in plan.replace("contains", "Contains")
 
 
+def _shuffled(spark):
+    """The shuffles whose files are on disk."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {m[1] for k in range(files.size()) if (m := re.match(r"shuffle_(\d+)_.*data$", files.apply(k).getName()))}
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """What a stored table was shuffled for is deleted when it is written; the session's setting stays as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_ = _shuffled(spark), spark.conf.get(key)
+    found = stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    for _ in range(100):
+        if not (left := _shuffled(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key) == set_
+    assert {tuple(r) for r in found.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
+
+
+def test_project_findings_one_check_after_the_other(spark):
+    """Of all checks no shuffle is left and each reads stored chapters and requirements; those asked for alone are the same and
+    store nothing."""
+    leaves = spark.createDataFrame([(k % 3, f"L{k}", f"title {k}", "TODO words" if k % 2 else "满足要求 " + "x" * 30 * (k % 5), k, f'["{k % 4}"]') for k in range(20)], "project_id long, id string, title string, content string, sort_order int, requirement_ids string")
+    asked = spark.createDataFrame([(k % 3, f"{k % 4}", f"asks {k}", f"word{k}", f"a{k}|words", None, k % 2, "pending") for k in range(12)], "project_id long, id string, title string, keyword string, elements string, risk_hint string, is_risk int, status string")
+    leaves, asked = leaves.repartition(3, "id"), asked.repartition(3, "id")
+    before = _shuffled(spark)
+    found = projects.project_findings(leaves, asked)
+    for _ in range(100):
+        if not (left := _shuffled(spark) - before):
+            break
+        time.sleep(0.1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not left and "Join" not in plan and plan.count("Relation ") == len(projects.CHECKS)
+    of = lambda df: sorted(map(tuple, df.collect()))
+    rows = of(found)
+    assert {r[1] for r in rows} >= {"project_template_residue", "project_scoring_coverage", "project_mandatory", "project_title_keywords"}
+    apart = projects.project_findings(leaves, asked, most=4000)
+    assert apart._jdf.queryExecution().optimizedPlan().toString().count("Relation ") >= 2 * len(projects.CHECKS) and of(apart) == rows
+    for check in projects.CHECKS:
+        alone = projects.project_findings(leaves, asked, (check,))
+        assert of(alone) == [r for r in rows if r[1] == check]
+        assert "Relation " not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_siblings_join_last(spark):
     """The titles of siblings, which grow with the square of a family, pass no shuffle."""
     nodes = [("p", "t", None, 0, "top", 0), *(("p", f"c{k}", "t", k, f"n{k}", 1) for k in range(50))]
